@@ -36,6 +36,11 @@ BENCHMARK_INSTRUCTIONS = {
 SUB_RESULTS = 3
 # ---------------------------------------------------------------------------
 
+# A whole line (only "\n" ends a line: (?d)) whose stripped text starts with a
+# triple quote, with its line break.
+_WS_NO_NL = "".join("\\x{%x}" % ord(c) for c in T.PY_WHITESPACE if c != "\n")
+TOGGLE_LINE_RE = "(?md)^[" + _WS_NO_NL + "]*(?:\"\"\"|''')[^\\n]*\\n?"
+
 
 def render_default_prompt(instruction: Column, inp: Column) -> Column:
     """C20: ``[INST] {instruction}\\n{input} [/INST]\\n``."""
@@ -63,18 +68,15 @@ def extract_code(text: str | Column, language: str = "python") -> Column:
         ok = (F.instr(t, tag) > 0) & (rel > 1)
         branches.append((ok, T.py_strip(F.substring(rest, F.lit(1), rel - 1))))
 
-    lines = T.lines(t)
-    stripped = F.transform(lines, lambda l: T.py_strip(l))
-    toggles = F.transform(stripped, lambda s: s.startswith(DOCSTRING_MARKS[0]) | s.startswith(DOCSTRING_MARKS[1]))
-    idx = F.sequence(F.lit(1), F.size(lines))
-    toggle_pos = F.filter(idx, lambda i: F.element_at(toggles, i))
-    kept_idx = F.filter(idx, lambda i: (
-        ~F.element_at(toggles, i)
-        & (F.size(F.filter(toggle_pos, lambda p: p < i)) % 2 == 0)
-        & (F.length(F.element_at(stripped, i)) > 0)
-        & ~F.element_at(stripped, i).startswith(COMMENT_MARKS[0])
-        & ~F.element_at(stripped, i).startswith(COMMENT_MARKS[1])))
-    fallback = F.array_join(F.transform(F.slice(kept_idx, 1, MAX_CODE_LINES), lambda i: F.element_at(lines, i)), "\n")
+    # Fallback in linear time: splitting on whole toggle lines leaves the text
+    # between toggles as segments; even segments lie outside docstrings.
+    segments = F.split(t, TOGGLE_LINE_RE, -1)
+    outside = F.array_join(F.filter(segments, lambda seg, k: k % 2 == 0), "")
+    kept = F.filter(T.lines(outside), lambda l: (
+        (F.length(T.py_lstrip(l)) > 0)
+        & ~T.py_lstrip(l).startswith(COMMENT_MARKS[0])
+        & ~T.py_lstrip(l).startswith(COMMENT_MARKS[1])))
+    fallback = F.array_join(F.slice(kept, 1, MAX_CODE_LINES), "\n")
 
     expr = None
     for ok, val in branches:

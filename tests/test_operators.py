@@ -147,6 +147,7 @@ def test_extract_code(spark):
         (2, "```kotlin\nfun f() = 1\n```"),
         (3, "def f():\n    # comment\n    return 1"),
         (4, 'x = 1\n"""doc\nstill doc\n"""\ny = 2\n// c'),
+        (5, 'a = 1\n  """one line"""\nhidden = 2\n\'\'\'\nb = 3\n"""unterminated\nc = 4'),
     ], "gen long, text string")
     py = {r.gen: r.c for r in df.select("gen", SC.extract_code("text").alias("c")).collect()}
     kt = {r.gen: r.c for r in df.select("gen", SC.extract_code("text", "kotlin").alias("c")).collect()}
@@ -154,6 +155,7 @@ def test_extract_code(spark):
     assert kt[2] == "fun f() = 1" and "fun f() = 1" in py[2]
     assert py[3] == "def f():\n    return 1"
     assert py[4] == "x = 1\ny = 2"
+    assert py[5] == "a = 1\nb = 3"  # a one-line docstring still toggles; unterminated drops the rest
 
 
 def test_unbiased_pass_at_k_matches_formula(spark):
