@@ -4,11 +4,13 @@
 (``seq``, or ``(dataset_ord, seq)`` after a union).  ``dropDuplicates`` keeps
 an arbitrary survivor, so it is not used.
 
-Physical plan: ``row_number() OVER (PARTITION BY key ORDER BY order) = 1``.
-Spark plans this as a *partial* ``WindowGroupLimit`` before the exchange, so
-each map task forwards at most one row per key; a hot key (say a third of all
-rows sharing one instruction+input) therefore ships at most one row per map
-partition through the shuffle, never the whole group.
+Physical plan: ``row_number() = 1`` per ``(key, salt)`` and then per ``key``
+(salt = a hash of the order key).  Spark plans each stage with a *partial*
+``WindowGroupLimit`` before its exchange, so each map task forwards at most
+one row per key.  A hot key (say a third of all rows sharing one
+instruction+input) is spread over the salt buckets in the first stage and
+reaches the final stage as at most ``SALT_BUCKETS`` rows — never the whole
+group, and never one row per map task of a huge input.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from samplesmith.functions import text as T
+from samplesmith.operators.limits import SALT_BUCKETS, salt
 
 # Key widths of the two dedup rules.
 WIDE_INPUT_CHARS = 200          # D1: instruction + input[:200]
@@ -38,10 +41,19 @@ def narrow_key() -> Column:
                     T.head(T.s("input"), NARROW_INPUT_CHARS))
 
 
-def keep_first(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """Keep the first row (by ``order``) of every ``key``."""
-    w = Window.partitionBy(key.alias("__k")).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+def keep_first(df: DataFrame, key: Column, order: list[str], salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+    """Keep the first row (by ``order``) of every ``key``.
+
+    Salted two-stage plan: keep-first per ``(key, salt)``, then per key.  Each
+    stage drops duplicates map-side (partial ``WindowGroupLimit``), so a key
+    shared by a third of all rows reaches its final task as at most
+    ``salt_buckets`` rows instead of one row per map task.
+    """
+    k = df.withColumn("__k", key).withColumn("__salt", salt(order, salt_buckets))
+    s1 = Window.partitionBy("__k", "__salt").orderBy(*order)
+    first = k.withColumn("__rn", F.row_number().over(s1)).where(F.col("__rn") == 1).drop("__rn", "__salt")
+    w = Window.partitionBy("__k").orderBy(*order)
+    return first.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn", "__k")
 
 
 def dedup_wide(df: DataFrame, order: list[str] | None = None) -> DataFrame:

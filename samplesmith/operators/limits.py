@@ -31,10 +31,30 @@ def head_n(df: DataFrame, n: int | None, order: list[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def head_per_group(df: DataFrame, group: list[str], order: list[str], n: int) -> DataFrame:
-    """The first ``n`` rows of every group, in ``order``; adds ``rank_in_group``."""
+SALT_BUCKETS = 64
+
+
+def salt(order: list[str], buckets: int = SALT_BUCKETS) -> Column:
+    """A bucket in ``[0, buckets)`` from the row's order key (spreads one group)."""
+    return F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(buckets))
+
+
+def head_per_group(df: DataFrame, group: list[str], order: list[str], n: int,
+                   salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+    """The first ``n`` rows of every group, in ``order``; adds ``rank_in_group``.
+
+    Two stages, each with a partial ``WindowGroupLimit`` before its exchange:
+    first per ``(group, salt)``, then per group over at most
+    ``n * salt_buckets`` candidates.  A group holding a third of all rows is
+    thus spread over ``salt_buckets`` tasks, and the task that ranks it
+    finally sees a bounded number of rows, whatever the data size.
+    ``order`` must identify rows within a group (ties would be arbitrary).
+    """
+    s1 = Window.partitionBy(*group, "__salt").orderBy(*order)
+    first = (df.withColumn("__salt", salt(order, salt_buckets))
+               .withColumn("__r", F.row_number().over(s1)).where(F.col("__r") <= n).drop("__r", "__salt"))
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("rank_in_group", F.row_number().over(w)).where(F.col("rank_in_group") <= n)
+    return first.withColumn("rank_in_group", F.row_number().over(w)).where(F.col("rank_in_group") <= n)
 
 
 def shuffle_key(id_col: str | Column, seed: int = 42) -> Column:
