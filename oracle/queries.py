@@ -745,3 +745,13 @@ ORACLE["w9_problem_conversion"] = ORACLE["p12_problem_difficulty"]
 ORACLE["w10_repo_snippets"] = with_(
     " UNION ALL ".join(f"SELECT *, '{k}' AS variant FROM ({snippets('v_files', sc)})" for k, sc in SN.SNIPPET_SOURCES.items()),
     "v_files")
+
+# --- remaining inventory rows ---------------------------------------------------------
+ORACLE["f10_snippet_and_chunk_length"] = with_(
+    f"SELECT path, length(snippet) > 100 AS snippet_ok, length({strip('snippet')}) > 20 AS chunk_ok "
+    f"FROM (SELECT path, {head_lines('content', 40)} AS snippet FROM v_files)", "v_files")
+ORACLE["f12_discussion_body_length"] = with_(
+    f"SELECT item_id FROM v_thread_items WHERE length({s('body')}) > 50", "v_thread_items")
+ORACLE["j5_chunk_task_fanout"] = with_(
+    fanout(f"SELECT path, chunk_no, chunk FROM ({chunks('SELECT path, content FROM v_files', 40)}) "
+           f"WHERE length({strip('chunk')}) > 20"), "v_files")

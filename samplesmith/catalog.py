@@ -585,3 +585,26 @@ def w10(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# --- remaining inventory rows ---------------------------------------------------------
+
+@query("f10_snippet_and_chunk_length")
+def f10(spark, sf):
+    """snippet longer than 100 chars / chunk whose stripped text is longer than 20."""
+    f = A.v_files(spark, sf).select("path", T.head_lines("content", 40).alias("snippet"))
+    return f.select("path", (F.length("snippet") > 100).alias("snippet_ok"),
+                    (F.length(T.py_strip("snippet")) > SN.CHUNK_MIN_STRIPPED).alias("chunk_ok"))
+
+
+@query("f12_discussion_body_length")
+def f12(spark, sf):
+    """discussions whose body is longer than 50 characters."""
+    items = A.v_thread_items(spark, sf)
+    return items.where(F.length(T.s("body")) > 50).select("item_id")
+
+
+@query("j5_chunk_task_fanout")
+def j5(spark, sf):
+    """Every chunk x the four-task list (a literal array, exploded per row)."""
+    return SN.task_fanout(SN.min_chunks(A.v_files(spark, sf), window=40).select("path", "chunk_no", "chunk"))
