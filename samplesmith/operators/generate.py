@@ -149,16 +149,16 @@ def variant_samples(spark: SparkSession) -> DataFrame:
     with ``seq`` in the source's order.  The rewrite is C27."""
     from samplesmith.operators.prompts import rewrite_identifiers
     n = VARIANT_REPEATS
-    r = spark.range(n).withColumnRenamed("id", "rep")
+    reps = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep")
     p = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(VARIANT_PROMPTS)], "p long, instruction string, code string")
-    grid = p.crossJoin(F.broadcast(r))  # both sides are fixed-size constants
+    grid = p.select("*", reps)
     orig = grid.select((F.col("p") * n * 2 + F.col("rep") * 2).alias("seq"), "instruction",
                        F.col("code").alias("input"), F.lit(VARIANT_OUTPUT).alias("output"))
     var = grid.select((F.col("p") * n * 2 + F.col("rep") * 2 + 1).alias("seq"), "instruction",
                       rewrite_identifiers("code").alias("input"), F.lit(VARIANT_OUTPUT).alias("output"))
     base = len(VARIANT_PROMPTS) * n * 2
     lg = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(VARIANT_LANGUAGES)], "l long, lang string, code string")
-    langs = lg.crossJoin(F.broadcast(r)).select(
+    langs = lg.select("*", reps).select(
         (F.lit(base) + F.col("l") * n + F.col("rep")).alias("seq"),
         F.concat(F.lit("Write a function in "), F.col("lang")).alias("instruction"),
         F.col("code").alias("input"), F.concat(F.lit("Correct "), F.col("lang"), F.lit(" code.")).alias("output"))
