@@ -8,15 +8,19 @@ result feeds a sink and metrics, the metrics ride on the write job
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from samplesmith.operators import convert as C
 from samplesmith.operators import reasoning as RS
+from samplesmith.operators import scoring as SC
 from samplesmith.operators import snippets as SN
 from samplesmith.operators import threads as TH
 from samplesmith.plans import merge as M
 from samplesmith.sources import jsonl as J
 from samplesmith.sources import registry as REG
+from samplesmith.schema import GENERATION
+from samplesmith.session import materialize
 from samplesmith.sources import trees as TR
 
 
@@ -76,5 +80,62 @@ def threads_to_samples(spark: SparkSession, items_path: str, comments_path: str,
     return J.write_jsonl(TH.thread_samples(items, comments, max_items), out)
 
 
+def problems_to_samples(spark: SparkSession, train_path: str, test_path: str, out_dir: str,
+                        limit: int | None = None) -> dict:
+    """W9 ``convert_apps``: per split, a lenient scan (S2) capped on parseable
+    lines (L2), P12, appended to the split's file (S5); then both splits
+    concatenated (S11)."""
+    schema = "question string, solutions string, difficulty string"
+    counts = {}
+    outs = []
+    for name, path in (("apps_train", train_path), ("apps_test", test_path)):
+        df = J.read_jsonl_lenient(spark, path, schema=spark.createDataFrame([], schema).schema)
+        if limit:
+            df = df.orderBy(*J.FILE_ORDER).limit(limit)
+        out = f"{out_dir}/{name}"
+        counts[name] = J.write_jsonl(C.apps_with_difficulty(df), out, mode="append")
+        outs.append(out)
+    counts["combined"] = J.concat_files(spark, outs, f"{out_dir}/combined")
+    return counts
+
+
+def training_set(spark: SparkSession, samples_path: str, tokens_path: str, out_dir: str, max_seq: int = 2048,
+                 style: str = "inst", seed: int = 42, test_size: float = 0.05, batch: int = 4, accum: int = 4) -> dict:
+    """W7 ``load_tokenize_dataset``: S2 -> C19 -> C26 (token rows from any tokenizer's
+    output, joined by ``id`` = the sample's position key) -> O1 -> O2, written as
+    two parquet folders; A11 steps per epoch from the written train count.
+
+    Samples carry an ``id`` (the key of the tokenizer's ``(id, tokens)`` table)."""
+    schema = spark.createDataFrame([], "id long, instruction string, input string, output string").schema
+    s = J.read_jsonl_lenient(spark, samples_path, schema=schema).withColumnRenamed("id", "seq")
+    tokens = spark.read.parquet(tokens_path)
+    rows = M.training_rows(s, tokens, max_seq=max_seq, style=style, seed=seed, test_size=test_size)
+    out = {}
+    for split in ("train", "eval"):
+        obs = Observation(split)
+        part = rows.where(F.col("split") == split).drop("split").observe(obs, F.count(F.lit(1)).alias("rows"))
+        part.write.mode("overwrite").parquet(f"{out_dir}/{split}")
+        out[split] = int(obs.get.get("rows", 0))
+    out["steps_per_epoch"] = out["train"] // (batch * accum)
+    out["dataset_kind"] = spark.range(1).select(C.dataset_kind(F.lit(samples_path))).first()[0]
+    return out
+
+
+def score(spark: SparkSession, generations_path: str, tests_path: str, out_dir: str, fallback_ckpt: str | None = None) -> dict:
+    """W8 over generation outcomes: per-problem results (A3, L7, J4, C22) are
+    checkpointed once into the shared checkpoint folder, then feed the results
+    sink (S14), the summary table (A6) and the base-vs-tuned comparison (A7)."""
+    gens = spark.read.schema(GENERATION).json(generations_path)
+    tests = spark.read.schema("task_id long, prompt string, test string").json(tests_path)
+    problems = materialize(M.score_benchmarks(gens, tests), fallback_ckpt)
+    problems.write.mode("overwrite").json(f"{out_dir}/results")
+    summary = SC.summary_table(problems).orderBy("results_key")
+    summary.write.mode("overwrite").json(f"{out_dir}/summary")
+    comparison = SC.improvement(problems)
+    comparison.write.mode("overwrite").json(f"{out_dir}/comparison")
+    return {"summary": [r.asDict() for r in summary.collect()],          # one row per results key
+            "comparison": [r.asDict() for r in comparison.collect()]}   # one row per benchmark
+
+
 def samples_frame(df: DataFrame) -> DataFrame:
     return df.select("instruction", "input", "output")
