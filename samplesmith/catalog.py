@@ -276,7 +276,7 @@ def j2(spark, sf):
 
 @query("j3_a7_base_vs_tuned")
 def j3(spark, sf):
-    r = SC.improvement(SC.per_problem(SC.with_code(A.v_generations(spark, sf))))
+    r = SC.improvement(SC.problem_outcomes(A.v_generations(spark, sf)))
     return r.withColumns({c: _r4(F.col(c)) for c in ("base_rate", "ft_rate", "improvement")})
 
 
@@ -305,13 +305,13 @@ def a3(spark, sf):
 
 @query("a4_solved_fraction")
 def a4(spark, sf):
-    p = SC.per_problem(SC.with_code(A.v_generations(spark, sf)))
+    p = SC.problem_outcomes(A.v_generations(spark, sf))
     return SC.solved_fraction(p).withColumn("solved_fraction", _r4(F.col("solved_fraction")))
 
 
 @query("a4b_unbiased_pass_at_k")
 def a4b(spark, sf):
-    p = SC.per_problem(SC.with_code(A.v_generations(spark, sf)))
+    p = SC.problem_outcomes(A.v_generations(spark, sf))
     return SC.unbiased_pass_at_k(p, 10).withColumn("pass_at_10", _r4(F.col("pass_at_10")))
 
 
@@ -323,7 +323,7 @@ def a5(spark, sf):
 
 @query("a6_summary_table")
 def a6(spark, sf):
-    s = SC.summary_table(SC.per_problem(SC.with_code(A.v_generations(spark, sf))))
+    s = SC.summary_table(SC.problem_outcomes(A.v_generations(spark, sf)))
     return s.withColumn("rate", _r4(F.col("rate")))
 
 

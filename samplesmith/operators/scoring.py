@@ -101,15 +101,20 @@ def attach_tests(gens: DataFrame, tests: DataFrame) -> DataFrame:
     return j.withColumn("full_code", F.when(T.truthy("code"), F.concat(F.col("code"), F.lit("\n"), F.col("test"))))
 
 
-def per_problem(gens: DataFrame, keys=("benchmark", "model", "task_id")) -> DataFrame:
-    """A3 + L7: ``num_passed``, ``passed = any``, ``total`` (actual generation
-    count — deviation from the source's constant), and the first three
-    sub-results ``first_codes`` / ``first_passed`` in generation order."""
-    keys = list(keys)
-    agg = gens.groupBy(*keys).agg(
+def problem_outcomes(gens: DataFrame, keys=("benchmark", "model", "task_id")) -> DataFrame:
+    """A3 without sub-results: ``num_passed``, ``passed = any``, ``total`` per
+    problem (actual generation count — deviation from the source's constant)."""
+    return gens.groupBy(*keys).agg(
         F.count_if(F.col("passed")).cast("bigint").alias("num_passed"),
         F.bool_or(F.col("passed")).alias("passed"),
         F.count(F.lit(1)).alias("total"))
+
+
+def per_problem(gens: DataFrame, keys=("benchmark", "model", "task_id")) -> DataFrame:
+    """A3 + L7: the outcomes plus the first three sub-results ``first_codes`` /
+    ``first_passed`` in generation order."""
+    keys = list(keys)
+    agg = problem_outcomes(gens, keys)
     first = head_per_group(gens, keys, ["gen"], SUB_RESULTS)
     subs = first.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("gen", T.head(T.s("code"), 200).alias("code"), "passed"))).alias("subs"))
@@ -150,12 +155,15 @@ def summary_table(problems: DataFrame) -> DataFrame:
 def improvement(problems: DataFrame) -> DataFrame:
     """A7 + J3: base vs fine-tuned per benchmark.  Rates are over the base
     model's problem count, as in the source; ``improvement = ft_rate - base_rate``."""
-    agg = problems.groupBy("benchmark", "model").agg(
-        F.count_if(F.col("passed")).cast("bigint").alias("passed"), F.count(F.lit(1)).alias("total"))
-    base = agg.where(F.col("model") == "base").select(
-        "benchmark", F.col("passed").alias("base_passed"), F.col("total"))
-    ft = agg.where(F.col("model") == "fine_tuned").select("benchmark", F.col("passed").alias("ft_passed"))
-    j = base.join(ft, "benchmark")
+    # One conditional aggregation (a pivot on model) instead of joining two
+    # aggregates: one exchange, and a benchmark appears only when both models do.
+    base, ft, ok = F.col("model") == "base", F.col("model") == "fine_tuned", F.col("passed")
+    agg = problems.groupBy("benchmark").agg(
+        F.count_if(base & ok).cast("bigint").alias("base_passed"),
+        F.count_if(base).cast("bigint").alias("total"),
+        F.count_if(ft & ok).cast("bigint").alias("ft_passed"),
+        F.count_if(ft).cast("bigint").alias("ft_total"))
+    j = agg.where((F.col("total") > 0) & (F.col("ft_total") > 0))
     return j.select("benchmark", "base_passed", "ft_passed", "total",
                     (F.col("base_passed") / F.col("total") * 100).alias("base_rate"),
                     (F.col("ft_passed") / F.col("total") * 100).alias("ft_rate"),
