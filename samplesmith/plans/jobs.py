@@ -42,14 +42,32 @@ def merge_files(spark: SparkSession, keys: list[str], out: str, data_dir: str =
     return {"written": n, **{k: o.get for k, o in obs.items()}}
 
 
+def process_files(spark: SparkSession, input_files: list[str], out: str, limit: int | None = None) -> int:
+    """W2 ``merge_and_process``: per JSONL file a lenient scan (S2), routing by
+    file name (P11), the ordered union (U1), narrow keep-first dedup (D2) and
+    head (L1).  Non-JSONL inputs are skipped."""
+    from samplesmith.schema import RAW
+    parts = []
+    for k, path in enumerate(p for p in input_files if p.endswith(".jsonl")):
+        df = J.read_jsonl_lenient(spark, path, schema=RAW)
+        parts.append(df.select(F.lit(k).alias("dataset_ord"), F.lit(path.rsplit("/", 1)[-1]).alias("dataset"),
+                               F.struct(*J.FILE_ORDER).alias("seq"), *RAW.fieldNames()))
+    if not parts:
+        return J.write_jsonl(spark.createDataFrame([], "instruction string, input string, output string"), out)
+    named = parts[0]
+    for p in parts[1:]:
+        named = named.unionByName(p)
+    return J.write_jsonl(M.process_and_merge(named, limit), out)
+
+
 def reasoning_files(spark: SparkSession, src: str, out: str, version: str = "v2", tools: bool = False,
-                    limit: int | None = None) -> int:
+                    limit: int | None = None, add_cot: bool = True, add_tools: bool = True) -> int:
     """W5/W6 CLIs: lenient scan (S2), optional head in file order, transform, write."""
     df = J.read_jsonl_lenient(spark, src)
     if limit:
         df = df.orderBy(*J.FILE_ORDER).limit(limit)
     if version == "v1":
-        t = RS.transform_v1(df)
+        t = RS.transform_v1(df, add_cot=add_cot, add_tools=add_tools)
     elif tools:
         t = RS.transform_v2_tools(df)
     else:

@@ -85,3 +85,20 @@ def test_threads_and_snippets(spark, tmp_path):
     assert n == 3  # tests/ is pruned for variant a
     first = spark.read.json(str(tmp_path / "snip")).first()
     assert first.instruction == "Explain this py code snippet." and len(first.input) == 600
+
+
+def test_cli_process_merge_generate(spark, tmp_path):
+    from samplesmith.__main__ import main
+    d = tmp_path / "data"
+    write(str(d / "apps_train.jsonl"), [{"question": "Q", "solutions": json.dumps(["s"]), "starter_code": "def f():"}])
+    write(str(d / "codealpaca.jsonl"), [{"instruction": "Do x", "input": "in", "output": "o"},
+                                        {"instruction": "Do x", "input": "in", "output": "dup"}, {"instruction": ""}])
+    write(str(d / "codesearchnet.jsonl"), [{"code": "c", "english_documentation": "d"}])
+    res = main(["process", "--inputs", str(d / "apps_train.jsonl"), str(d / "codealpaca.jsonl"),
+                str(d / "codesearchnet.jsonl"), "--output", str(tmp_path / "proc")])
+    got = sorted(r.output for r in spark.read.json(str(tmp_path / "proc")).collect())
+    assert res["written"] == 4 and got == ["", "", "o", "s"]
+    listed = main(["merge", "--list", "--data-dir", str(d)])
+    assert {r["name"]: r["status"] for r in listed["datasets"]}["apps_train"] == "present"
+    gen = main(["generate", "--kind", "bank", "--count", "50", "--output", str(tmp_path / "gen")])
+    assert gen["written"] == 50
