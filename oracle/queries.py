@@ -6,7 +6,7 @@ SQL so the driver can check each Spark plan against it.
 
 from __future__ import annotations
 
-from oracle.sqltext import (NL, WS, after_first_newline, cascade, contains_any, first_line, first_nonempty, head,
+from oracle.sqltext import (NL, after_first_newline, cascade, contains_any, first_line, first_nonempty, head,
                             head_lines, lit, nonempty, one_line, pick, s, strip, truthy)
 from oracle.views import VIEWS
 from samplesmith import adapters as A
