@@ -90,6 +90,22 @@ def repo_snippets(spark: SparkSession, root: str, out: str, variant: str = "a",
     return J.write_jsonl(SN.snippet_samples(files, src), out, mode=mode)
 
 
+def python_tree_chunks(spark: SparkSession, root: str, name: str, out: str) -> int:
+    """S8 + P29 (``download_extra``): ``.py`` files outside dot and virtualenv
+    directories, 20-line windows over the first 80 lines with path and line
+    range in the instruction."""
+    files = TR.scan_tree(spark, root, exts=[".py"], repo=name)
+    return J.write_jsonl(SN.line_provenance_chunks(files, name), out)
+
+
+def code_search_samples(spark: SparkSession, root: str, out: str, langs: list[str] | None = None,
+                        splits: list[str] | None = None) -> int:
+    """S9 + P21 (``download_codesearchnet``): one read over a ``lang=/split=``
+    parquet layout (absent partitions simply missing; filters prune folders)."""
+    df = REG.read_partitioned_parquet(spark, root, langs, splits)
+    return J.write_jsonl(C.function_doc_multilang(df), out)
+
+
 def threads_to_samples(spark: SparkSession, items_path: str, comments_path: str, out: str,
                        max_items: int | None = None) -> int:
     """W4 over issue/PR and comment dumps (JSONL)."""

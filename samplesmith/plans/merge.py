@@ -64,15 +64,17 @@ def merge_observed(parts: list[DataFrame], limit: int | None = None, dedup: bool
 def stage_counts(parts: list[DataFrame]) -> DataFrame:
     """A9 as a table ``(stage, rows)``: per-dataset loads, total, after F3, after D1."""
     u = normalized_union(parts)
-    per = u.groupBy("dataset_ord").agg(F.count(F.lit(1)).alias("rows")) \
-        .select(F.concat(F.lit("loaded:"), F.col("dataset_ord").cast("string")).alias("stage"), "rows")
-    tot = u.agg(F.count(F.lit(1)).alias("rows"), F.count_if(T.truthy("instruction") | T.truthy("output")).alias("kept"))
-    tot = tot.select(F.inline(F.array(
-        F.struct(F.lit("loaded").alias("stage"), F.col("rows").alias("rows")),
-        F.struct(F.lit("after_filter").alias("stage"), F.col("kept").cast("bigint").alias("rows")))))
+    # One pass for the load and filter counts (one global aggregate, partial per task) ...
+    kept = T.truthy("instruction") | T.truthy("output")
+    aggs = [F.count_if(F.col("dataset_ord") == i).cast("bigint").alias(f"loaded:{i}") for i in range(len(parts))]
+    aggs += [F.count(F.lit(1)).alias("loaded"), F.count_if(kept).cast("bigint").alias("after_filter")]
+    names = [f"loaded:{i}" for i in range(len(parts))] + ["loaded", "after_filter"]
+    counts = u.agg(*aggs).select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("stage"), F.col(f"`{n}`").alias("rows")) for n in names])))
+    # ... and one for the dedup count.
     dd = D.dedup_wide(C.keep_nonempty(u), ORDER).agg(F.count(F.lit(1)).alias("rows")) \
         .select(F.lit("after_dedup").alias("stage"), "rows")
-    return per.unionByName(tot).unionByName(dd)
+    return counts.unionByName(dd)
 
 
 def inventory(spark: SparkSession, registry: DataFrame, rows: DataFrame, name_col: str = "dataset") -> DataFrame:

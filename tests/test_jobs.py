@@ -87,6 +87,29 @@ def test_threads_and_snippets(spark, tmp_path):
     assert first.instruction == "Explain this py code snippet." and len(first.input) == 600
 
 
+def test_python_tree_and_code_search(spark, tmp_path):
+    from samplesmith.sources import registry as REG
+    root = tmp_path / "flask"
+    write(str(root / "src" / "app.py"), [f"def handler_{k}(request):  # route number {k}" for k in range(90)])
+    write(str(root / ".hidden" / "x.py"), ["secret = 1  # padding padding padding padding padding"] * 30)
+    write(str(root / "venv" / "lib.py"), ["vendored = 1  # padding padding padding padding padding"] * 30)
+    n = jobs.python_tree_chunks(spark, str(root), "flask", str(tmp_path / "extra"))
+    rows = sorted(spark.read.json(str(tmp_path / "extra")).collect(), key=lambda r: r.instruction)
+    assert n == 4 and rows[0].instruction == "Explain this code from flask (src/app.py, lines 1-20):"
+    assert rows[-1].instruction.endswith("lines 61-80):") and rows[0].output == "The code implements flask functionality."
+    grid = spark.createDataFrame(
+        [("python", "train", "def long_function_name(argument_one, argument_two):\n    return argument_one",
+          "Adds.", "org/repo"),
+         ("go", "test", "func f() {}", "short", "org/go"),
+         ("java", "validation", "public static int add(int a, int b) { return a + b; } // and more", None, None)],
+        "lang string, split string, func_code_string string, func_documentation_string string, repository_name string")
+    REG.write_partitioned_parquet(grid, str(tmp_path / "csn"), by=["lang", "split"])
+    m = jobs.code_search_samples(spark, str(tmp_path / "csn"), str(tmp_path / "csn_out"))
+    out = {r.instruction: r.output for r in spark.read.json(str(tmp_path / "csn_out")).collect()}
+    assert m == 2 and out == {"Explain this python code:": "Adds.", "Explain this java code:": "Function from codebase"}
+    assert jobs.code_search_samples(spark, str(tmp_path / "csn"), str(tmp_path / "csn_py"), langs=["python"]) == 1
+
+
 def test_cli_process_merge_generate(spark, tmp_path):
     from samplesmith.__main__ import main
     d = tmp_path / "data"
