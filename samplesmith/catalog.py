@@ -579,12 +579,7 @@ def w9(spark, sf):
 
 @query("w10_repo_snippets")
 def w10(spark, sf):
-    files = A.v_files(spark, sf)
-    parts = [SN.snippet_samples(files, SN.SNIPPET_SOURCES[k]).withColumn("variant", F.lit(k)) for k in "abcd"]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return SN.snippet_samples_multi(A.v_files(spark, sf), SN.SNIPPET_SOURCES)
 
 
 # --- remaining inventory rows ---------------------------------------------------------

@@ -115,9 +115,10 @@ def per_problem(gens: DataFrame, keys=("benchmark", "model", "task_id")) -> Data
     ``first_passed`` in generation order."""
     keys = list(keys)
     agg = problem_outcomes(gens, keys)
-    first = head_per_group(gens, keys, ["gen"], SUB_RESULTS)
-    subs = first.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("gen", T.head(T.s("code"), 200).alias("code"), "passed"))).alias("subs"))
+    # Only what the report keeps crosses the shuffle: ids, outcome, code[:200].
+    slim = gens.select(*keys, "gen", "passed", T.head(T.s("code"), 200).alias("code"))
+    first = head_per_group(slim, keys, ["gen"], SUB_RESULTS)
+    subs = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("gen", "code", "passed"))).alias("subs"))
     subs = subs.select(*keys, F.transform("subs", lambda x: x["code"]).alias("first_codes"),
                        F.transform("subs", lambda x: x["passed"]).alias("first_passed"))
     return agg.join(subs, keys)

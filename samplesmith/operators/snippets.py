@@ -170,22 +170,55 @@ def task_fanout(chunks: DataFrame) -> DataFrame:
 def snippet_samples(files: DataFrame, source: SnippetSource) -> DataFrame:
     """P26 (a-d) with F5, F6, F8 and L4: per repo the first ``files_per_repo``
     eligible files in path order, then the head-lines snippet with its length test."""
-    f = files.where(byte_bound(source.min_bytes, source.max_bytes)
-                    & has_extension(source.exts) & not_in_pruned_dir(source.pruned_dirs))
-    f = head_per_group(f, ["repo"], ["path"], source.files_per_repo)
-    sample = T.head_lines("content", source.lines)
+    return snippet_samples_multi(files, {"_": source}).drop("variant")
+
+
+def _eligible(source: SnippetSource) -> Column:
+    return (byte_bound(source.min_bytes, source.max_bytes) & has_extension(source.exts)
+            & not_in_pruned_dir(source.pruned_dirs))
+
+
+def _fill(tpl: str, ext: Column) -> Column:
+    if "{ext}" not in tpl:
+        return F.lit(tpl)
+    a, b = tpl.split("{ext}")
+    return F.concat(F.lit(a), ext, F.lit(b))
+
+
+def snippet_samples_multi(files: DataFrame, sources: dict[str, SnippetSource]) -> DataFrame:
+    """P26 for several scanners at once (W10): one scan, one ranking.
+
+    Each file is tagged with every scanner whose filters it passes; the
+    snippet (at most 40-50 lines, cut to the scanner's character cap plus its
+    length) is computed *before* the per-repo ranking, so the shuffle carries
+    short text, never whole files.  One salted two-stage ranking over
+    ``(variant, repo)`` serves all scanners (partial limit = the largest cap;
+    each scanner's own cap is applied after)."""
+    # The widest byte bounds over all scanners: a plain range on ``length`` that
+    # the scan can take as a pushed filter, so oversize files are never read.
+    mins = [s.min_bytes for s in sources.values()]
+    envelope = byte_bound(None if None in mins else min(mins), max(s.max_bytes for s in sources.values()))
+    tags = F.filter(F.array(*[F.when(_eligible(s), F.lit(k)) for k, s in sources.items()]), lambda x: x.isNotNull())
+    f = files.where(envelope).select("repo", "path", "content", F.explode(tags).alias("variant"))
+
+    def per_variant(pick):
+        expr = None
+        for k, s in sources.items():
+            v = pick(s)
+            expr = F.when(F.col("variant") == k, v) if expr is None else expr.when(F.col("variant") == k, v)
+        return expr
+
+    snippet = per_variant(lambda s: T.head_lines("content", s.lines))
+    f = f.select("variant", "repo", "path", snippet.alias("snippet"))
+    f = f.select("variant", "repo", "path", F.length("snippet").alias("snippet_chars"),
+                 per_variant(lambda s: T.head("snippet", s.chars)).alias("input"))
+    ranked = head_per_group(f, ["variant", "repo"], ["path"], max(s.files_per_repo for s in sources.values()))
+    ranked = ranked.where(F.col("rank_in_group") <= per_variant(lambda s: F.lit(s.files_per_repo)))
     ext = extension("path")
-
-    def fill(tpl: str) -> Column:
-        if "{ext}" not in tpl:
-            return F.lit(tpl)
-        a, b = tpl.split("{ext}")
-        return F.concat(F.lit(a), ext, F.lit(b))
-
-    return (f.select("repo", "path", "rank_in_group", sample.alias("snippet"))
-             .where(F.length("snippet") > 100)
-             .select("repo", "path", fill(source.instruction).alias("instruction"),
-                     T.head("snippet", source.chars).alias("input"), fill(source.output).alias("output")))
+    return (ranked.where(F.col("snippet_chars") > 100)
+                  .select("variant", "repo", "path",
+                          per_variant(lambda s: _fill(s.instruction, ext)).alias("instruction"), "input",
+                          per_variant(lambda s: _fill(s.output, ext)).alias("output")))
 
 
 def line_provenance_chunks(files: DataFrame, name: str) -> DataFrame:
