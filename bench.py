@@ -42,8 +42,10 @@ def main() -> None:
     from samplesmith.catalog import QUERIES
     from samplesmith.session import get_spark
 
-    spark = get_spark("samplesmith-bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
-                      extra={"spark.driver.memory": "16g"})
+    extra = {"spark.driver.memory": "16g"}
+    if os.environ.get("BENCH_EVENT_LOG_DIR"):  # stage/task times for later reading, no UI
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG_DIR"]})
+    spark = get_spark("samplesmith-bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, extra=extra)
     # Warm-up (JVM, codegen caches): not timed.
     QUERIES["c1_classify_problem"](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
