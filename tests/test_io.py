@@ -73,6 +73,18 @@ def test_registry_inventory(spark, tmp_path):
     assert REG.select_keys(groups=["codesearchnet"]) == ["codesearchnet1", "codesearchnet2"]
 
 
+def test_tree_stream_incremental(spark, tmp_path):
+    from samplesmith.streaming import trees as STT
+    root, out, ck = tmp_path / "incoming", str(tmp_path / "tree_out"), str(tmp_path / "tree_ck")
+    write(str(root / "r" / "a.py"), [f"result_{k} = process({k})" for k in range(10)])
+    STT.start_tree_stream(spark, str(root), out, checkpoint=ck).awaitTermination(120)
+    assert spark.read.json(out).count() == 4
+    write(str(root / "r" / "b.js"), [f"const value{k} = compute({k});" for k in range(10)])
+    STT.start_tree_stream(spark, str(root), out, checkpoint=ck).awaitTermination(120)
+    rows = spark.read.json(out).collect()
+    assert len(rows) == 8 and {r.path for r in rows} == {"r/a.py", "r/b.js"}  # a.py is not processed twice
+
+
 def test_reasoning_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     write(f"{src}/part1.jsonl", [json.dumps({"instruction": "Write code", "input": "", "output": "def f(): pass"}),
