@@ -755,3 +755,7 @@ ORACLE["f12_discussion_body_length"] = with_(
 ORACLE["j5_chunk_task_fanout"] = with_(
     fanout(f"SELECT path, chunk_no, chunk FROM ({chunks('SELECT path, content FROM v_files', 40)}) "
            f"WHERE length({strip('chunk')}) > 20"), "v_files")
+ORACLE["o2b_exact_split"] = with_(
+    "SELECT seq, CASE WHEN row_number() OVER (ORDER BY h, seq) <= ceil(0.05 * count(*) OVER ()) THEN 'eval' "
+    "ELSE 'train' END AS split FROM (SELECT seq, CAST(('0x' || substr(md5('split42:' || CAST(seq AS VARCHAR)), 1, 8)) "
+    "AS BIGINT) AS h FROM v_samples)", "v_samples")

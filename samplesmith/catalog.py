@@ -603,3 +603,9 @@ def f12(spark, sf):
 def j5(spark, sf):
     """Every chunk x the four-task list (a literal array, exploded per row)."""
     return SN.task_fanout(SN.min_chunks(A.v_files(spark, sf), window=40).select("path", "chunk_no", "chunk"))
+
+
+@query("o2b_exact_split")
+def o2b(spark, sf):
+    """O2 exact-count mode: exactly ceil(5% of n) eval rows, smallest (hash, id) first."""
+    return L.exact_train_eval_split(_samples(spark, sf).select("seq"), "seq")

@@ -79,6 +79,42 @@ def train_eval_split(df: DataFrame, id_col: str, test_size: float = 0.05, seed:
     return df.withColumn("split", F.when(split_bucket(id_col, seed) < test_size, F.lit("eval")).otherwise(F.lit("train")))
 
 
+def split_hash(id_col: str | Column, seed: int = 42) -> Column:
+    """The split's 32-bit hash of ``id`` as a non-negative integer."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"split{seed}:"), T.col(id_col).cast("string"))), 1, 8),
+                  16, 10).cast("bigint")
+
+
+def exact_train_eval_split(df: DataFrame, id_col: str, test_size: float = 0.05, seed: int = 42,
+                           prefix_bits: int = 16) -> DataFrame:
+    """O2, exact-count mode: exactly ``ceil(test_size * n)`` rows are 'eval' —
+    those with the smallest ``(hash, id)`` — without a global window.
+
+    Pass 1 counts rows per hash prefix (``2**prefix_bits`` buckets at most, a
+    bounded table for the driver); the driver finds the boundary bucket; pass 2
+    ranks only that bucket's rows (about ``n / 2**prefix_bits``) as a top-k.
+    """
+    import math
+    h = split_hash(id_col, seed)
+    shift = 32 - prefix_bits
+    tagged = df.withColumn("__h", h).withColumn("__p", F.shiftright(F.col("__h"), shift))
+    hist = {r["__p"]: r["count"] for r in tagged.groupBy("__p").count().collect()}  # <= 2**prefix_bits rows
+    k = math.ceil(test_size * sum(hist.values()))
+    below, boundary, need = 0, None, 0
+    for p in sorted(hist):
+        if below + hist[p] >= k:
+            boundary, need = p, k - below
+            break
+        below += hist[p]
+    if boundary is None:  # k == 0: no eval rows
+        return tagged.withColumn("split", F.lit("train")).drop("__h", "__p")
+    edge = (tagged.where(F.col("__p") == boundary).orderBy("__h", id_col).limit(need)
+            .select(F.col(id_col).alias("__eid"), F.lit(True).alias("__edge")))
+    out = tagged.join(edge, tagged[id_col] == edge["__eid"], "left")
+    is_eval = (F.col("__p") < boundary) | F.coalesce(F.col("__edge"), F.lit(False))
+    return out.withColumn("split", F.when(is_eval, "eval").otherwise("train")).drop("__h", "__p", "__eid", "__edge")
+
+
 def prefix_breakdown(df: DataFrame, order: list[str], first_rows: int = 1000, width: int = 30) -> DataFrame:
     """A2: counts per ``instruction[:30]`` over all rows, for the prefixes seen in
     the first ``first_rows`` rows, sorted by prefix.

@@ -197,3 +197,12 @@ def test_prompt_styles(spark):
     assert df.select(PR.render_prompt("inst")).first()[0] == "[INST] i\nx [/INST]\no"
     assert df.select(PR.render_prompt("nope")).first()[0] == "[INST] i\nx [/INST]\no"
     assert df.select(PR.render_prompt("cot")).first()[0].startswith("## Task\ni\n\n## Input\nx\n\n## Reasoning\n")
+
+
+def test_exact_split_counts(spark):
+    import math
+    for n, size in [(1000, 0.05), (37, 0.05), (5000, 0.2), (3, 0.5)]:
+        df = spark.range(n).withColumnRenamed("id", "seq")
+        got = {r.split: r["count"] for r in L.exact_train_eval_split(df, "seq", size, prefix_bits=4)
+               .groupBy("split").count().collect()}
+        assert got.get("eval", 0) == math.ceil(size * n) and sum(got.values()) == n
