@@ -63,10 +63,22 @@ def shuffle_key(id_col: str | Column, seed: int = 42) -> Column:
 
 
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
-    """O1: rows in a seeded pseudo-random order (ties broken by id)."""
+    """O1: rows in a seeded pseudo-random total order (ties broken by id).
+
+    A global sort: Spark's range partitioner samples its input first (an extra
+    pass over the upstream plan).  ``seeded_shuffle_files`` avoids that."""
     return df.orderBy(shuffle_key(id_col, seed), F.col(id_col))
 
 
+def seeded_shuffle_files(df: DataFrame, key_col: str, id_col: str, partitions: int | None = None) -> DataFrame:
+    """O1 for written datasets: hash-partition on the (uniform) shuffle key and
+    sort within partitions — one shuffle, no sampling pass.  Each output file
+    holds a seeded random subset in seeded random order; the key column is
+    kept, so the total order stays recoverable."""
+    parts = df.repartition(partitions, key_col) if partitions else df.repartition(key_col)
+    return parts.sortWithinPartitions(key_col, id_col)
+
+
 def split_bucket(id_col: str | Column, seed: int = 42) -> Column:
     """A uniform value in [0, 1) per id, from the first 32 bits of an md5."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit(f"split{seed}:"), T.col(id_col).cast("string"))), 1, 8), 16, 10)

@@ -104,7 +104,7 @@ def training_rows(samples: DataFrame, token_ids: DataFrame, max_seq: int = PR.DE
     out = j.select("seq", "prompt", *[v.alias(k) for k, v in cols.items()],
                    L.shuffle_key("seq", seed).alias("shuffle_key"))
     out = L.train_eval_split(out, "seq", test_size, seed)
-    return out.orderBy("shuffle_key", "seq")
+    return L.seeded_shuffle_files(out, "shuffle_key", "seq")
 
 
 def score_benchmarks(gens: DataFrame, tests: DataFrame) -> DataFrame:
