@@ -115,8 +115,11 @@ def resolve_repo(target: str | Column, model_name: str) -> Column:
 
 def parse_repo_url(url: str | Column) -> dict[str, Column]:
     """C24 ``parse_repo_url``: the last two path parts; every ``.git`` removed from the repo."""
+    # try_element_at: a URL with no "/" yields null for the owner instead of
+    # failing the whole job (the source would raise on that one row).
     parts = F.split(F.rtrim(T.s(url), F.lit("/")), "/", -1)
-    return {"owner": F.element_at(parts, -2), "repo": F.replace(F.element_at(parts, -1), F.lit(".git"), F.lit(""))}
+    return {"owner": F.try_element_at(parts, F.lit(-2)),
+            "repo": F.replace(F.try_element_at(parts, F.lit(-1)), F.lit(".git"), F.lit(""))}
 
 
 def rewrite_identifiers(code: str | Column) -> Column:
