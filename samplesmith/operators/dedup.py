@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from samplesmith.functions import text as T
-from samplesmith.operators.limits import SALT_BUCKETS, salt
+from samplesmith.operators.limits import salt, salt_buckets
 
 # Key widths of the two dedup rules.
 WIDE_INPUT_CHARS = 200          # D1: instruction + input[:200]
@@ -41,15 +41,16 @@ def narrow_key() -> Column:
                     T.head(T.s("input"), NARROW_INPUT_CHARS))
 
 
-def keep_first(df: DataFrame, key: Column, order: list[str], salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+def keep_first(df: DataFrame, key: Column, order: list[str], buckets: int | None = None) -> DataFrame:
     """Keep the first row (by ``order``) of every ``key``.
 
-    Salted two-stage plan: keep-first per ``(key, salt)``, then per key.  Each
-    stage drops duplicates map-side (partial ``WindowGroupLimit``), so a key
-    shared by a third of all rows reaches its final task as at most
-    ``salt_buckets`` rows instead of one row per map task.
+    Salted two-stage plan: keep-first per ``(key, salt)`` (salt = map task
+    modulo ``buckets``), then per key.  Each stage drops duplicates map-side
+    (partial ``WindowGroupLimit``), so for a key shared by a third of all rows
+    each first-stage task receives rows from ``1/buckets`` of the map tasks,
+    and the final task receives at most ``buckets`` rows.
     """
-    k = df.withColumn("__k", key).withColumn("__salt", salt(order, salt_buckets))
+    k = df.withColumn("__k", key).withColumn("__salt", salt(buckets or salt_buckets(df)))
     s1 = Window.partitionBy("__k", "__salt").orderBy(*order)
     first = k.withColumn("__rn", F.row_number().over(s1)).where(F.col("__rn") == 1).drop("__rn", "__salt")
     w = Window.partitionBy("__k").orderBy(*order)

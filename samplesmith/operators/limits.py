@@ -31,27 +31,40 @@ def head_n(df: DataFrame, n: int | None, order: list[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-SALT_BUCKETS = 64
+SALT_BUCKETS = 64  # default; a session may set samplesmith.saltBuckets (about sqrt(input partitions))
 
 
-def salt(order: list[str], buckets: int = SALT_BUCKETS) -> Column:
-    """A bucket in ``[0, buckets)`` from the row's order key (spreads one group)."""
-    return F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(buckets))
+def salt_buckets(df: DataFrame, default: int | None = None) -> int:
+    return int(df.sparkSession.conf.get("samplesmith.saltBuckets", str(default or SALT_BUCKETS)))
+
+
+def salt(buckets: int = SALT_BUCKETS) -> Column:
+    """The first-stage bucket of a row: its *map task* modulo ``buckets``.
+
+    With partial limits, every map task already forwards at most one row (or
+    ``n``) per key.  Salting by map task makes each first-stage reducer of a
+    hot key hear from only ``1/buckets`` of the map tasks; salting by a row
+    hash would not (every task would still reach every bucket).  The salt
+    only routes rows: the second stage picks by ``order``, so results do not
+    depend on it.
+    """
+    return F.pmod(F.spark_partition_id(), F.lit(buckets))
 
 
 def head_per_group(df: DataFrame, group: list[str], order: list[str], n: int,
-                   salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+                   buckets: int | None = None) -> DataFrame:
     """The first ``n`` rows of every group, in ``order``; adds ``rank_in_group``.
 
-    Two stages, each with a partial ``WindowGroupLimit`` before its exchange:
-    first per ``(group, salt)``, then per group over at most
-    ``n * salt_buckets`` candidates.  A group holding a third of all rows is
-    thus spread over ``salt_buckets`` tasks, and the task that ranks it
-    finally sees a bounded number of rows, whatever the data size.
+    Two stages, each with a partial ``WindowGroupLimit`` before its exchange
+    (every map task forwards at most ``n`` rows per group): first per
+    ``(group, salt)`` with the salt taken from the map task, then per group.
+    For a group holding a third of all rows, each first-stage task hears
+    from ``1/buckets`` of the map tasks, and the final task ranks at most
+    ``n * buckets`` candidates.
     ``order`` must identify rows within a group (ties would be arbitrary).
     """
     s1 = Window.partitionBy(*group, "__salt").orderBy(*order)
-    first = (df.withColumn("__salt", salt(order, salt_buckets))
+    first = (df.withColumn("__salt", salt(buckets or salt_buckets(df)))
                .withColumn("__r", F.row_number().over(s1)).where(F.col("__r") <= n).drop("__r", "__salt"))
     w = Window.partitionBy(*group).orderBy(*order)
     return first.withColumn("rank_in_group", F.row_number().over(w)).where(F.col("rank_in_group") <= n)

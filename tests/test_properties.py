@@ -123,7 +123,7 @@ def test_keep_first_model(spark, pairs):
        st.integers(1, 4))
 def test_head_per_group_model(spark, rows, n):
     df = spark.createDataFrame(rows, "g int, o int")
-    got = sorted((r.g, r.o, r.rank_in_group) for r in L.head_per_group(df, ["g"], ["o"], n, salt_buckets=3).collect())
+    got = sorted((r.g, r.o, r.rank_in_group) for r in L.head_per_group(df.repartition(5), ["g"], ["o"], n, buckets=3).collect())
     want = []
     for g in sorted({g for g, _ in rows}):
         for rank, o in enumerate(sorted(o for gg, o in rows if gg == g)[:n], 1):

@@ -1,9 +1,9 @@
 """Hot-key probe on the given tables: a third of all rows share one key.
 
-Checks that keep-first (D1) and per-group heads (L4) stay exact and reports
-how many rows of the hot key reach the final stage (bounded by the salt
-bucket count, not by the data).  Usage:
-    python tools/skew_probe.py [sf_dir]
+Checks that keep-first (D1) and per-group heads (L4) stay exact and reports,
+for the hot key, the most rows any first-stage task receives and the rows
+the final task receives.  Usage:
+    python tools/skew_probe.py [sf_dir] [map_partitions]
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
+    maps = int(sys.argv[2]) if len(sys.argv) > 2 else 256
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
@@ -27,25 +28,30 @@ def main() -> None:
     from samplesmith.session import get_spark
 
     spark = get_spark("skew-probe", master="local[8]", shuffle_partitions=16)
+    buckets = L.SALT_BUCKETS
     docs = A.read(spark, sf, "documents")
     hot = F.col("doc_id") % 3 == 0
     rows = docs.select(F.col("doc_id").alias("seq"),
                        F.when(hot, F.lit("HOT")).otherwise(F.col("text")).alias("instruction"),
                        F.lit("").alias("input"), F.lit("").alias("output"),
                        F.when(hot, F.lit("hot_repo")).otherwise(F.col("source")).alias("repo"),
-                       F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path")).repartition(64)
-    n_hot = rows.where("instruction = 'HOT'").count()
-    out = {"rows": rows.count(), "hot_rows": n_hot}
+                       F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path")).repartition(maps)
+    out = {"rows": rows.count(), "hot_rows": rows.where("instruction = 'HOT'").count(), "map_tasks": maps,
+           "salt_buckets": buckets}
 
     t = time.perf_counter()
-    dd = D.dedup_wide(rows)
-    hot_survivors = dd.where("instruction = 'HOT'").select("seq").collect()
+    hot_survivors = D.dedup_wide(rows).where("instruction = 'HOT'").select("seq").collect()
     out["d1_sec"] = round(time.perf_counter() - t, 2)
     out["d1_hot_survivor_is_first"] = [r.seq for r in hot_survivors] == [0]
-    # Stage-1 survivors of the hot key = what the final stage sees for it.
-    k = rows.withColumn("__k", D.wide_key()).withColumn("__salt", L.salt(["seq"]))
-    s1 = k.withColumn("__r", F.row_number().over(Window.partitionBy("__k", "__salt").orderBy("seq"))).where("__r = 1")
-    out["d1_hot_rows_into_final_stage"] = s1.where("__k = 'HOT'").count()
+    # What the first stage receives for the hot key: one row per map task (partial
+    # limit), routed to salt = map task % buckets.
+    m = rows.withColumn("__k", D.wide_key()).withColumn("__salt", L.salt(buckets)) \
+        .withColumn("__task", F.spark_partition_id())
+    part = m.withColumn("__r", F.row_number().over(Window.partitionBy("__task", "__k").orderBy("seq"))) \
+        .where("__r = 1 AND __k = 'HOT'")
+    per_bucket = part.groupBy("__salt").count()
+    out["d1_hot_max_rows_per_first_stage_task"] = per_bucket.agg(F.max("count")).first()[0]
+    out["d1_hot_rows_into_final_stage"] = per_bucket.count()
 
     t = time.perf_counter()
     top = L.head_per_group(rows, ["repo"], ["path"], 10)
@@ -53,9 +59,6 @@ def main() -> None:
     out["l4_sec"] = round(time.perf_counter() - t, 2)
     want = [r.path for r in rows.where("repo = 'hot_repo'").orderBy("path").limit(10).collect()]
     out["l4_hot_head_exact"] = hot_top == want
-    s1 = rows.withColumn("__salt", L.salt(["path"])).withColumn(
-        "__r", F.row_number().over(Window.partitionBy("repo", "__salt").orderBy("path"))).where("__r <= 10")
-    out["l4_hot_rows_into_final_stage"] = s1.where("repo = 'hot_repo'").count()
     print(json.dumps(out))
 
 
