@@ -5,12 +5,13 @@
 an arbitrary survivor, so it is not used.
 
 Physical plan: ``row_number() = 1`` per ``(key, salt)`` and then per ``key``
-(salt = a hash of the order key).  Spark plans each stage with a *partial*
-``WindowGroupLimit`` before its exchange, so each map task forwards at most
-one row per key.  A hot key (say a third of all rows sharing one
-instruction+input) is spread over the salt buckets in the first stage and
-reaches the final stage as at most ``SALT_BUCKETS`` rows — never the whole
-group, and never one row per map task of a huge input.
+(salt = the map task modulo the bucket count).  Spark plans each stage with
+a *partial* ``WindowGroupLimit`` before its exchange, so each map task
+forwards at most one row per key.  For a hot key (say a third of all rows
+sharing one instruction+input) each first-stage task receives rows from
+only ``1/buckets`` of the map tasks, and the final stage receives at most
+``buckets`` rows — never the whole group, and never one row per map task of
+a huge input.
 """
 
 from __future__ import annotations
