@@ -755,6 +755,18 @@ ORACLE["f12_discussion_body_length"] = with_(
 ORACLE["j5_chunk_task_fanout"] = with_(
     fanout(f"SELECT path, chunk_no, chunk FROM ({chunks('SELECT path, content FROM v_files', 40)}) "
            f"WHERE length({strip('chunk')}) > 20"), "v_files")
+_RAW_COLS = "seq, instruction, input, output, prompt, completion, text, code, question, solutions"
+ORACLE["s1_s4_jsonl_strict_roundtrip"] = with_(
+    f"SELECT {_RAW_COLS} FROM v_raw WHERE {truthy('instruction')} OR {truthy('prompt')}", "v_raw")
+ORACLE["s2_jsonl_lenient_scan"] = with_(
+    "SELECT seq, instruction, prompt FROM v_raw WHERE NOT (seq % 23 = 7) AND NOT (seq % 17 = 5)", "v_raw")
+ORACLE["s3_rejected_lines"] = with_("SELECT seq FROM v_raw WHERE NOT (seq % 23 = 7) AND seq % 17 = 5", "v_raw")
+ORACLE["s9_s10_parquet_grid"] = with_(
+    f"SELECT seq, split, lang, 'Explain this ' || lang || ' code:' AS instruction, {head(s('func_code_string'), 2000)} AS input, "
+    f"CASE WHEN {truthy('func_documentation_string')} THEN {head('func_documentation_string', 500)} "
+    f"ELSE 'Function from ' || coalesce(nullif(repository_name, ''), 'codebase') END AS output FROM v_code_doc "
+    f"WHERE lang IN ('python', 'go', 'ruby') AND split IN ('train', 'test') "
+    f"AND {truthy(s('func_code_string'))} AND length({s('func_code_string')}) > 50", "v_code_doc")
 ORACLE["o2b_exact_split"] = with_(
     "SELECT seq, CASE WHEN row_number() OVER (ORDER BY h, seq) <= ceil(0.05 * count(*) OVER ()) THEN 'eval' "
     "ELSE 'train' END AS split FROM (SELECT seq, CAST(('0x' || substr(md5('split42:' || CAST(seq AS VARCHAR)), 1, 8)) "

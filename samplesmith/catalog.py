@@ -609,3 +609,74 @@ def j5(spark, sf):
 def o2b(spark, sf):
     """O2 exact-count mode: exactly ceil(5% of n) eval rows, smallest (hash, id) first."""
     return L.exact_train_eval_split(_samples(spark, sf).select("seq"), "seq")
+
+
+# --- sources through real files ---------------------------------------------------
+# Files are derived by Spark from the given tables into a scratch folder under
+# spark.checkpoint.dir (a local temp folder only when the session names none),
+# then read back through the sources.
+
+def _scratch(spark: SparkSession, name: str, sf: str) -> str:
+    import os
+    import tempfile
+    from samplesmith.session import checkpoint_dir
+    base = checkpoint_dir(spark, os.path.join(tempfile.gettempdir(), "samplesmith-checkpoints"))
+    tag = os.path.basename(os.path.normpath(sf))
+    return f"{base.rstrip('/')}/samplesmith-scratch/{tag}/{name}"
+
+
+_RAW_WITH_SEQ = "seq long, " + ", ".join(f"{f} string" for f in
+                                         ["instruction", "input", "output", "prompt", "completion", "text", "code",
+                                          "question", "solutions"])
+
+
+@query("s1_s4_jsonl_strict_roundtrip")
+def s1(spark, sf):
+    """S4 sink then S1 strict scan: null fields are written as missing keys; rows
+    with neither instruction nor prompt are dropped on the way back (F2)."""
+    from samplesmith.sources import jsonl as J
+    path = _scratch(spark, "s1_jsonl", sf)
+    A.v_raw(spark, sf).drop("dataset").write.mode("overwrite").json(path)
+    back = J.read_jsonl_strict(spark, path, spark.createDataFrame([], _RAW_WITH_SEQ).schema)
+    return back.drop("file_path", "file_block_start", "row_in_block")
+
+
+def _lines_with_rejects(spark, sf) -> str:
+    """JSONL text with a malformed line every 17th row and a blank line every 23rd."""
+    path = _scratch(spark, "s2_jsonl_lines", sf)
+    raw = A.v_raw(spark, sf).drop("dataset")
+    js = F.to_json(F.struct(*raw.columns))
+    line = (F.when(F.col("seq") % 23 == 7, F.lit(""))
+            .when(F.col("seq") % 17 == 5, F.expr("substring(__j, 1, length(__j) - 1)"))
+            .otherwise(F.col("__j")))
+    raw.withColumn("__j", js).select(line.alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
+@query("s2_jsonl_lenient_scan")
+def s2(spark, sf):
+    """Malformed and blank lines silently dropped, no field filter."""
+    from samplesmith.sources import jsonl as J
+    path = _lines_with_rejects(spark, sf)
+    back = J.read_jsonl_lenient(spark, path, spark.createDataFrame([], _RAW_WITH_SEQ).schema)
+    return back.select("seq", "instruction", "prompt")
+
+
+@query("s3_rejected_lines")
+def s3(spark, sf):
+    """S3: the malformed lines, identified by the seq they carry."""
+    from samplesmith.sources import jsonl as J
+    bad = J.rejected_lines(spark, _lines_with_rejects(spark, sf))
+    return bad.select(F.regexp_extract("_corrupt", r'"seq":([0-9]+)', 1).cast("bigint").alias("seq"))
+
+
+@query("s9_s10_parquet_grid")
+def s9(spark, sf):
+    """S10 partitioned parquet sink, then S9 one read over the lang x split grid
+    with partition pruning, feeding P21."""
+    from samplesmith.sources import registry as REG
+    path = _scratch(spark, "s9_grid", sf)
+    A.v_code_doc(spark, sf).select("seq", "lang", "split", "func_code_string", "func_documentation_string",
+                                   "repository_name").write.mode("overwrite").partitionBy("lang", "split").parquet(path)
+    grid = REG.read_partitioned_parquet(spark, path, langs=["python", "go", "ruby"], splits=["train", "test"])
+    return C.function_doc_multilang(grid)
