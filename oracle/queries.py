@@ -283,12 +283,31 @@ def github_sql(x: str) -> str:
             f"WHEN {url} IS NOT NULL AND contains(lower({url}), 'github') THEN {url} END)")
 
 
+def json_string_sql(x: str) -> str:
+    """A JSON string literal as Python's json.dumps writes it (ensure_ascii)."""
+    u = "unicode(ch)"
+    short = " ".join(f"WHEN ch = {raw} THEN {lit(out)}" for raw, out in [
+        ("'\"'", '\\"'), ("'\\'", "\\\\"), ("chr(10)", "\\n"), ("chr(13)", "\\r"), ("chr(9)", "\\t"),
+        ("chr(8)", "\\b"), ("chr(12)", "\\f")])
+    esc = (f"CASE {short} WHEN {u} BETWEEN 32 AND 126 THEN ch "
+           f"WHEN {u} > 65535 THEN '\\u' || printf('%04x', 55296 + (({u} - 65536) >> 10)) || '\\u' || "
+           f"printf('%04x', 56320 + (({u} - 65536) & 1023)) "
+           f"ELSE '\\u' || printf('%04x', {u}) END")
+    body = (f"CASE WHEN regexp_matches({x}, '^[ !#-\\[\\]-~]*$') THEN {x} ELSE "
+            f"array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda ch: {esc}), '') END")
+    return f"('\"' || ({body}) || '\"')"
+
+
 def tool_call_sql(instruction: str, inp: str, output: str) -> str:
     i, x, o = s(instruction), s(inp), s(output)
 
     def call(tool, *kv):
-        args = ", ".join(f"{lit(k)}, {v}" for k, v in kv)
-        return f"CAST(json_object('tool', {lit(tool)}, 'args', json_object({args})) AS VARCHAR)"
+        parts = [lit('{"tool": "' + tool + '", "args": {')]
+        for k, (key, v) in enumerate(kv):
+            parts.append(lit((", " if k else "") + '"' + key + '": '))
+            parts.append(f"CAST({v} AS VARCHAR)" if key == "lines" else json_string_sql(v))
+        parts.append(lit("}}"))
+        return "(" + " || ".join(parts) + ")"
     return (f"(CASE WHEN {contains_any(i, TL.WEB_WORDS)} THEN "
             f"{call('web_search', ('query', f'CASE WHEN {truthy(x)} THEN {head(x, 100)} ELSE {i} END'))} "
             f"WHEN {contains_any(i, TL.READ_WORDS)} THEN "

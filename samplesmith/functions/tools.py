@@ -3,9 +3,8 @@
 The catalogue is a constant rendered once on the driver; the per-row tool call
 is a ``CASE`` cascade whose branches each build a ``to_json(struct(...))``.
 
-Deliberate deviation: the call JSON is Spark's compact form
-(``{"tool":"x","args":{...}}``, raw UTF-8) instead of Python's
-``json.dumps`` spacing and ``\\uXXXX`` escapes. Both parse to the same value.
+The call JSON is byte-for-byte Python's ``json.dumps`` output (spacing,
+short escapes, ``\\uXXXX`` for non-ASCII), built from native string functions.
 """
 
 from __future__ import annotations
@@ -142,6 +141,38 @@ def extract_github_url(x) -> Column:
     )
 
 
+_PLAIN_ASCII_RE = r'^[ !#-\[\]-~]*$'  # printable ASCII without '"' and '\'
+_SHORT_ESCAPES = [('"', '\\"'), ("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"),
+                  ("\f", "\\f")]
+
+
+def json_string(c) -> Column:
+    """A JSON string literal exactly as Python's ``json.dumps`` writes it
+    (``ensure_ascii``): short escapes for quote, backslash and \\n \\r \\t \\b \\f;
+    ``\\uXXXX`` (lower-case hex) for every other code point outside space..tilde;
+    a surrogate pair above U+FFFF.  Plain printable ASCII skips the per-code-point
+    path."""
+    c = T.col(c)
+
+    def hex4(n: Column) -> Column:
+        return F.lower(F.lpad(F.hex(n), 4, "0"))
+
+    def esc(ch: Column) -> Column:
+        cp = F.ascii(ch)
+        expr = None
+        for raw, out in _SHORT_ESCAPES:
+            expr = F.when(ch == raw, F.lit(out)) if expr is None else expr.when(ch == raw, F.lit(out))
+        high = F.lit(0xD800) + F.shiftright(cp - 0x10000, 10)
+        low = F.lit(0xDC00) + (cp - 0x10000).bitwiseAND(0x3FF)
+        return (expr.when((cp >= 32) & (cp <= 126), ch)
+                .when(cp > 0xFFFF, F.concat(F.lit("\\u"), hex4(high), F.lit("\\u"), hex4(low)))
+                .otherwise(F.concat(F.lit("\\u"), hex4(cp))))
+
+    body = F.when(c.rlike(_PLAIN_ASCII_RE), c).otherwise(
+        F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), 0), esc), ""))
+    return F.concat(F.lit('"'), body, F.lit('"'))
+
+
 def tool_name(instruction) -> Column:
     """C6, first half: which tool the instruction asks for."""
     i = T.s(instruction)
@@ -161,7 +192,14 @@ def tool_call_json(instruction, input_text, output) -> Column:
     name = tool_name(instruction)
 
     def call(tool: str, **args) -> Column:
-        return F.to_json(F.struct(F.lit(tool).alias("tool"), F.struct(*[v.alias(k) for k, v in args.items()]).alias("args")))
+        # Python's json.dumps layout: ", " and ": " separators; strings escaped
+        # by json_string, integers as digits.
+        parts: list[Column] = [F.lit('{"tool": "' + tool + '", "args": {')]
+        for k, (key, v) in enumerate(args.items()):
+            parts.append(F.lit((", " if k else "") + '"' + key + '": '))
+            parts.append(v.cast("string") if key == "lines" else json_string(v))
+        parts.append(F.lit("}}"))
+        return F.concat(*parts)
 
     return (
         F.when(name == "web_search",

@@ -107,7 +107,7 @@ def test_cot_v1(spark):
     assert r.instruction == "Use Chain-of-Thought reasoning and available tools to complete this task."
     assert "Step 1: Understand what needs to be done - data more" in r.output
     assert "\nExecution trace:\n" in r.output
-    assert r.output.endswith('"args":{"code":"import os\\nprint(1)"}}\n```')
+    assert r.output.endswith('{"tool": "python_executor", "args": {"code": "import os\\nprint(1)"}}\n```')
     assert r.input.startswith("data\nmore\n\n## Available Tools\n```json\n[\n  {")
 
 

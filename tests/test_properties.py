@@ -131,6 +131,17 @@ def test_head_per_group_model(spark, rows, n):
     assert got == sorted(want)
 
 
+@SETTINGS
+@given(st.lists(st.text(max_size=30), min_size=1, max_size=25))
+def test_json_string_matches_json_dumps(spark, values):
+    import json
+
+    from samplesmith.functions import tools as TL
+    got = run(spark, values, TL.json_string("x"))
+    for v, (j,) in zip(values, got):
+        assert j == json.dumps(v), repr(v)
+
+
 def test_strip_whitespace_set_matches_python():
     import sys
     assert T.PY_WHITESPACE == "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
