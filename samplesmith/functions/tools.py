@@ -146,13 +146,26 @@ _SHORT_ESCAPES = [('"', '\\"'), ("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("
                   ("\f", "\\f")]
 
 
-def json_string(c) -> Column:
-    """A JSON string literal exactly as Python's ``json.dumps`` writes it
-    (``ensure_ascii``): short escapes for quote, backslash and \\n \\r \\t \\b \\f;
-    ``\\uXXXX`` (lower-case hex) for every other code point outside space..tilde;
-    a surrogate pair above U+FFFF.  Plain printable ASCII skips the per-code-point
-    path."""
+_NO_CONTROL_RE = r'^[^\x00-\x1f"\\]*$'  # nothing to escape when ensure_ascii is off
+
+
+def json_string(c, ensure_ascii: bool = True) -> Column:
+    """A JSON string literal exactly as Python's ``json.dumps`` writes it:
+    short escapes for quote, backslash and \\n \\r \\t \\b \\f; ``\\uXXXX``
+    (lower-case hex) for other control characters and — with ``ensure_ascii`` —
+    for every code point outside space..tilde (a surrogate pair above U+FFFF).
+    Strings with nothing to escape skip the per-code-point path."""
     c = T.col(c)
+    if not ensure_ascii:
+        def esc_raw(ch: Column) -> Column:
+            cp = F.ascii(ch)
+            expr = None
+            for raw, out in _SHORT_ESCAPES:
+                expr = F.when(ch == raw, F.lit(out)) if expr is None else expr.when(ch == raw, F.lit(out))
+            return expr.when(cp < 32, F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(cp), 4, "0")))).otherwise(ch)
+        body = F.when(c.rlike(_NO_CONTROL_RE), c).otherwise(
+            F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), 0), esc_raw), ""))
+        return F.concat(F.lit('"'), body, F.lit('"'))
 
     def hex4(n: Column) -> Column:
         return F.lower(F.lpad(F.hex(n), 4, "0"))

@@ -91,13 +91,36 @@ def read_jsonl_lenient(spark: SparkSession, paths: list[str] | str, schema: T.St
     return _with_order(df)
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", fields: list[str] | None = None) -> int:
-    """One UTF-8 JSON object per line (null rows skipped); returns the
-    row count, collected by the write job itself through ``observe``."""
+def python_json_line(fields: list[str]) -> F.Column:
+    """One line exactly as ``json.dumps(sample, ensure_ascii=False)`` writes it
+    for string fields: ``{"k": "v", ...}`` in field order, raw UTF-8, nulls as ``null``."""
+    from samplesmith.functions.tools import json_string
+    parts: list = [F.lit("{")]
+    for k, f in enumerate(fields):
+        parts.append(F.lit((", " if k else "") + '"' + f + '": '))
+        parts.append(F.coalesce(json_string(F.col(f), ensure_ascii=False), F.lit("null")))
+    parts.append(F.lit("}"))
+    return F.concat(*parts)
+
+
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", fields: list[str] | None = None,
+                layout: str = "python") -> int:
+    """One UTF-8 JSON object per line (all-null rows skipped); returns
+    the row count, collected by the write job itself through ``observe``.
+
+    ``layout="python"`` writes each line byte-for-byte as the source does
+    (``json.dumps(..., ensure_ascii=False)``); ``layout="spark"`` uses Spark's
+    compact JSON writer (which omits null fields)."""
     fields = fields or SAMPLE_FIELDS
     obs = Observation("written")
-    out = df.select(*fields).where(F.coalesce(*[F.col(f).isNotNull() for f in fields]))
-    out.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode(mode).json(path)
+    any_set = F.lit(False)
+    for f in fields:
+        any_set = any_set | F.col(f).isNotNull()
+    out = df.select(*fields).where(any_set).observe(obs, F.count(F.lit(1)).alias("rows"))
+    if layout == "spark":
+        out.write.mode(mode).json(path)
+    else:
+        out.select(python_json_line(fields).alias("value")).write.mode(mode).text(path)
     return int(obs.get.get("rows", 0))
 
 

@@ -27,6 +27,17 @@ def test_blank_lines_and_missing_file(spark, tmp_path):
     assert J.read_jsonl_lenient(spark, p).count() == 3
 
 
+def test_sink_lines_match_python_layout(spark, tmp_path):
+    rows = [("Écris une fonction", "entrée\t\"x\"\\", "def f():\n    return 'ü' \x01"), ("a", "", "b")]
+    df = spark.createDataFrame(rows, "instruction string, input string, output string")
+    out = str(tmp_path / "sink")
+    assert J.write_jsonl(df, out) == 2
+    got = sorted(r.value for r in spark.read.text(out).collect())
+    want = sorted(json.dumps({"instruction": a, "input": b, "output": c}, ensure_ascii=False) for a, b, c in rows)
+    assert got == want
+    assert J.read_jsonl_lenient(spark, out).count() == 2
+
+
 def test_file_order_key(spark, tmp_path):
     p = str(tmp_path / "ordered.jsonl")
     write(p, [json.dumps({"instruction": f"i{k}", "input": "", "output": ""}) for k in range(500)])
