@@ -64,7 +64,7 @@ def inventory(spark: SparkSession, data_dir: str = "data") -> DataFrame:
     """S15 ``list_available_datasets``: per registry entry its raw line count
     (blank lines included) or MISSING."""
     reg = registry(spark, data_dir)
-    paths = existing_paths(spark, [r.path for r in reg.select("path").collect()])
+    paths = existing_paths(spark, [f"{data_dir}/{n}.jsonl" for ns in DATASET_GROUPS.values() for n in ns])
     if paths:
         lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file_path"))
         counts = lines.groupBy("file_path").agg(F.count(F.lit(1)).alias("lines"))
