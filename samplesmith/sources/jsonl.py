@@ -10,7 +10,7 @@ No single task ever has to number a whole file.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,14 +70,28 @@ def read_jsonl_all(spark: SparkSession, paths: list[str] | str, schema: T.Struct
 
 
 def rejected_lines(spark: SparkSession, paths: list[str] | str, schema: T.StructType = RAW) -> DataFrame:
-    """S3: path, position and raw text of every malformed (non-blank, unparseable) line."""
+    """S3: path, 1-based line number and raw text of every malformed (non-blank,
+    unparseable) line.
+
+    Line numbers without numbering a file in one task: within a file split,
+    ``monotonically_increasing_id`` is consecutive, so a row's line is the
+    lines of earlier splits of its file (a running sum over the per-split
+    counts: one small row per split) plus its offset in the split, plus one.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     found = existing_paths(spark, paths)
     if not found:
-        return spark.createDataFrame([], f"file_path string, file_block_start long, row_in_block long, {CORRUPT} string")
+        return spark.createDataFrame([], f"file_path string, line_no long, {CORRUPT} string")
     lines = _with_order(spark.read.text(found))
+    splits = lines.groupBy("file_path", "file_block_start").agg(
+        F.count(F.lit(1)).alias("n"), F.min("row_in_block").alias("first_id"))
+    before = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("lines_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     bad = (F.length(TX.py_strip("value")) > 0) & F.try_parse_json("value").isNull()
-    return lines.where(bad).select("file_path", "file_block_start", "row_in_block", F.col("value").alias(CORRUPT))
+    rejected = lines.where(bad).join(splits, ["file_path", "file_block_start"])
+    return rejected.select("file_path",
+                           (F.col("lines_before") + F.col("row_in_block") - F.col("first_id") + 1).alias("line_no"),
+                           F.col("value").alias(CORRUPT))
 
 
 def read_jsonl_lenient(spark: SparkSession, paths: list[str] | str, schema: T.StructType = SAMPLE) -> DataFrame:

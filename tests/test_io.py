@@ -22,7 +22,8 @@ def test_blank_lines_and_missing_file(spark, tmp_path):
               json.dumps({"prompt": "p", "completion": "c"}), "{bad json", json.dumps({"input": "x"})])
     strict = J.read_jsonl_strict(spark, p)
     assert strict.count() == 2
-    assert J.rejected_lines(spark, p).count() == 1
+    rej = J.rejected_lines(spark, p).collect()
+    assert [(r.line_no, r._corrupt) for r in rej] == [(4, "{bad json")]
     assert J.read_jsonl_strict(spark, str(tmp_path / "missing.jsonl")).count() == 0
     assert J.read_jsonl_lenient(spark, p).count() == 3
 
@@ -38,6 +39,22 @@ def test_sink_lines_match_python_layout(spark, tmp_path):
     assert J.read_jsonl_lenient(spark, out).count() == 2
 
 
+def test_rejected_line_numbers_across_splits(spark, tmp_path):
+    p = str(tmp_path / "big.jsonl")
+    lines = [json.dumps({"instruction": f"row {k}", "input": "x" * 40, "output": ""}) for k in range(600)]
+    for k in (3, 250, 599):
+        lines[k] = "{broken " + str(k)
+    lines[100] = ""
+    write(p, lines)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # many splits per file
+    try:
+        got = sorted((r.line_no, r._corrupt) for r in J.rejected_lines(spark, p).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(4, "{broken 3"), (251, "{broken 250"), (600, "{broken 599")]
+
+
 def test_file_order_key(spark, tmp_path):
     p = str(tmp_path / "ordered.jsonl")
     write(p, [json.dumps({"instruction": f"i{k}", "input": "", "output": ""}) for k in range(500)])
