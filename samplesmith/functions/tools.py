@@ -1,7 +1,7 @@
 """Tool catalogue and tool-call synthesis.
 
 The catalogue is a constant rendered once on the driver; the per-row tool call
-is a ``CASE`` cascade whose branches each build a ``to_json(struct(...))``.
+is a ``CASE`` cascade whose branches each concatenate a JSON object.
 
 The call JSON is byte-for-byte Python's ``json.dumps`` output (spacing,
 short escapes, ``\\uXXXX`` for non-ASCII), built from native string functions.
@@ -141,12 +141,13 @@ def extract_github_url(x) -> Column:
     )
 
 
-_PLAIN_ASCII_RE = r'^[ !#-\[\]-~]*$'  # printable ASCII without '"' and '\'
+_PLAIN_ASCII_RE = r'^[ !#-\[\]-~]*\z'  # printable ASCII without '"' and '\'
 _SHORT_ESCAPES = [('"', '\\"'), ("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"),
                   ("\f", "\\f")]
 
 
-_NO_CONTROL_RE = r'^[^\x00-\x1f"\\]*$'  # nothing to escape when ensure_ascii is off
+_NO_CONTROL_RE = r'^[^\x00-\x1f"\\]*\z'  # nothing to escape when ensure_ascii is off
+_OTHER_CONTROL_RE = r'[\x00-\x07\x0b\x0e-\x1f]'  # control characters without a short escape
 
 
 def json_string(c, ensure_ascii: bool = True) -> Column:
@@ -163,8 +164,14 @@ def json_string(c, ensure_ascii: bool = True) -> Column:
             for raw, out in _SHORT_ESCAPES:
                 expr = F.when(ch == raw, F.lit(out)) if expr is None else expr.when(ch == raw, F.lit(out))
             return expr.when(cp < 32, F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(cp), 4, "0")))).otherwise(ch)
-        body = F.when(c.rlike(_NO_CONTROL_RE), c).otherwise(
-            F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), 0), esc_raw), ""))
+        # Fast path: the seven short escapes as plain replaces (backslash first);
+        # the per-code-point path only when another control character is present.
+        short = c
+        for raw, out in [_SHORT_ESCAPES[1]] + [e for e in _SHORT_ESCAPES if e[0] != "\\"]:
+            short = F.replace(short, F.lit(raw), F.lit(out))
+        body = (F.when(c.rlike(_NO_CONTROL_RE), c)
+                .when(~c.rlike(_OTHER_CONTROL_RE), short)
+                .otherwise(F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), 0), esc_raw), "")))
         return F.concat(F.lit('"'), body, F.lit('"'))
 
     def hex4(n: Column) -> Column:

@@ -142,6 +142,23 @@ def test_json_string_matches_json_dumps(spark, values):
         assert j == json.dumps(v), repr(v)
 
 
+def test_json_string_control_and_line_ends(spark):
+    """Seeded sweep over quotes, backslashes, control characters, line breaks at
+    the end (a Java ``$`` would match before them) and astral characters."""
+    import json
+    import random
+
+    from samplesmith.functions import tools as TL
+    rnd = random.Random(7)
+    alphabet = 'ab é"\\\n\r\t\b\f\x01\x1f\x7f😀/ '
+    values = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 12))) for _ in range(1500)]
+    values += ["abc\n", "\r", "x\r\n", "plain"]
+    got = run(spark, values, TL.json_string("x"), TL.json_string("x", ensure_ascii=False))
+    for v, (a, b) in zip(values, got):
+        assert a == json.dumps(v), repr(v)
+        assert b == json.dumps(v, ensure_ascii=False), repr(v)
+
+
 def test_strip_whitespace_set_matches_python():
     import sys
     assert T.PY_WHITESPACE == "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
