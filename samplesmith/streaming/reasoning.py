@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from samplesmith.operators import reasoning as RS
 from samplesmith.schema import SAMPLE, SAMPLE_FIELDS
 from samplesmith.session import checkpoint_dir
+from samplesmith.sources.jsonl import python_json_line
 
 
 def sample_stream(spark: SparkSession, src_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -45,7 +46,8 @@ def start_reasoning_stream(spark: SparkSession, src_dir: str, out_dir: str, vers
     """Start the streaming job writing JSONL to ``out_dir``."""
     if checkpoint is None:
         checkpoint = posixpath.join(checkpoint_dir(spark), "reasoning-" + version + ("-tools" if tools else ""))
-    out = transformed(sample_stream(spark, src_dir), version, tools).select(*SAMPLE_FIELDS)
-    w = out.writeStream.format("json").option("path", out_dir).option("checkpointLocation", checkpoint)
+    out = transformed(sample_stream(spark, src_dir), version, tools).select(
+        python_json_line(SAMPLE_FIELDS).alias("value"))  # the batch sinks' exact line layout
+    w = out.writeStream.format("text").option("path", out_dir).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

@@ -18,6 +18,7 @@ from samplesmith.functions import text as T
 from samplesmith.operators import snippets as SN
 from samplesmith.schema import SAMPLE_FIELDS
 from samplesmith.session import checkpoint_dir
+from samplesmith.sources.jsonl import python_json_line
 
 # The binaryFile source's fixed schema (streams must state it).
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -39,7 +40,7 @@ def start_tree_stream(spark: SparkSession, root: str, out_dir: str, checkpoint:
                        T.normalize_newlines(T.utf8_lenient("content")).alias("content"))
     files = files.where(SN.name_has_no_skip_word(SN.TREE_SKIP_WORDS))
     samples = SN.task_fanout(SN.tree_chunks(files).select("path", "chunk_no", "chunk"))
-    w = (samples.select("path", "chunk_no", "task_no", *SAMPLE_FIELDS).writeStream.format("json")
+    w = (samples.select(python_json_line(SAMPLE_FIELDS).alias("value")).writeStream.format("text")
          .option("path", out_dir).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
