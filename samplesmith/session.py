@@ -50,10 +50,14 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        current = spark.sparkContext.getCheckpointDir()
+        if current:
+            return current
         if not fallback:
             raise RuntimeError("spark.checkpoint.dir is not set; pass a shared folder")
+        # spark.checkpoint.dir is a core setting (not changeable at runtime);
+        # the context-level directory is.
         d = fallback
-        spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
