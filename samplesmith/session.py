@@ -49,8 +49,12 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     Only when it is unset (local tests) is ``fallback`` installed.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no context; the server's setting applies
+        sc = None
     if not d:
-        current = spark.sparkContext.getCheckpointDir()
+        current = sc.getCheckpointDir() if sc is not None else None
         if current:
             return current
         if not fallback:
@@ -58,8 +62,8 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         # spark.checkpoint.dir is a core setting (not changeable at runtime);
         # the context-level directory is.
         d = fallback
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 

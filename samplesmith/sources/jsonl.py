@@ -24,13 +24,23 @@ FILE_ORDER = ["file_path", "file_block_start", "row_in_block"]
 def existing_paths(spark: SparkSession, paths: list[str]) -> list[str]:
     """Driver-side existence check through the cluster file system (missing
     files are skipped, as the source does)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+    except Exception:  # no JVM handle (e.g. a Spark Connect session): ask the reader
+        jvm = conf = None
     out = []
     for p in paths:
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        if hp.getFileSystem(conf).exists(hp):
+        if jvm is not None:
+            hp = jvm.org.apache.hadoop.fs.Path(p)
+            if hp.getFileSystem(conf).exists(hp):
+                out.append(p)
+            continue
+        try:
+            _ = spark.read.format("text").load(p).schema  # lists the path; raises when missing
             out.append(p)
+        except Exception:
+            pass
     return out
 
 
