@@ -3,12 +3,15 @@
 * Global heads (L1, L2, L3, L6, L8) are ``orderBy(order).limit(n)``: Spark
   plans ``TakeOrderedAndProject`` — each task keeps its own top ``n`` and only
   ``n`` rows per task reach the final merge, so the cost is bounded by ``n``.
-* Per-group heads (L4, L5, L7) are ``row_number() <= n`` over the group;
-  Spark inserts a partial ``WindowGroupLimit`` before the exchange, so a hot
-  group ships at most ``n`` rows per map task.
+* Per-group heads (L4, L5, L7) are ``row_number() <= n`` in two stages —
+  per ``(group, map-task salt)``, then per group — each with a partial
+  ``WindowGroupLimit`` before its exchange, so a hot group ships at most ``n``
+  rows per map task and its final task ranks at most ``n * buckets`` rows.
 * The shuffle (O1) is a total order on ``md5(seed:id)`` — range-partitioned,
-  never a single-partition window.  The split (O2) is a per-row hash bucket:
-  no shuffle at all.
+  never a single-partition window; written datasets use a hash partition on
+  the key plus a local sort instead (no sampling pass).  The split (O2) is a
+  per-row hash bucket: no shuffle at all; its exact-count mode reads a bounded
+  hash histogram.
 """
 
 from __future__ import annotations

@@ -4,9 +4,10 @@
 Input is a file table ``(repo, path, length, content)`` as produced by
 ``samplesmith.sources.trees.scan_tree`` (or an adapter).  Everything is a
 narrow projection + ``posexplode`` of a per-row array, except the per-repo
-file cap (L4), a ``row_number() <= n`` over ``repo`` that Spark plans with a
-partial ``WindowGroupLimit`` before the exchange — so even a repository with
-a third of all files ships at most ``n`` rows per map task.
+file cap (L4): the salted two-stage ``head_per_group`` with partial
+``WindowGroupLimit`` s, applied to short snippet rows (never whole files), so
+even a repository with a third of all files ships at most ``n`` rows per map
+task and reaches its final task as at most ``n * buckets`` rows.
 """
 
 from __future__ import annotations

@@ -3,11 +3,11 @@ accounting (A9), dataset inventory (J1/A1/S15), training rows (W7) and
 benchmark scoring (W8).
 
 Shuffle budget per job:
-* W1/W2 — one exchange, at the keep-first dedup (D1/D2); the head (L1) is a
-  bounded top-k.  Scan, routing (P1-P4/P11) and filters (F2/F3) fuse into the
-  map stage.
-* W7 — one join of rendered samples with token rows on ``seq``, then a total
-  order on the shuffle key (range partitioned).
+* W1/W2 — the keep-first dedup (D1/D2): two exchanges, each after a partial
+  limit (salted by map task, then by key); the head (L1) is a bounded top-k.
+  Scan, routing (P1-P4/P11) and filters (F2/F3) fuse into the map stage.
+* W7 — one join of rendered samples with token rows on ``seq``, then one hash
+  exchange on the shuffle key with a local sort (no range-sampling pass).
 * W8 — aggregates keyed by problem (partial + final), the L7 head per
   problem (partial WindowGroupLimit first), and small joins of aggregates.
 """
