@@ -54,6 +54,7 @@ def main() -> None:
     cold: dict[str, float] = {}
     for name in names:
         runs = []
+        spark.sparkContext.setJobDescription(name)  # tags the event log (tools/shuffle_report.py)
         for _ in range(reps):
             df = QUERIES[name](spark, sf_dir)
             t0 = time.perf_counter()
