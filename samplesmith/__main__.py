@@ -41,6 +41,21 @@ def build_parser() -> argparse.ArgumentParser:
     t = sub.add_parser("repo", help="W3: source tree -> four-task samples")
     t.add_argument("--repo", required=True, help="local directory")
     t.add_argument("--output", required=True)
+    t.add_argument("--discussion-items", default=None, help="issue/PR dump (JSONL) to append as W4 samples")
+    t.add_argument("--discussion-comments", default=None)
+    t.add_argument("--max-items", type=int, default=50)
+
+    cv = sub.add_parser("convert", help="P12-P21, P25: convert a local dump (JSONL or parquet)")
+    cv.add_argument("--kind", required=True, choices=sorted(jobs.CONVERTERS))
+    cv.add_argument("--input", required=True)
+    cv.add_argument("--output", required=True)
+    cv.add_argument("--format", choices=["jsonl", "parquet"], default="jsonl")
+    cv.add_argument("--limit", type=int, default=None, help="cap on rows scanned or kept, per converter")
+
+    pt = sub.add_parser("python-tree", help="S8/P29: .py files -> 20-line chunks with line ranges")
+    pt.add_argument("--root", required=True)
+    pt.add_argument("--name", required=True)
+    pt.add_argument("--output", required=True)
 
     s = sub.add_parser("snippets", help="W10: repositories -> explain-snippet samples")
     s.add_argument("--root", required=True)
@@ -101,7 +116,13 @@ def main(argv: list[str] | None = None) -> dict:
         res = {"written": jobs.reasoning_files(spark, args.input, args.output, args.version, args.tools, args.limit,
                                                add_cot=not args.no_cot, add_tools=not args.no_tools)}
     elif c == "repo":
-        res = {"written": jobs.tree_to_samples(spark, args.repo, args.output)}
+        res = {"written": jobs.tree_to_samples(spark, args.repo, args.output, discussion_items=args.discussion_items,
+                                               discussion_comments=args.discussion_comments,
+                                               max_items=args.max_items)}
+    elif c == "convert":
+        res = {"written": jobs.convert_dump(spark, args.kind, args.input, args.output, args.format, args.limit)}
+    elif c == "python-tree":
+        res = {"written": jobs.python_tree_chunks(spark, args.root, args.name, args.output)}
     elif c == "snippets":
         res = {"written": jobs.repo_snippets(spark, args.root, args.output, args.variant,
                                              "append" if args.append else "overwrite")}

@@ -75,11 +75,21 @@ def reasoning_files(spark: SparkSession, src: str, out: str, version: str = "v2"
     return J.write_jsonl(t, out)
 
 
-def tree_to_samples(spark: SparkSession, root: str, out: str, repo: str | None = None) -> int:
-    """W3 ``repo2dataset --local``: S6 scan with F5/F7, F9, P28a chunks, P27 fan-out."""
+def tree_to_samples(spark: SparkSession, root: str, out: str, repo: str | None = None,
+                    discussion_items: str | None = None, discussion_comments: str | None = None,
+                    max_items: int | None = 50) -> int:
+    """W3 ``repo2dataset --local``: S6 scan with F5/F7, F9, P28a chunks, P27 fan-out;
+    with discussion dumps, the W4 samples (first ``max_items`` items) follow."""
     files = TR.scan_tree(spark, root, exts=SN.TREE_EXTS, repo=repo)
     files = files.where(SN.name_has_no_skip_word(SN.TREE_SKIP_WORDS))
-    samples = SN.task_fanout(SN.tree_chunks(files).select("path", "chunk_no", "chunk"))
+    samples = SN.task_fanout(SN.tree_chunks(files).select("path", "chunk_no", "chunk")).select(
+        "instruction", "input", "output")
+    if discussion_items and discussion_comments:
+        items = spark.read.schema("item_id long, title string, body string, pull_request struct<url:string>") \
+            .json(discussion_items)
+        comments = spark.read.schema("parent_key long, ord long, body string").json(discussion_comments)
+        samples = samples.unionByName(
+            TH.thread_samples(items, comments, max_items).select("instruction", "input", "output"))
     return J.write_jsonl(samples, out)
 
 
@@ -90,6 +100,46 @@ def repo_snippets(spark: SparkSession, root: str, out: str, variant: str = "a",
     return J.write_jsonl(SN.snippet_samples(files, src), out, mode=mode)
 
 
+CONVERTERS = {  # --kind -> (converter, cap applies to rows scanned (L2) or kept (L3))
+    "alpaca": (C.alpaca_hub, "kept"),
+    "humaneval": (C.humaneval_hub, "kept"),
+    "mbpp": (C.mbpp_hub, "kept"),
+    "python-instruct": (C.python_instruct_hub, "kept"),
+    "first-nonempty-a": (C.first_nonempty_a, "scanned"),
+    "first-nonempty-b": (C.first_nonempty_b, "scanned"),
+    "code-docstring": (C.code_docstring, "scanned"),
+    "function-doc-short": (C.function_doc_short, "scanned"),
+    "function-doc-multilang": (C.function_doc_multilang, "scanned"),
+    "problems": (C.apps_with_difficulty, "scanned"),
+    "discussions": (C.discussion_samples, "scanned"),
+}
+
+
+def convert_dump(spark: SparkSession, kind: str, src: str, out: str, fmt: str = "jsonl",
+                 limit: int | None = None) -> int:
+    """The hub converters (P13-P21, P12, P25) over local dumps: a JSONL (lenient
+    scan, file order) or parquet input, the converter, and the source's cap —
+    on rows scanned (L2) or on rows kept (L3) depending on the converter."""
+    from samplesmith.operators.limits import head_n
+    from samplesmith.schema import RAW
+    fn, cap = CONVERTERS[kind]
+    if fmt == "parquet":  # file order = (file, row index within the file)
+        df = spark.read.parquet(src).select("*", F.col("_metadata.file_path").alias("__file"),
+                                            F.col("_metadata.row_index").alias("__row"))
+        order = ["__file", "__row"]
+    else:
+        df = J.read_jsonl_lenient(spark, src, schema=RAW)
+        order = J.FILE_ORDER
+    if kind == "function-doc-multilang" and "lang" not in df.columns:
+        df = df.withColumn("lang", F.lit("python"))
+    if cap == "scanned":
+        df = head_n(df, limit, order)
+        out_df = fn(df)
+    else:
+        out_df = head_n(fn(df), limit, order)
+    return J.write_jsonl(out_df, out)
+
+
 def python_tree_chunks(spark: SparkSession, root: str, name: str, out: str) -> int:
     """S8 + P29 (``download_extra``): ``.py`` files outside dot and virtualenv
     directories, 20-line windows over the first 80 lines with path and line

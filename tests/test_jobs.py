@@ -110,6 +110,35 @@ def test_python_tree_and_code_search(spark, tmp_path):
     assert jobs.code_search_samples(spark, str(tmp_path / "csn"), str(tmp_path / "csn_py"), langs=["python"]) == 1
 
 
+def test_cli_convert_dumps(spark, tmp_path):
+    from samplesmith.__main__ import main
+    src = str(tmp_path / "alpaca.jsonl")
+    write(src, [{"prompt": f"Task {k}\n  details {k}  ", "completion": "c" * 600} for k in range(5)])
+    res = main(["convert", "--kind", "alpaca", "--input", src, "--output", str(tmp_path / "a"), "--limit", "3"])
+    rows = sorted(spark.read.json(str(tmp_path / "a")).collect(), key=lambda r: r.instruction)
+    assert res["written"] == 3 and [r.instruction for r in rows] == ["Task 0", "Task 1", "Task 2"]
+    assert rows[0].input == "details 0" and len(rows[0].output) == 500
+    pq = str(tmp_path / "csn.parquet")
+    spark.createDataFrame([("java", "x" * 60, None, "org/r"), ("go", "short", "d", None)],
+                          "lang string, func_code_string string, func_documentation_string string, "
+                          "repository_name string").write.parquet(pq)
+    res = main(["convert", "--kind", "function-doc-multilang", "--format", "parquet", "--input", pq,
+                "--output", str(tmp_path / "b")])
+    got = spark.read.json(str(tmp_path / "b")).first()
+    assert res["written"] == 1 and got.instruction == "Explain this java code:" and got.output == "Function from org/r"
+
+
+def test_cli_repo_with_discussions(spark, tmp_path):
+    from samplesmith.__main__ import main
+    write(str(tmp_path / "repo" / "m.py"), [f"value_{k} = compute({k})" for k in range(10)])
+    items, comments = str(tmp_path / "i.jsonl"), str(tmp_path / "c.jsonl")
+    write(items, [{"item_id": 1, "title": "Crash", "body": "Stack trace"}])
+    write(comments, [{"parent_key": 1, "ord": 0, "body": "Fixed in main"}])
+    res = main(["repo", "--repo", str(tmp_path / "repo"), "--output", str(tmp_path / "o"),
+                "--discussion-items", items, "--discussion-comments", comments])
+    assert res["written"] == 4 + 2
+
+
 def test_cli_process_merge_generate(spark, tmp_path):
     from samplesmith.__main__ import main
     d = tmp_path / "data"
