@@ -199,6 +199,15 @@ def test_prompt_styles(spark):
     assert df.select(PR.render_prompt("cot")).first()[0].startswith("## Task\ni\n\n## Input\nx\n\n## Reasoning\n")
 
 
+def test_head_by_range_matches_top_k(spark):
+    df = spark.range(5000).select(F.col("id"), (F.col("id") * 7919 % 5000).alias("k"))
+    for n in (1, 17, 999, 4999, 5000, 7000):
+        got = [r.k for r in L.head_n(df, n, ["k"], range_parts=13).collect()]
+        assert sorted(got) == list(range(min(n, 5000)))
+    a = sorted(r.k for r in L.head_n(df, 20_000, ["k"]).collect())  # large n takes the range path by default
+    assert a == list(range(5000))
+
+
 def test_exact_split_counts(spark):
     import math
     for n, size in [(1000, 0.05), (37, 0.05), (5000, 0.2), (3, 0.5)]:
