@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from samplesmith.operators import convert as C
 from samplesmith.operators import reasoning as RS
+from samplesmith.operators.limits import head_n
 from samplesmith.operators import scoring as SC
 from samplesmith.operators import snippets as SN
 from samplesmith.operators import threads as TH
@@ -65,7 +66,7 @@ def reasoning_files(spark: SparkSession, src: str, out: str, version: str = "v2"
     """W5/W6 CLIs: lenient scan (S2), optional head in file order, transform, write."""
     df = J.read_jsonl_lenient(spark, src)
     if limit:
-        df = df.orderBy(*J.FILE_ORDER).limit(limit)
+        df = head_n(df, limit, J.FILE_ORDER)
     if version == "v1":
         t = RS.transform_v1(df, add_cot=add_cot, add_tools=add_tools)
     elif tools:
@@ -120,7 +121,6 @@ def convert_dump(spark: SparkSession, kind: str, src: str, out: str, fmt: str =
     """The hub converters (P13-P21, P12, P25) over local dumps: a JSONL (lenient
     scan, file order) or parquet input, the converter, and the source's cap —
     on rows scanned (L2) or on rows kept (L3) depending on the converter."""
-    from samplesmith.operators.limits import head_n
     from samplesmith.schema import RAW
     fn, cap = CONVERTERS[kind]
     if fmt == "parquet":  # file order = (file, row index within the file)
@@ -175,7 +175,7 @@ def problems_to_samples(spark: SparkSession, train_path: str, test_path: str, ou
     for name, path in (("apps_train", train_path), ("apps_test", test_path)):
         df = J.read_jsonl_lenient(spark, path, schema=spark.createDataFrame([], schema).schema)
         if limit:
-            df = df.orderBy(*J.FILE_ORDER).limit(limit)
+            df = head_n(df, limit, J.FILE_ORDER)
         out = f"{out_dir}/{name}"
         counts[name] = J.write_jsonl(C.apps_with_difficulty(df), out, mode="append")
         outs.append(out)
