@@ -193,6 +193,15 @@ def json_string(c, ensure_ascii: bool = True) -> Column:
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 
+TOOL_CALL_SCHEMA = "struct<tool: string, args: map<string, string>>"
+
+
+def parse_tool_call(c) -> Column:
+    """A tool-call JSON string as ``struct<tool, args map<string,string>>``
+    (numbers such as ``lines`` come back as their text)."""
+    return F.from_json(T.col(c), TOOL_CALL_SCHEMA)
+
+
 def tool_name(instruction) -> Column:
     """C6, first half: which tool the instruction asks for."""
     i = T.s(instruction)

@@ -124,6 +124,16 @@ def per_problem(gens: DataFrame, keys=("benchmark", "model", "task_id")) -> Data
     return agg.join(subs, keys)
 
 
+def result_records(problems: DataFrame) -> DataFrame:
+    """The per-problem result record of the results sink (S14): ``task_id``,
+    ``prompt`` (first 50 chars), ``num_passed``, ``total``, ``passed`` and
+    ``problem_results`` = the first three ``{code, passed}`` sub-results."""
+    subs = F.transform(F.arrays_zip(F.col("first_codes").alias("code"), F.col("first_passed").alias("passed")),
+                       lambda x: F.struct(x["code"].alias("code"), x["passed"].alias("passed")))
+    keep = [c for c in ("benchmark", "model", "task_id", "prompt") if c in problems.columns]
+    return problems.select(*keep, "num_passed", "total", "passed", subs.alias("problem_results"))
+
+
 def solved_fraction(problems: DataFrame, keys=("benchmark", "model")) -> DataFrame:
     """A4 ``calculate_pass_at_k``: the share of problems with any passing
     generation (k is ignored by the source; 0 for no problems)."""

@@ -212,7 +212,7 @@ def score(spark: SparkSession, generations_path: str, tests_path: str, out_dir:
     gens = spark.read.schema(GENERATION).json(generations_path)
     tests = spark.read.schema("task_id long, prompt string, test string").json(tests_path)
     problems = materialize(M.score_benchmarks(gens, tests), fallback_ckpt)
-    problems.write.mode("overwrite").json(f"{out_dir}/results")
+    SC.result_records(problems).write.mode("overwrite").json(f"{out_dir}/results")
     summary = SC.summary_table(problems).orderBy("results_key")
     summary.write.mode("overwrite").json(f"{out_dir}/summary")
     comparison = SC.improvement(problems)

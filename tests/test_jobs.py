@@ -68,7 +68,9 @@ def test_scoring(spark, tmp_path):
     comp = res["comparison"][0]
     assert comp["base_passed"] == 4 and comp["ft_passed"] == 3 and comp["improvement"] == -25.0
     results = spark.read.json(str(tmp_path / "scores/results")).collect()
-    assert len(results) == 8 and all(r.first_codes == ["x = 0", "x = 1", "x = 2"] for r in results)
+    assert len(results) == 8
+    assert all([p.code for p in r.problem_results] == ["x = 0", "x = 1", "x = 2"] for r in results)
+    assert {r.prompt for r in results} == {f"prompt {t}" for t in range(4)}
 
 
 def test_threads_and_snippets(spark, tmp_path):

@@ -102,6 +102,12 @@ def test_tool_call_parses(spark):
     assert calls[5] == {"tool": "python_executor", "args": {"code": "pass"}}
 
 
+def test_parse_tool_call(spark):
+    df = spark.createDataFrame([("Read the file", 'see "a/b.py"', "o")], "i string, x string, o string")
+    r = df.select(TL.parse_tool_call(TL.tool_call_json("i", "x", "o")).alias("c")).first().c
+    assert r.tool == "file_reader" and r.args == {"path": "a/b.py", "lines": "50"}
+
+
 def test_tool_catalogue_has_six_tools():
     import json
     assert [t["name"] for t in json.loads(TL.TOOL_CATALOGUE_JSON)] == [
