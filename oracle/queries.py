@@ -466,7 +466,7 @@ _p = s("prompt")
 ORACLE["p13_alpaca_hub"] = with_(
     f"SELECT * FROM (SELECT seq, CASE WHEN {truthy(_p)} THEN {head(first_line(_p), 200)} ELSE {lit(CV.ALPACA_DEFAULT)} END AS instruction, "
     f"CASE WHEN contains({_p}, {NL}) THEN {head(strip(after_first_newline(_p)), 500)} ELSE {head(_p, 500)} END AS input, "
-    f"{head(s('completion'), 500)} AS output FROM v_raw WHERE prompt IS NOT NULL) WHERE {truthy('instruction')}", "v_raw")
+    f"{head(s('completion'), 500)} AS output FROM v_raw) WHERE {truthy('instruction')}", "v_raw")
 
 ORACLE["p14_humaneval_hub"] = with_(
     f"SELECT task_id, {lit(CV.HUMANEVAL_SHORT)} AS instruction, {head(s('prompt'), 500)} AS input, "
@@ -474,7 +474,7 @@ ORACLE["p14_humaneval_hub"] = with_(
 
 ORACLE["p15_mbpp_hub"] = with_(
     f"SELECT seq, {lit(CV.MBPP_SHORT)} AS instruction, {head(s('text'), 500)} AS input, {head(s('code'), 500)} AS output "
-    f"FROM v_raw WHERE text IS NOT NULL", "v_raw")
+    f"FROM v_raw", "v_raw")
 
 P16 = (f"SELECT * FROM (SELECT seq, {head(s('instruction'), 200)} AS instruction, {head(s('input'), 500)} AS input, "
        f"{head(s('output'), 500)} AS output FROM v_raw) WHERE {truthy('instruction')}")

@@ -104,7 +104,7 @@ def p12(spark, sf):
 
 @query("p13_alpaca_hub")
 def p13(spark, sf):
-    return C.alpaca_hub(A.v_raw(spark, sf).where(F.col("prompt").isNotNull()).select("seq", "prompt", "completion"))
+    return C.alpaca_hub(A.v_raw(spark, sf).select("seq", "prompt", "completion"))
 
 
 @query("p14_humaneval_hub")
@@ -114,7 +114,7 @@ def p14(spark, sf):
 
 @query("p15_mbpp_hub")
 def p15(spark, sf):
-    return C.mbpp_hub(A.v_raw(spark, sf).where(F.col("text").isNotNull()).select("seq", "text", "code"))
+    return C.mbpp_hub(A.v_raw(spark, sf).select("seq", "text", "code"))
 
 
 @query("p16_python_instruct_hub")
