@@ -69,11 +69,23 @@ def head_by_range(df: DataFrame, n: int, order: list[str], parts: int | None = N
     return whole.unionByName(cut).drop("__range")
 
 
-SALT_BUCKETS = 64  # default; a session may set samplesmith.saltBuckets (about sqrt(input partitions))
+SALT_BUCKETS = 64            # the skew probe's reference value
+SALT_MIN, SALT_MAX = 16, 1024
 
 
 def salt_buckets(df: DataFrame, default: int | None = None) -> int:
-    return int(df.sparkSession.conf.get("samplesmith.saltBuckets", str(default or SALT_BUCKETS)))
+    """First-stage bucket count: ``samplesmith.saltBuckets`` when set, else a
+    quarter of ``spark.sql.shuffle.partitions`` within [16, 1024] — a cluster
+    sized for a bigger shuffle spreads a hot key over more tasks.  Results do
+    not depend on it."""
+    conf = df.sparkSession.conf
+    explicit = conf.get("samplesmith.saltBuckets", None)
+    if explicit:
+        return int(explicit)
+    if default:
+        return default
+    parts = int(conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(SALT_MIN, min(SALT_MAX, parts // 4))
 
 
 def salt(buckets: int = SALT_BUCKETS) -> Column:

@@ -29,6 +29,7 @@ def main() -> None:
 
     spark = get_spark("skew-probe", master="local[8]", shuffle_partitions=16)
     buckets = L.SALT_BUCKETS
+    spark.conf.set("samplesmith.saltBuckets", str(buckets))  # measured and executed with the same count
     docs = A.read(spark, sf, "documents")
     hot = F.col("doc_id") % 3 == 0
     rows = docs.select(F.col("doc_id").alias("seq"),
