@@ -81,7 +81,7 @@ def build_parser() -> argparse.ArgumentParser:
     ap.add_argument("--limit", type=int, default=None)
 
     ts = sub.add_parser("train-set", help="W7: prompt rendering, fixed-length rows, shuffle, split")
-    ts.add_argument("--samples", required=True)
+    ts.add_argument("--samples", required=True, help="JSONL samples with an id matching the tokens table")
     ts.add_argument("--tokens", required=True, help="parquet (id, tokens array<int>)")
     ts.add_argument("--output-dir", required=True)
     ts.add_argument("--max-seq", type=int, default=2048)
