@@ -74,6 +74,16 @@ def test_merge_files_end_to_end(spark, tmp_path):
     assert res["loaded"]["rows"] == 3 and res["after_dedup"]["rows"] == 2
 
 
+def test_merge_large_limit_uses_range_head(spark, tmp_path):
+    d = str(tmp_path / "data")
+    write(f"{d}/big.jsonl", [json.dumps({"instruction": f"i{k % 11000}", "input": "x", "output": str(k)})
+                             for k in range(12_500)])
+    out = str(tmp_path / "big_out")
+    res = jobs.merge_files(spark, ["big"], out, data_dir=d, limit=10_500)   # above the top-k threshold
+    got = sorted(int(r.output) for r in spark.read.json(out).collect())
+    assert res["written"] == 10_500 and got == list(range(10_500))           # first occurrences, file order
+
+
 def test_tree_scan(spark, tmp_path):
     root = tmp_path / "repos"
     write(str(root / "r1" / "src" / "a.py"), [f"print({k})  # line" for k in range(60)])
