@@ -8,7 +8,7 @@ result feeds a sink and metrics, the metrics ride on the write job
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from samplesmith.operators import convert as C
@@ -219,7 +219,3 @@ def score(spark: SparkSession, generations_path: str, tests_path: str, out_dir:
     comparison.write.mode("overwrite").json(f"{out_dir}/comparison")
     return {"summary": [r.asDict() for r in summary.collect()],          # one row per results key
             "comparison": [r.asDict() for r in comparison.collect()]}   # one row per benchmark
-
-
-def samples_frame(df: DataFrame) -> DataFrame:
-    return df.select("instruction", "input", "output")

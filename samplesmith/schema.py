@@ -37,8 +37,3 @@ def with_fields(df: DataFrame, fields: list[str]) -> DataFrame:
     if not missing:
         return df
     return df.withColumns({f: F.lit(None).cast("string") for f in missing})
-
-
-def samples(df: DataFrame, *keep: str) -> DataFrame:
-    """Project to the sample shape plus bookkeeping columns."""
-    return df.select(*keep, *SAMPLE_FIELDS)

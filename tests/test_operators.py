@@ -199,6 +199,14 @@ def test_prompt_styles(spark):
     assert df.select(PR.render_prompt("cot")).first()[0].startswith("## Task\ni\n\n## Input\nx\n\n## Reasoning\n")
 
 
+def test_seeded_shuffle_is_a_repeatable_permutation(spark):
+    df = spark.range(300).withColumnRenamed("id", "seq")
+    a = [r.seq for r in L.seeded_shuffle(df, "seq", 42).collect()]
+    b = [r.seq for r in L.seeded_shuffle(df.repartition(7), "seq", 42).collect()]
+    c = [r.seq for r in L.seeded_shuffle(df, "seq", 7).collect()]
+    assert a == b and sorted(a) == list(range(300)) and a != list(range(300)) and a != c
+
+
 def test_head_by_range_matches_top_k(spark):
     df = spark.range(5000).select(F.col("id"), (F.col("id") * 7919 % 5000).alias("k"))
     for n in (1, 17, 999, 4999, 5000, 7000):
