@@ -275,6 +275,10 @@ def function_doc_multilang(df: DataFrame, lang_col: str = "lang") -> DataFrame:
 
 # --- threads: P22-P25 ----------------------------------------------------------
 
+# Columns the thread converters consume or replace (not passed through).
+_THREAD_FIELDS = ("title", "body", "pull_request", "instruction", "input", "output")
+
+
 def _title_body(title: str, body: str) -> Column:
     # M8 deviation: a null body renders as '' (the source prints "None").
     return F.concat(F.lit("Title: "), T.s(title), F.lit("\n\n"), T.s(body))
@@ -282,21 +286,21 @@ def _title_body(title: str, body: str) -> Column:
 
 def issue_samples(df: DataFrame) -> DataFrame:
     """``Title: t\\n\\nbody``."""
-    return df.select(*[c for c in df.columns if c not in ("title", "body", "pull_request")],
+    return df.select(*[c for c in df.columns if c not in _THREAD_FIELDS],
                      F.lit(ISSUE_INSTRUCTION).alias("instruction"),
                      _title_body("title", "body").alias("input"), F.lit("").alias("output"))
 
 
 def pr_samples(df: DataFrame) -> DataFrame:
     """Same shape, PR instruction."""
-    return df.select(*[c for c in df.columns if c not in ("title", "body", "pull_request")],
+    return df.select(*[c for c in df.columns if c not in _THREAD_FIELDS],
                      F.lit(PR_INSTRUCTION).alias("instruction"),
                      _title_body("title", "body").alias("input"), F.lit("").alias("output"))
 
 
 def comment_samples(df: DataFrame) -> DataFrame:
     """The comment body as input."""
-    return df.select(*[c for c in df.columns if c != "body"],
+    return df.select(*[c for c in df.columns if c not in _THREAD_FIELDS],
                      F.lit(COMMENT_INSTRUCTION).alias("instruction"),
                      T.s("body").alias("input"), F.lit("").alias("output"))
 
@@ -305,7 +309,7 @@ def discussion_samples(df: DataFrame) -> DataFrame:
     """P25: body longer than 50 chars (F12), body [:500]."""
     body = T.s("body")
     return df.where(F.length(body) > 50).select(
-        *[c for c in df.columns if c not in ("title", "body", "pull_request")],
+        *[c for c in df.columns if c not in _THREAD_FIELDS],
         F.lit(DISCUSSION_INSTRUCTION).alias("instruction"),
         F.concat(F.lit("Title: "), T.s("title"), F.lit("\n\nDiscussion: "), T.head(body, 500)).alias("input"),
         F.lit(DISCUSSION_OUTPUT).alias("output"))

@@ -130,6 +130,19 @@ def test_cli_convert_dumps(spark, tmp_path):
     assert res["written"] == 1 and got.instruction == "Explain this java code:" and got.output == "Function from org/r"
 
 
+def test_every_converter_kind_runs(spark, tmp_path):
+    src = str(tmp_path / "wide.jsonl")
+    row = {"instruction": "Do it", "input": "in", "output": "out", "prompt": "P\nq", "completion": "c",
+           "question": "Q", "solutions": '["s"]', "difficulty": "easy", "text": "t", "code": "x = 1\n" * 20,
+           "canonical_solution": "pass", "docstring": "doc", "english_documentation": "ed",
+           "func_code_string": "def f():\n" + "    y = 1\n" * 10, "func_documentation_string": "fd",
+           "repository_name": "o/r", "title": "T", "body": "b" * 60}
+    write(src, [row, row])
+    for kind in sorted(jobs.CONVERTERS):
+        n = jobs.convert_dump(spark, kind, src, str(tmp_path / f"out_{kind}"), limit=1)
+        assert n == 1, kind
+
+
 def test_cli_repo_with_discussions(spark, tmp_path):
     from samplesmith.__main__ import main
     write(str(tmp_path / "repo" / "m.py"), [f"value_{k} = compute({k})" for k in range(10)])
