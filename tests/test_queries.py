@@ -26,7 +26,10 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    from oracle.queries import ORACLE
+    from samplesmith.catalog import QUERIES
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", ["w1_merge", "d1_dedup_wide", "c6_tool_call", "c22_extract_code", "w8_benchmark_scoring",
@@ -44,5 +47,6 @@ def test_matches_oracle(spark, con, name):
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
 def test_all_queries_run(spark):
-    for name, fn in E.queries().items():
+    from samplesmith.catalog import QUERIES
+    for fn in QUERIES.values():
         fn(spark, SF).collect()
