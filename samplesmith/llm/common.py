@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samplesmith.session import checkpoint_dir, materialize
+from samplesmith.session import checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,16 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return materialize(df)
+    """``df`` as a table written to the shared folder and read again: its lineage ends there.
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder, and read again."""
+    The table is compressed, which a checkpoint's rows are not.
+    """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def id_and_bytes(docs: DataFrame, *more: str) -> DataFrame:

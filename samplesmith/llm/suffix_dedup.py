@@ -6,7 +6,7 @@ are sorted, and all strings with the same anchor travel as one *span* (the text
 from the first such string to the end of the last).
 
 1. Spans go to the tasks by their anchor's leading bytes (hashed).  A span found
-   twice is a repeat as a whole; only different spans on equal anchors are left.
+   twice (equal anchor and digest, 128 bits of hash) is a repeat as a whole; only different spans on equal anchors are left.
 2. One copy of each of those is fetched, range-partitioned by its anchor's leading
    bytes with sampled splitters, and sorted locally by multikey quicksort, eight
    bytes to a character.  Splitters fall between anchors, so no run of equal
@@ -30,7 +30,7 @@ from samplesmith.llm.winnow import BASE, gram_hashes, minimizers, mix
 
 SORT_WINDOWS = 1 << 18  # strings that one local sort takes at a time, unless one anchor has more
 
-SPAN = [("anchor", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("row", pa.int64()), ("start", pa.int64()),
+SPAN = [("anchor", pa.int64()), ("digest", pa.int64()), ("row", pa.int64()), ("start", pa.int64()),
         ("run", pa.int32()), ("at", pa.int32()), ("kind", pa.int32())]
 ONE, SEVERAL, SETTLED = 0, 1, 2
 FOUND = [("row", pa.int64()), ("start", pa.int64()), ("run", pa.int32()), ("at", pa.int32()), ("anchor", pa.int64()),
@@ -87,19 +87,19 @@ def spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 first, count, anchor, place = text_spans(text, length, gram)
                 if len(first):
                     ends = (first + count + (length - 1)).tolist()
-                    digests += [xxhash.xxh3_128_digest(text[x:y]) for x, y in zip(first.tolist(), ends)]
+                    digests += [xxhash.xxh3_64_intdigest(text[x:y]) for x, y in zip(first.tolist(), ends)]
                     parts.append((anchor, np.full(len(first), row, np.int64), first, count, place - first))
             if not parts:
                 continue
             anchor, row, first, count, at = (np.concatenate(x) for x in zip(*parts))
-            s = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-            order = np.lexsort((s[:, 1], s[:, 0]))
-            same = np.flatnonzero((s[order[1:]] == s[order[:-1]]).all(axis=1))
+            digest = np.array(digests, np.uint64).view(np.int64)
+            order = np.lexsort((digest, anchor))
+            same = np.flatnonzero((anchor[order[1:]] == anchor[order[:-1]]) & (digest[order[1:]] == digest[order[:-1]]))
             kind = np.full(len(order), ONE)
             kind[order[same]] = SEVERAL
             kind[order[same + 1]] = SETTLED
             own = mix(row.view(np.uint64) + first.astype(np.uint64) * np.uint64(BASE)).view(np.int64)
-            yield _batch([np.where(kind == SETTLED, own, anchor), s[:, 0], s[:, 1], row, first, count, at, kind], SPAN)
+            yield _batch([np.where(kind == SETTLED, own, anchor), digest, row, first, count, at, kind], SPAN)
     return rows.mapInArrow(run, _sql(SPAN))
 
 
@@ -114,14 +114,14 @@ def match_spans(found: DataFrame) -> DataFrame:
             if not len(c["row"]):
                 continue
             new_anchor = np.r_[True, np.diff(c["anchor"]) != 0]
-            new_span = new_anchor | np.r_[True, (np.diff(c["s1"]) != 0) | (np.diff(c["s2"]) != 0)]
+            new_span = new_anchor | np.r_[True, np.diff(c["digest"]) != 0]
             group = np.cumsum(new_span) - 1
             size = np.bincount(group, c["kind"] + 1)  # a row that speaks for several counts as two
             twice = (size > 1)[group]
             kinds_on_anchor = np.bincount(np.cumsum(new_anchor) - 1, new_span)[np.cumsum(new_anchor) - 1]
             for pick, is_open in ((twice, False), (new_span & (kinds_on_anchor > 1), True)):
                 yield _batch([*(c[n][pick] for n in ("row", "start", "run", "at", "anchor")), np.full(pick.sum(), is_open)], FOUND)
-    return (found.repartition("anchor").sortWithinPartitions("anchor", "s1", "s2", "row", "start").mapInArrow(run, _sql(FOUND)))
+    return (found.repartition("anchor").sortWithinPartitions("anchor", "digest", "row", "start").mapInArrow(run, _sql(FOUND)))
 
 
 def equal_strings(buf: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
@@ -206,7 +206,7 @@ def merged(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     return out
 
 
-def dedup(docs: DataFrame, length: int = 200, gram: int = 100) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 200, gram: int = 64) -> DataFrame:
     """``(doc_id, n_bytes, removed, kept)`` per row: removed byte runs, and the bytes left.
 
     Removes each byte covered by a ``length``-byte string that also starts
