@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from samplesmith.llm.common import cut
+
 # Unit words that may follow a number.
 UNITS = ("km m cm mm kg g mg lb oz mile miles meter meters metre metres kilometer kilometers hour hours minute minutes "
          "second seconds day days week weeks month months year years dollar dollars euro euros percent degree degrees "
@@ -33,28 +35,29 @@ def template(words: Column) -> Column:
     return F.regexp_replace(out, rf"(?<=<num> )(?:{'|'.join(UNITS)})(?= |$)", "<unit>")
 
 
-def windows(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """``keys`` with ``place``, ``h`` and ``slots`` for each window of ``width`` template words.
+def windows(rows: DataFrame, keys: list[str], width: int, slots: bool) -> DataFrame:
+    """``keys`` with ``h`` for each window of ``width`` template words, and ``slots`` if asked for.
 
     A shorter text is one window; a text without words has none.  ``slots`` joins
     the values of the window's placeholders.
     """
-    words = plain_words(F.col("text"))
-    arrays = rows.select(*keys, words.alias("__p")).where("__p != ''").select(
-        *keys, F.split("__p", " ").alias("__r"), F.split(template(F.col("__p")), " ").alias("__c"))
-    c, r = F.col("__c"), F.col("__r")
+    plain = rows.select(*keys, plain_words(F.col("text")).alias("__p")).where("__p != ''")
+    arrays = plain.select(*keys, "__p", F.split(template(F.col("__p")), " ").alias("__c"))
+    c, s = F.col("__c"), F.col("__s")
 
-    def window(i: Column) -> Column:
-        slots = [F.when(F.startswith(F.get(c, i + j), F.lit("<")), F.get(r, i + j)) for j in range(width)]
-        return F.struct(i.alias("place"), F.xxhash64(*[F.get(c, i + j) for j in range(width)]).alias("h"),
-                        F.concat_ws(JOIN, *slots).alias("slots"))
+    def hashed(i: Column) -> Column:
+        return F.xxhash64(*[F.get(c, i + j) for j in range(width)])
 
     places = F.sequence(F.lit(0), F.greatest(F.size(c) - width, F.lit(0)))
-    return arrays.select(*keys, F.inline(F.transform(places, window)))
+    if not slots:
+        return arrays.select(*keys, F.explode(F.transform(places, hashed)).alias("h"))
+    values = F.zip_with(c, F.split("__p", " "), lambda t, w: F.when(F.startswith(t, F.lit("<")), w))
+    return arrays.withColumn("__s", values).select(*keys, F.inline(F.transform(places, lambda i: F.struct(
+        hashed(i).alias("h"), F.concat_ws(JOIN, F.slice(s, i + 1, width)).alias("slots")))))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8,
-                  consistency: float = 0.8) -> DataFrame:
+                  consistency: float = 0.9) -> DataFrame:
     """``(doc_id, row, item_id, similarity, slot_consistency, reparameterised)`` per document and item it holds.
 
     ``similarity`` is the share of the item's windows found in the document;
@@ -68,24 +71,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 5, similar
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    items = windows(benchmark.select("item_id", F.col("text").cast("string").alias("text")), ["item_id"], width)
-    size = items.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
-    asked = items.select("item_id", "h", F.col("slots").alias("item_slots")).distinct()
+    given = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = cut(windows(given, ["item_id"], width, slots=True).distinct().withColumnRenamed("slots", "item_slots"))
+    asked = items.select("item_id", "h").distinct()
     if asked.count() <= BROADCAST_ROWS:
         asked = F.broadcast(asked)  # beyond, Spark joins by shuffle
-    hits = windows(rows, ["row", "doc_id"], width).join(asked, "h")
-    same_item = F.col("item_id").eqNullSafe(F.col("__item"))
-    # Per window and item, which value pairs occur: few, as both sides are grouped before.
-    found = hits.groupBy("row", "doc_id", "item_id", "h", "slots", "item_slots").agg(F.count(F.lit(1)).alias("n"))
-    enough = (found.groupBy("row", "doc_id", "item_id").agg(F.countDistinct("h").alias("n_found"))
-              .join(F.broadcast(size.select(F.col("item_id").alias("__item"), "n_windows")), same_item)
-              .withColumn("similarity", F.col("n_found") / F.col("n_windows"))
-              .where(F.col("similarity") >= similarity).drop("__item", "n_found", "n_windows"))
+    item = F.col("item_id").eqNullSafe(F.col("__item"))
+    size = items.groupBy(F.col("item_id").alias("__item")).agg(F.countDistinct("h").alias("n_windows"))
+    found = (windows(rows, ["row", "doc_id"], width, slots=False).join(asked, "h").distinct()
+             .groupBy("row", "doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_found")))
+    enough = cut(found.join(size, item).withColumn("similarity", F.col("n_found") / F.col("n_windows"))
+                 .where(F.col("similarity") >= similarity).select("row", "doc_id", "item_id", "similarity"))
+    # Only texts that hold enough of an item are looked at again, for their placeholders' values.
+    again = rows.join(enough.select("row").distinct(), "row").dropDuplicates(["row"])
     both = enough.select(F.col("row").alias("__row"), F.col("item_id").alias("__item"))
-    pairs = (found.where("item_slots != ''").join(both, (F.col("row") == F.col("__row")) & same_item, "left_semi")
+    pairs = (windows(again, ["row"], width, slots=True).where("slots != ''").join(items.where("item_slots != ''"), "h")
+             .join(both, (F.col("row") == F.col("__row")) & item, "left_semi")
              .select("row", "item_id", F.explode(F.arrays_zip(F.split("item_slots", JOIN).alias("iv"),
                                                               F.split("slots", JOIN).alias("dv"))).alias("p"))
              .groupBy("row", "item_id", F.col("p.iv").alias("iv"), F.col("p.dv").alias("dv")).agg(F.count(F.lit(1)).alias("n")))
+    pairs = cut(pairs)
     agree = None
     for side in ("iv", "dv"):
         one = (pairs.groupBy("row", "item_id", side).agg(F.max("n").alias("most"), F.sum("n").alias("all"),
@@ -94,7 +99,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 5, similar
         agree = one if agree is None else agree.unionByName(one)
     slots = (agree.groupBy(F.col("row").alias("__row"), F.col("item_id").alias("__item"))
              .agg(F.min("agree").alias("agree"), F.max("differs").alias("differs")))
-    return (enough.join(slots, (F.col("row") == F.col("__row")) & same_item, "left")
+    return (enough.join(slots, (F.col("row") == F.col("__row")) & item, "left")
             .select("doc_id", "row", "item_id", "similarity", F.coalesce("agree", F.lit(1.0)).alias("slot_consistency"),
                     F.coalesce("differs", F.lit(False)).alias("reparameterised"))
             .where(F.col("slot_consistency") >= consistency))
