@@ -35,11 +35,11 @@ def with_(body: str, *views: str, extra: dict[str, str] | None = None) -> str:
 VIEWS["v_code_doc"] = f"""
 SELECT doc_id AS seq,
   'def f' || CAST(doc_id AS VARCHAR) || {lit('(x):' + chr(10) + '    return x * ')} || CAST(n_chars AS VARCHAR) AS code,
-  CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 6 = 1 THEN '' ELSE substr({first_line('text')}, 1, 80) END AS docstring,
-  CASE WHEN doc_id % 4 = 3 THEN '' ELSE substr(text, 1, 120) END AS english_documentation,
-  CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE substr(text, 1, 50) END AS func_documentation_string,
-  'def f' || CAST(doc_id AS VARCHAR) || {lit('(x):' + chr(10) + '    # ')} || substr(text, 1, CAST((doc_id % 5) * 20 AS INTEGER)) AS func_code_string,
-  CASE WHEN doc_id % 9 = 0 THEN NULL ELSE source END AS repository_name,
+  CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 6 = 1 THEN '' ELSE {first_line('text')} END AS docstring,
+  CASE WHEN doc_id % 4 = 3 THEN '' ELSE text END AS english_documentation,
+  CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE text END AS func_documentation_string,
+  'def f' || CAST(doc_id AS VARCHAR) || {lit('(x):' + chr(10) + '    # ')} || CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS func_code_string,
+  CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 9 = 1 THEN '' ELSE source END AS repository_name,
   {pick(A.CODE_LANGS, f'doc_id % {len(A.CODE_LANGS)}')} AS lang,
   {pick(A.SPLITS, f'doc_id % {len(A.SPLITS)}')} AS split
 FROM documents
@@ -47,7 +47,7 @@ FROM documents
 
 VIEWS["v_functions"] = f"""
 SELECT item_id AS task_id,
-  CASE WHEN item_id % 5 = 4 THEN '' ELSE 'def t' || CAST(item_id AS VARCHAR) || {lit('(x):' + chr(10) + '    """')} || {one_line(head('text', 80))} || {lit('"""' + chr(10))} END AS prompt,
+  CASE WHEN item_id % 5 = 4 THEN '' ELSE 'def t' || CAST(item_id AS VARCHAR) || {lit('(x):' + chr(10) + '    """')} || {one_line('text')} || {lit('"""' + chr(10))} END AS prompt,
   CASE WHEN item_id % 6 = 5 THEN NULL ELSE '    return x + ' || CAST(item_id AS VARCHAR) END AS canonical_solution
 FROM benchmark
 """
@@ -116,7 +116,7 @@ def keep_first(src: str, key: str, order: str) -> str:
 
 
 def parsed_solutions(x: str) -> str:
-    return (f"(CASE WHEN json_valid({x}) AND json_type(CAST({x} AS JSON)) = 'ARRAY' "
+    return (f"(CASE WHEN {x} IS NULL OR {x} = '' THEN NULL WHEN json_valid({x}) AND json_type(CAST({x} AS JSON)) = 'ARRAY' "
             f"THEN from_json({x}, '[\"VARCHAR\"]') ELSE [{x}] END)")
 
 
@@ -129,7 +129,7 @@ def parent_dirs(p: str = "path") -> str:
 
 
 def extension(p: str = "path") -> str:
-    return f"regexp_extract({file_name(p)}, '[^.]\\.([^.]*)$', 1)"
+    return f"regexp_extract(regexp_replace({file_name(p)}, '^\\.+', ''), '\\.([^.]*)$', 1)"
 
 
 def has_ext(exts, p: str = "path") -> str:
@@ -505,7 +505,7 @@ ORACLE["p20_function_doc_short"] = with_(
 ORACLE["p21_function_doc_multilang"] = with_(
     f"SELECT seq, lang, split, 'Explain this ' || lang || ' code:' AS instruction, {head(s('func_code_string'), 2000)} AS input, "
     f"CASE WHEN {truthy('func_documentation_string')} THEN {head('func_documentation_string', 500)} "
-    f"ELSE 'Function from ' || coalesce(nullif(repository_name, ''), 'codebase') END AS output FROM v_code_doc "
+    f"ELSE 'Function from ' || coalesce(repository_name, 'codebase') END AS output FROM v_code_doc "
     f"WHERE {truthy(s('func_code_string'))} AND length({s('func_code_string')}) > 50", "v_code_doc")
 
 _tb = f"'Title: ' || {s('title')} || {lit(chr(10) * 2)} || {s('body')}"
@@ -681,7 +681,7 @@ _req_i = f"coalesce(CASE WHEN seq % 7 = 0 THEN {NULLS} ELSE instruction END, {li
 ORACLE["c20_chat_request"] = with_(
     f"SELECT seq, {lit(PR.SERVICE_SYSTEM_PROMPT)} || {fill_template('[INST] {instruction}' + chr(10) + '{input} [/INST]' + chr(10), instruction=_req_i, input='input')} "
     f"AS request_prompt, {_eval_prompt} AS eval_prompt FROM v_samples", "v_samples")
-ORACLE["c21_request_compose"] = _scalar("request_instruction", f"{pick(A.PHRASES, 'seq % 16')} || ' ' || {head(s('input'), 40)}")
+ORACLE["c21_request_compose"] = _scalar("request_instruction", f"{pick(A.PHRASES, 'seq % 16')} || ' ' || {s('input')}")
 ORACLE["c22_extract_code"] = with_(
     "SELECT gen, code_python, code_kotlin FROM (" +
     code_expr_relation(code_expr_relation("SELECT * FROM v_generations", "text", "python", "code_python"),
@@ -697,11 +697,11 @@ ORACLE["c25_resolve_repo"] = with_(
     "SELECT url_id, CASE WHEN length(t) = 0 THEN '' WHEN len(parts) = 1 THEN parts[1] || '/my-model' "
     "WHEN len(parts) >= 2 THEN parts[1] || '/' || parts[2] ELSE '' END AS repo_id FROM "
     f"(SELECT url_id, {_t} AS t, list_filter(string_split({_path}, '/'), lambda p: p <> '') AS parts FROM v_urls)", "v_urls")
-_fl = fixed_length("tokens", 64)
+_fl = fixed_length("tokens", 2048)
 ORACLE["c26_fixed_length_rows"] = with_(
     f"SELECT id, {_fl['input_ids']} AS input_ids, {_fl['attention_mask']} AS attention_mask, {_fl['labels']} AS labels "
     f"FROM v_token_ids", "v_token_ids")
-_o60 = head(s("output"), 60)
+_o60 = s("output")
 ORACLE["c27_identifier_rewrite"] = _scalar(
     "rewritten", f"CASE WHEN contains({_o60}, 'n') THEN replace(replace({_o60}, 's', 'str'), 'n', 'num') ELSE {_o60} END")
 
@@ -750,7 +750,7 @@ ORACLE["w3_tree_samples"] = with_(fanout(tree_chunks(_w3_files)), "v_files")
 ORACLE["w4_thread_samples"] = thread_samples(None)
 ORACLE["w5_reasoning_v1"] = ORACLE["c15_transform_v1"]
 ORACLE["w6_reasoning_v2"] = ORACLE["c17_transform_with_tools"]
-_flw = fixed_length("t.tokens", 64)
+_flw = fixed_length("t.tokens", 2048)
 ORACLE["w7_training_rows"] = with_(
     f"SELECT s.seq, {render('inst')} AS prompt, {_flw['input_ids']} AS input_ids, {_flw['attention_mask']} AS attention_mask, "
     f"{_flw['labels']} AS labels, md5('42:' || CAST(s.seq AS VARCHAR)) AS shuffle_key, "
@@ -767,8 +767,8 @@ ORACLE["w10_repo_snippets"] = with_(
 
 # --- remaining inventory rows ---------------------------------------------------------
 ORACLE["f10_snippet_and_chunk_length"] = with_(
-    f"SELECT path, length(snippet) > 100 AS snippet_ok, length({strip('snippet')}) > 20 AS chunk_ok "
-    f"FROM (SELECT path, {head_lines('content', 40)} AS snippet FROM v_files)", "v_files")
+    f"SELECT path, length(snippet) > 100 AS snippet_ok, length({strip('content')}) > 20 AS chunk_ok "
+    f"FROM (SELECT path, content, {head_lines('content', 40)} AS snippet FROM v_files)", "v_files")
 ORACLE["f12_discussion_body_length"] = with_(
     f"SELECT item_id FROM v_thread_items WHERE length({s('body')}) > 50", "v_thread_items")
 ORACLE["j5_chunk_task_fanout"] = with_(
@@ -783,7 +783,7 @@ ORACLE["s3_rejected_lines"] = with_("SELECT seq FROM v_raw WHERE NOT (seq % 23 =
 ORACLE["s9_s10_parquet_grid"] = with_(
     f"SELECT seq, split, lang, 'Explain this ' || lang || ' code:' AS instruction, {head(s('func_code_string'), 2000)} AS input, "
     f"CASE WHEN {truthy('func_documentation_string')} THEN {head('func_documentation_string', 500)} "
-    f"ELSE 'Function from ' || coalesce(nullif(repository_name, ''), 'codebase') END AS output FROM v_code_doc "
+    f"ELSE 'Function from ' || coalesce(repository_name, 'codebase') END AS output FROM v_code_doc "
     f"WHERE lang IN ('python', 'go', 'ruby') AND split IN ('train', 'test') "
     f"AND {truthy(s('func_code_string'))} AND length({s('func_code_string')}) > 50", "v_code_doc")
 ORACLE["o2b_exact_split"] = with_(

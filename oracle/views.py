@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracle.sqltext import NL, head, lit, one_line, pick
-from samplesmith.adapters import BENCHMARKS, FILE_DIRS, FILE_EXTS, PHRASES
+from samplesmith.adapters import BENCHMARKS, FILE_DIRS, FILE_EXTS, PHRASES, TASKS, TURNS
 
 
 def _c(x: str) -> str:
@@ -14,7 +14,7 @@ VIEWS: dict[str, str] = {}
 
 VIEWS["v_samples"] = f"""
 SELECT seq, 'conversations' AS dataset,
-  {pick(PHRASES, 'seq % 16')} || ' ' || {head('u_text', 80)} AS instruction,
+  {pick(PHRASES, 'seq % 16')} || ' ' || u_text AS instruction,
   CASE WHEN seq % 5 = 0 THEN 'See "src/app_' || {_c('seq')} || '.py" for details. ' || u_text
        WHEN seq % 5 = 1 THEN 'Source: https://github.com/org' || {_c('conv_id')} || '/repo-' || {_c('turn')} || '.git ' || u_text
        WHEN seq % 5 = 2 THEN 'path lib/mod.py ' || u_text
@@ -24,8 +24,9 @@ SELECT seq, 'conversations' AS dataset,
        WHEN seq % 9 = 3 THEN {lit('```python' + chr(10) + 'def answer_')} || {_c('seq')} || {lit('(x):' + chr(10) + '    return x' + chr(10) + '```' + chr(10))} || a_text
        WHEN seq % 9 = 6 THEN 'class Answer' || {_c('seq')} || {lit(':' + chr(10) + '    pass' + chr(10))} || a_text
        WHEN seq % 3 = 1 THEN a_text
-       ELSE substr(a_text, 1, CAST(seq % 15 AS INTEGER)) END AS output
-FROM (SELECT u.conv_id, u.turn, u.conv_id * 100 + u.turn AS seq, u.text AS u_text, a.text AS a_text
+       WHEN seq % 15 = 2 THEN '' WHEN seq % 15 = 5 THEN 'Yes.' WHEN seq % 15 = 8 THEN 'Yes, done.'
+       ELSE a_text END AS output
+FROM (SELECT u.conv_id, u.turn, u.conv_id * {TURNS} + u.turn AS seq, u.text AS u_text, a.text AS a_text
       FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
       WHERE u.role = 'user' AND a.role = 'assistant')
 """
@@ -34,25 +35,26 @@ VIEWS["v_raw"] = f"""
 SELECT doc_id AS seq, source AS dataset,
   CASE doc_id % 5
     WHEN 0 THEN CASE WHEN doc_id % 10 = 0 THEN NULL ELSE '' END
-    WHEN 1 THEN CASE WHEN doc_id % 10 = 1 THEN NULL ELSE 'Implement: ' || substr(text, 1, 40) END
+    WHEN 1 THEN CASE WHEN doc_id % 10 = 1 THEN NULL ELSE 'Implement: ' || split_part(text, {NL}, 1) END
     WHEN 2 THEN CASE WHEN doc_id % 10 = 2 THEN NULL ELSE 'Solve the puzzle.' END
-    WHEN 3 THEN substr(split_part(text, {NL}, 1), 1, 120)
+    WHEN 3 THEN split_part(text, {NL}, 1)
     ELSE 'Summarize this text.' END AS instruction,
-  CASE WHEN doc_id % 5 = 3 THEN substr(text, 1, 500) WHEN doc_id % 5 = 4 THEN text END AS input,
-  CASE WHEN doc_id % 5 = 3 THEN substr(text, 501, 300) WHEN doc_id % 5 = 4 THEN substr(text, 1, 50) END AS output,
-  CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 300) END AS prompt,
-  CASE WHEN doc_id % 5 = 0 THEN substr(text, 301, 300) END AS completion,
-  CASE WHEN doc_id % 5 = 1 THEN substr(text, 1, 200) END AS text,
+  CASE WHEN doc_id % 5 IN (3, 4) THEN text END AS input,
+  CASE WHEN doc_id % 5 = 3 THEN text WHEN doc_id % 5 = 4 THEN split_part(text, {NL}, 1) END AS output,
+  CASE WHEN doc_id % 5 = 0 THEN split_part(text, {NL}, 1) END AS prompt,
+  CASE WHEN doc_id % 5 = 0 THEN text END AS completion,
+  CASE WHEN doc_id % 5 = 1 THEN text END AS text,
   CASE WHEN doc_id % 5 = 1 THEN 'def f' || {_c('doc_id')} || {lit('():' + chr(10) + '    return ')} || {_c('n_chars')} END AS code,
-  CASE WHEN doc_id % 5 = 2 THEN substr(text, 1, 400) END AS question,
-  CASE WHEN doc_id % 5 = 2 THEN '["' || substr(text, 1, 30) || '"]' END AS solutions
+  CASE WHEN doc_id % 5 = 2 THEN text END AS question,
+  CASE WHEN doc_id % 5 = 2 THEN '["' || replace(replace(replace(text, '\\', ''), '"', ''), {NL}, ' ') || '"]' END AS solutions
 FROM documents
 """
 
 VIEWS["v_problems"] = f"""
 SELECT b.item_id,
   CASE WHEN b.item_id % 7 = 6 THEN '' ELSE b.text END AS question,
-  CASE WHEN b.item_id % 3 = 0 THEN '["' || replace(replace(replace(substr(b.text, 1, 60), '\\', ''), '"', ''), {NL}, ' ') || '", "print(1)"]'
+  CASE WHEN b.item_id % 11 = 5 THEN '' WHEN b.item_id % 11 = 7 THEN NULL
+       WHEN b.item_id % 3 = 0 THEN '["' || replace(replace(replace(b.text, '\\', ''), '"', ''), {NL}, ' ') || '", "print(1)"]'
        WHEN b.item_id % 3 = 1 THEN 'def broken(' || {_c('b.item_id')} || '): return ['
        ELSE '[]' END AS solutions,
   CASE WHEN l.quality = 1 THEN 'interview' WHEN l.quality = 0 THEN 'introductory' ELSE 'competition' END AS difficulty,
@@ -60,7 +62,7 @@ SELECT b.item_id,
 FROM benchmark b LEFT JOIN labels l ON l.doc_id = b.item_id
 """
 
-_name = (f"CASE WHEN doc_id % 13 = 0 THEN 'build_' || {_c('doc_id')} || {pick(FILE_EXTS, f'doc_id % {len(FILE_EXTS)}')} "
+_name = (f"CASE WHEN doc_id % 17 = 0 THEN 'f' || {_c('doc_id')} || '.' || {pick(FILE_EXTS, f'doc_id % {len(FILE_EXTS)}')} WHEN doc_id % 13 = 0 THEN 'build_' || {_c('doc_id')} || {pick(FILE_EXTS, f'doc_id % {len(FILE_EXTS)}')} "
          f"ELSE 'f' || {_c('doc_id')} || {pick(FILE_EXTS, f'doc_id % {len(FILE_EXTS)}')} END")
 VIEWS["v_files"] = f"""
 SELECT source AS repo,
@@ -72,7 +74,7 @@ FROM documents
 
 VIEWS["v_thread_items"] = f"""
 SELECT conv_id AS item_id,
-  substr(split_part(text, {NL}, 1), 1, 60) AS title,
+  split_part(text, {NL}, 1) AS title,
   CASE WHEN conv_id % 7 = 0 THEN NULL ELSE text END AS body,
   CASE WHEN conv_id % 3 = 0 THEN 'pr/' || {_c('conv_id')} END AS pull_request
 FROM conversations WHERE turn = 0
@@ -92,7 +94,7 @@ _gen_text = f"""CASE WHEN event_id % 5 = 0 THEN {lit('```python' + chr(10) + 'de
 VIEWS["v_generations"] = f"""
 SELECT {pick(BENCHMARKS, 'user_id % 3')} AS benchmark,
   CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'fine_tuned' ELSE 'base' END AS model,
-  user_id AS task_id, event_id AS gen,
+  user_id % {TASKS} AS task_id, event_id AS gen,
   {_gen_text} AS text,
   value > 250 AS passed,
   CASE WHEN value > 250 THEN NULL ELSE 'AssertionError: ' || event_type END AS error
@@ -101,7 +103,7 @@ FROM events
 
 VIEWS["v_tests"] = f"""
 SELECT item_id AS task_id, text AS prompt,
-  'assert t' || {_c('item_id')} || '(1) == 2  # ' || {one_line(head('text', 30))} AS test
+  'assert t' || {_c('item_id')} || '(1) == 2  # ' || {one_line('text')} AS test
 FROM benchmark
 """
 
@@ -111,8 +113,8 @@ UNION ALL SELECT page_id * 3 + 1, url || '.git' FROM pages
 UNION ALL SELECT page_id * 3 + 2, url || '/' FROM pages
 """
 
-VIEWS["v_token_ids"] = """
-SELECT conv_id * 100 + turn AS id,
+VIEWS["v_token_ids"] = f"""
+SELECT conv_id * {TURNS} + turn AS id,
   list_transform(string_split(text, ' '), lambda w: CAST(length(w) + 100 AS INTEGER)) AS tokens
 FROM conversations
 """

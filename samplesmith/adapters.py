@@ -40,6 +40,8 @@ PHRASES = [
 ]
 FILE_DIRS = ["src", "lib", "node_modules", "build", "tests", "app", ".venv", "vendor", "dist"]
 FILE_EXTS = [".py", ".js", ".ts", ".java", ".kt", ".cpp", ".go", ".rs", ".rb", ".php", ".xml", ".md"]
+TURNS = 1_000_003  # more than any conversation has turns, and prime to the rule moduli
+TASKS = 40  # benchmark items present at every scale; each generation belongs to one of them
 BENCHMARKS = ["humaneval", "mbpp", "custom"]
 
 
@@ -52,6 +54,11 @@ def pick(values: list[str], idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
 
 
+def json_text(t: Column) -> Column:
+    """Text that stands as it is inside a JSON string."""
+    return F.replace(F.replace(F.replace(t, F.lit("\\"), F.lit("")), F.lit('"'), F.lit("")), F.lit("\n"), F.lit(" "))
+
+
 def v_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples ``(seq, dataset, instruction, input, output)`` from user turns and
     the assistant turn that follows them."""
@@ -59,10 +66,10 @@ def v_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("u_text"))
     a = c.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a_text"))
-    j = u.join(a, ["conv_id", "turn"]).withColumn("seq", F.col("conv_id") * 100 + F.col("turn"))
+    j = u.join(a, ["conv_id", "turn"]).withColumn("seq", F.col("conv_id") * TURNS + F.col("turn"))
     seq, ut, at = F.col("seq"), F.col("u_text"), F.col("a_text")
     seq_s = seq.cast("string")
-    instruction = F.concat(pick(PHRASES, seq % 16), F.lit(" "), T.head(ut, 80))
+    instruction = F.concat(pick(PHRASES, seq % 16), F.lit(" "), ut)
     inp = (F.when(seq % 5 == 0, F.concat(F.lit('See "src/app_'), seq_s, F.lit('.py" for details. '), ut))
            .when(seq % 5 == 1, F.concat(F.lit("Source: https://github.com/org"), F.col("conv_id").cast("string"),
                                         F.lit("/repo-"), F.col("turn").cast("string"), F.lit(".git "), ut))
@@ -73,7 +80,10 @@ def v_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(seq % 9 == 3, F.concat(F.lit("```python\ndef answer_"), seq_s, F.lit("(x):\n    return x\n```\n"), at))
            .when(seq % 9 == 6, F.concat(F.lit("class Answer"), seq_s, F.lit(":\n    pass\n"), at))
            .when(seq % 3 == 1, at)
-           .otherwise(T.head(at, (seq % 15).cast("int"))))
+           .when(seq % 15 == 2, F.lit(""))
+           .when(seq % 15 == 5, F.lit("Yes."))
+           .when(seq % 15 == 8, F.lit("Yes, done."))
+           .otherwise(at))
     return j.select(seq, F.lit("conversations").alias("dataset"), instruction.alias("instruction"),
                     inp.alias("input"), out.alias("output"))
 
@@ -86,23 +96,23 @@ def v_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = i % 5
     nul = F.lit(None).cast("string")
     instruction = (F.when(shape == 0, F.when(i % 10 == 0, nul).otherwise(F.lit("")))
-                   .when(shape == 1, F.when(i % 10 == 1, nul).otherwise(F.concat(F.lit("Implement: "), T.head(t, 40))))
+                   .when(shape == 1, F.when(i % 10 == 1, nul).otherwise(F.concat(F.lit("Implement: "), T.first_line(t))))
                    .when(shape == 2, F.when(i % 10 == 2, nul).otherwise(F.lit("Solve the puzzle.")))
-                   .when(shape == 3, T.head(T.first_line(t), 120))
+                   .when(shape == 3, T.first_line(t))
                    .otherwise(F.lit("Summarize this text.")))
     return d.select(
         i.alias("seq"),
         F.col("source").alias("dataset"),
         instruction.alias("instruction"),
-        F.when(shape == 3, T.head(t, 500)).when(shape == 4, t).alias("input"),
-        F.when(shape == 3, F.substring(t, 501, 300)).when(shape == 4, T.head(t, 50)).alias("output"),
-        F.when(shape == 0, T.head(t, 300)).alias("prompt"),
-        F.when(shape == 0, F.substring(t, 301, 300)).alias("completion"),
-        F.when(shape == 1, T.head(t, 200)).alias("text"),
+        F.when(shape.isin(3, 4), t).alias("input"),
+        F.when(shape == 3, t).when(shape == 4, T.first_line(t)).alias("output"),
+        F.when(shape == 0, T.first_line(t)).alias("prompt"),
+        F.when(shape == 0, t).alias("completion"),
+        F.when(shape == 1, t).alias("text"),
         F.when(shape == 1, F.concat(F.lit("def f"), i.cast("string"), F.lit("():\n    return "),
                                     F.col("n_chars").cast("string"))).alias("code"),
-        F.when(shape == 2, T.head(t, 400)).alias("question"),
-        F.when(shape == 2, F.concat(F.lit('["'), T.head(t, 30), F.lit('"]'))).alias("solutions"),
+        F.when(shape == 2, t).alias("question"),
+        F.when(shape == 2, F.concat(F.lit('["'), json_text(t), F.lit('"]'))).alias("solutions"),
     )
 
 
@@ -111,12 +121,11 @@ def v_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read(spark, sf_dir, "benchmark")
     lab = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), "quality")
     i, t = F.col("item_id"), F.col("text")
-    clean = F.replace(F.replace(F.replace(T.head(t, 60), F.lit("\\"), F.lit("")), F.lit('"'), F.lit("")),
-                      F.lit("\n"), F.lit(" "))
     return b.join(lab, "item_id", "left").select(
         i,
         F.when(i % 7 == 6, F.lit("")).otherwise(t).alias("question"),
-        (F.when(i % 3 == 0, F.concat(F.lit('["'), clean, F.lit('", "print(1)"]')))
+        (F.when(i % 11 == 5, F.lit("")).when(i % 11 == 7, F.lit(None).cast("string"))
+         .when(i % 3 == 0, F.concat(F.lit('["'), json_text(t), F.lit('", "print(1)"]')))
          .when(i % 3 == 1, F.concat(F.lit("def broken("), i.cast("string"), F.lit("): return [")))
          .otherwise(F.lit("[]"))).alias("solutions"),
         (F.when(F.col("quality") == 1, F.lit("interview")).when(F.col("quality") == 0, F.lit("introductory"))
@@ -131,7 +140,8 @@ def v_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     i = F.col("doc_id")
     ext = pick(FILE_EXTS, i % len(FILE_EXTS))
-    name = F.when(i % 13 == 0, F.concat(F.lit("build_"), i.cast("string"), ext)) \
+    name = F.when(i % 17 == 0, F.concat(F.lit("f"), i.cast("string"), F.lit("."), ext)) \
+        .when(i % 13 == 0, F.concat(F.lit("build_"), i.cast("string"), ext)) \
         .otherwise(F.concat(F.lit("f"), i.cast("string"), ext))
     return d.select(
         F.col("source").alias("repo"),
@@ -148,7 +158,7 @@ def v_thread_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("conv_id")
     return c.select(
         k.alias("item_id"),
-        T.head(T.first_line("text"), 60).alias("title"),
+        T.first_line("text").alias("title"),
         F.when(k % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("text")).alias("body"),
         F.when(k % 3 == 0, F.struct(F.concat(F.lit("pr/"), k.cast("string")).alias("url")))
          .alias("pull_request"),
@@ -182,7 +192,7 @@ def v_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(BENCHMARKS, u % 3).alias("benchmark"),
         F.when(F.col("event_type").isin("click", "view", "purchase"), F.lit("fine_tuned"))
          .otherwise(F.lit("base")).alias("model"),
-        u.alias("task_id"),
+        (u % TASKS).alias("task_id"),
         i.alias("gen"),
         txt.alias("text"),
         passed.alias("passed"),
@@ -198,7 +208,7 @@ def v_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(
         i.alias("task_id"),
         F.col("text").alias("prompt"),
-        F.concat(F.lit("assert t"), i.cast("string"), F.lit("(1) == 2  # "), T.one_line(T.head("text", 30))).alias("test"),
+        F.concat(F.lit("assert t"), i.cast("string"), F.lit("(1) == 2  # "), T.one_line("text")).alias("test"),
     )
 
 
@@ -215,7 +225,7 @@ def v_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id rows ``(id, tokens ARRAY<INT>)``: word lengths of a conversation turn."""
     c = read(spark, sf_dir, "conversations")
     return c.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
+        (F.col("conv_id") * TURNS + F.col("turn")).alias("id"),
         F.transform(F.split("text", " ", -1), lambda w: F.length(w) + 100).alias("tokens"),
     )
 
@@ -246,11 +256,11 @@ def v_code_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         i.alias("seq"),
         F.concat(F.lit("def f"), i_s, F.lit("(x):\n    return x * "), F.col("n_chars").cast("string")).alias("code"),
-        F.when(i % 6 == 0, nul).when(i % 6 == 1, F.lit("")).otherwise(T.head(T.first_line(t), 80)).alias("docstring"),
-        F.when(i % 4 == 3, F.lit("")).otherwise(T.head(t, 120)).alias("english_documentation"),
-        F.when(i % 3 == 0, nul).when(i % 3 == 1, F.lit("")).otherwise(T.head(t, 50)).alias("func_documentation_string"),
-        F.concat(F.lit("def f"), i_s, F.lit("(x):\n    # "), T.head(t, ((i % 5) * 20).cast("int"))).alias("func_code_string"),
-        F.when(i % 9 == 0, nul).otherwise(F.col("source")).alias("repository_name"),
+        F.when(i % 6 == 0, nul).when(i % 6 == 1, F.lit("")).otherwise(T.first_line(t)).alias("docstring"),
+        F.when(i % 4 == 3, F.lit("")).otherwise(t).alias("english_documentation"),
+        F.when(i % 3 == 0, nul).when(i % 3 == 1, F.lit("")).otherwise(t).alias("func_documentation_string"),
+        F.concat(F.lit("def f"), i_s, F.lit("(x):\n    # "), F.when(i % 5 == 0, F.lit("")).otherwise(t)).alias("func_code_string"),
+        F.when(i % 9 == 0, nul).when(i % 9 == 1, F.lit("")).otherwise(F.col("source")).alias("repository_name"),
         pick(CODE_LANGS, i % len(CODE_LANGS)).alias("lang"),
         pick(SPLITS, i % len(SPLITS)).alias("split"),
     )
@@ -263,7 +273,7 @@ def v_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(
         i.alias("task_id"),
         F.when(i % 5 == 4, F.lit("")).otherwise(
-            F.concat(F.lit("def t"), i.cast("string"), F.lit('(x):\n    """'), T.one_line(T.head("text", 80)),
+            F.concat(F.lit("def t"), i.cast("string"), F.lit('(x):\n    """'), T.one_line("text"),
                      F.lit('"""\n'))).alias("prompt"),
         F.when(i % 6 == 5, F.lit(None).cast("string")).otherwise(
             F.concat(F.lit("    return x + "), i.cast("string"))).alias("canonical_solution"),

@@ -472,7 +472,7 @@ def c20(spark, sf):
 @query("c21_request_compose")
 def c21(spark, sf):
     s = _samples(spark, sf)
-    return s.select("seq", PR.compose_request(A.pick(A.PHRASES, F.col("seq") % 16), T.head("input", 40))
+    return s.select("seq", PR.compose_request(A.pick(A.PHRASES, F.col("seq") % 16), "input")
                     .alias("request_instruction"))
 
 
@@ -507,14 +507,14 @@ def c25(spark, sf):
 @query("c26_fixed_length_rows")
 def c26(spark, sf):
     t = A.v_token_ids(spark, sf)
-    cols = PR.fixed_length("tokens", max_seq=64, pad_id=0)
+    cols = PR.fixed_length("tokens", max_seq=2048, pad_id=0)
     return t.select("id", *[v.alias(k) for k, v in cols.items()])
 
 
 @query("c27_identifier_rewrite")
 def c27(spark, sf):
     s = _samples(spark, sf)
-    return s.select("seq", PR.rewrite_identifiers(T.head("output", 60)).alias("rewritten"))
+    return s.select("seq", PR.rewrite_identifiers("output").alias("rewritten"))
 
 
 # --- generators ---------------------------------------------------------------------
@@ -564,7 +564,7 @@ def w6(spark, sf):
 
 @query("w7_training_rows")
 def w7(spark, sf):
-    return W.training_rows(_samples(spark, sf), A.v_token_ids(spark, sf), max_seq=64)
+    return W.training_rows(_samples(spark, sf), A.v_token_ids(spark, sf), max_seq=2048)
 
 
 @query("w8_benchmark_scoring")
@@ -587,9 +587,9 @@ def w10(spark, sf):
 @query("f10_snippet_and_chunk_length")
 def f10(spark, sf):
     """snippet longer than 100 chars / chunk whose stripped text is longer than 20."""
-    f = A.v_files(spark, sf).select("path", T.head_lines("content", 40).alias("snippet"))
+    f = A.v_files(spark, sf).select("path", "content", T.head_lines("content", 40).alias("snippet"))
     return f.select("path", (F.length("snippet") > 100).alias("snippet_ok"),
-                    (F.length(T.py_strip("snippet")) > SN.CHUNK_MIN_STRIPPED).alias("chunk_ok"))
+                    (F.length(T.py_strip("content")) > SN.CHUNK_MIN_STRIPPED).alias("chunk_ok"))
 
 
 @query("f12_discussion_body_length")
@@ -613,16 +613,13 @@ def o2b(spark, sf):
 
 # --- sources through real files ---------------------------------------------------
 # Files are derived by Spark from the given tables into a scratch folder under
-# spark.checkpoint.dir (a local temp folder only when the session names none),
+# spark.checkpoint.dir, a new one for every call,
 # then read back through the sources.
 
 def _scratch(spark: SparkSession, name: str, sf: str) -> str:
-    import os
-    import tempfile
-    from samplesmith.session import checkpoint_dir
-    base = checkpoint_dir(spark, os.path.join(tempfile.gettempdir(), "samplesmith-checkpoints"))
-    tag = os.path.basename(os.path.normpath(sf))
-    return f"{base.rstrip('/')}/samplesmith-scratch/{tag}/{name}"
+    import uuid
+    from samplesmith.session import shared_dir
+    return f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}/{name}"
 
 
 _RAW_WITH_SEQ = "seq long, " + ", ".join(f"{f} string" for f in
@@ -636,7 +633,8 @@ def s1(spark, sf):
     with neither instruction nor prompt are dropped on the way back (F2)."""
     from samplesmith.sources import jsonl as J
     path = _scratch(spark, "s1_jsonl", sf)
-    A.v_raw(spark, sf).drop("dataset").write.mode("overwrite").json(path)
+    raw = A.v_raw(spark, sf).drop("dataset")
+    J.write_jsonl(raw, path, fields=raw.columns, layout="spark")
     back = J.read_jsonl_strict(spark, path, spark.createDataFrame([], _RAW_WITH_SEQ).schema)
     return back.drop("file_path", "file_block_start", "row_in_block")
 

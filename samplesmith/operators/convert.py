@@ -96,9 +96,10 @@ def keep_nonempty(df: DataFrame) -> DataFrame:
 # --- problem sets: P5, P12 ---------------------------------------------------
 
 def parsed_solutions(c: str | Column = "solutions") -> Column:
-    """``json.loads(solutions)``, falling back to ``[solutions]`` when it is not JSON."""
+    """``json.loads(solutions)``, falling back to ``[solutions]`` when it is not JSON;
+    null when it is missing or empty."""
     c = T.col(c)
-    return F.coalesce(F.from_json(c, "array<string>"), F.array(c))
+    return F.when(T.truthy(c), F.coalesce(F.from_json(c, "array<string>"), F.array(c)))
 
 
 def apps_samples(df: DataFrame) -> DataFrame:
@@ -267,7 +268,7 @@ def function_doc_multilang(df: DataFrame, lang_col: str = "lang") -> DataFrame:
     df = _raw(df)
     code = T.s("func_code_string")
     doc = T.col("func_documentation_string")
-    repo = F.coalesce(T.nonempty("repository_name"), F.lit("codebase"))
+    repo = F.coalesce("repository_name", F.lit("codebase"))
     out = F.when(T.truthy(doc), T.head(doc, 500)).otherwise(F.concat(F.lit("Function from "), repo))
     return _emit(df, _passthrough(df), F.concat(F.lit("Explain this "), F.col(lang_col), F.lit(" code:")),
                  T.head(code, 2000), out, where=T.truthy(code) & (F.length(code) > 50))

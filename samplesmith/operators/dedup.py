@@ -4,14 +4,10 @@
 (``seq``, or ``(dataset_ord, seq)`` after a union).  ``dropDuplicates`` keeps
 an arbitrary survivor, so it is not used.
 
-Physical plan: ``row_number() = 1`` per ``(key, salt)`` and then per ``key``
-(salt = the map task modulo the bucket count).  Spark plans each stage with
-a *partial* ``WindowGroupLimit`` before its exchange, so each map task
-forwards at most one row per key.  For a hot key (say a third of all rows
-sharing one instruction+input) each first-stage task receives rows from
-only ``1/buckets`` of the map tasks, and the final stage receives at most
-``buckets`` rows — never the whole group, and never one row per map task of
-a huge input.
+Physical plan: ``row_number() = 1`` per digest of the key.  Spark plans a
+*partial* ``WindowGroupLimit`` before the only exchange, so each map task
+forwards at most one row per key, however many share it, and whole rows cross
+the network once.
 """
 
 from __future__ import annotations
@@ -22,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from samplesmith.functions import text as T
-from samplesmith.operators.limits import salt, salt_buckets
 
 # Key widths of the two dedup rules.
 WIDE_INPUT_CHARS = 200          # D1: instruction + input[:200]
@@ -42,20 +37,15 @@ def narrow_key() -> Column:
                     T.head(T.s("input"), NARROW_INPUT_CHARS))
 
 
-def keep_first(df: DataFrame, key: Column, order: list[str], buckets: int | None = None) -> DataFrame:
+def keep_first(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
     """Keep the first row (by ``order``) of every ``key``.
 
-    Salted two-stage plan: keep-first per ``(key, salt)`` (salt = map task
-    modulo ``buckets``), then per key.  Each stage drops duplicates map-side
-    (partial ``WindowGroupLimit``), so for a key shared by a third of all rows
-    each first-stage task receives rows from ``1/buckets`` of the map tasks,
-    and the final task receives at most ``buckets`` rows.
+    The exchange is on a 256-bit digest, so long keys are not carried along.  A
+    key shared by a third of all rows reaches its task as one row per map task.
     """
-    k = df.withColumn("__k", key).withColumn("__salt", salt(buckets or salt_buckets(df)))
-    s1 = Window.partitionBy("__k", "__salt").orderBy(*order)
-    first = k.withColumn("__rn", F.row_number().over(s1)).where(F.col("__rn") == 1).drop("__rn", "__salt")
     w = Window.partitionBy("__k").orderBy(*order)
-    return first.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn", "__k")
+    return (df.withColumn("__k", F.unhex(F.sha2(key.cast("binary"), 256)))
+            .withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn", "__k"))
 
 
 def dedup_wide(df: DataFrame, order: list[str] | None = None) -> DataFrame:

@@ -27,46 +27,13 @@ def no_limit(n: int | None) -> bool:
     return not n
 
 
-TOPK_MAX = 10_000  # above this, a top-k's final task would receive (#tasks x n) rows
-
-
-def head_n(df: DataFrame, n: int | None, order: list[str], range_parts: int | None = None) -> DataFrame:
+def head_n(df: DataFrame, n: int | None, order: list[str]) -> DataFrame:
     """The first ``n`` rows in ``order`` (all rows when ``n`` is falsy).
 
-    Small ``n``: ``TakeOrderedAndProject`` (each task keeps ``n`` rows).  Large
-    ``n``: ``head_by_range`` — no task ever receives more than one range."""
-    if no_limit(n):
-        return df
-    if n > TOPK_MAX or range_parts:
-        return head_by_range(df, n, order, range_parts)
-    return df.orderBy(*order).limit(n)
-
-
-def head_by_range(df: DataFrame, n: int, order: list[str], parts: int | None = None) -> DataFrame:
-    """Exact first ``n`` rows in ``order`` for large ``n``.
-
-    Rows are range-partitioned on the order key and tagged with their range
-    (kept on disk so the tags stay fixed); per-range counts (one small row per
-    range) locate the range holding the ``n``-th row.  Every earlier range is
-    kept whole and only that boundary range is cut with a top-k, so the largest
-    task handles one range.  ``order`` must be a total order (unique keys).
+    One plan for every ``n``: each task keeps its own first ``n`` rows.  Spark
+    sorts by ranges instead once ``n`` reaches ``spark.sql.execution.topKSortFallbackThreshold``.
     """
-    from pyspark import StorageLevel
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id())
-                .persist(StorageLevel.DISK_ONLY))
-    counts = sorted((r["__range"], r["count"]) for r in tagged.groupBy("__range").count().collect())
-    before, boundary, need = 0, None, 0
-    for rid, c in counts:
-        if before + c >= n:
-            boundary, need = rid, n - before
-            break
-        before += c
-    if boundary is None:  # fewer than n rows: all of them
-        return tagged.drop("__range")
-    whole = tagged.where(F.col("__range") < boundary)
-    cut = tagged.where(F.col("__range") == boundary).orderBy(*order).limit(need)
-    return whole.unionByName(cut).drop("__range")
+    return df if no_limit(n) else df.orderBy(*order).limit(n)
 
 
 SALT_BUCKETS = 64            # the skew probe's reference value

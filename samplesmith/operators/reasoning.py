@@ -112,11 +112,12 @@ def keep_output(output) -> Column:
 def reasoning_steps(problem_type, instruction) -> Column:
     """C12 ``generate_reasoning_steps``: the class template with ``instruction[:100]``."""
     pt = T.col(problem_type)
-    expr = None
+    expr, general = None, None
     for cls, (approach, edge, impl) in STEP_TEMPLATES.items():
         tail = F.lit(f"\n2. Approach: {approach}\n3. Edge cases: {edge}\n4. Implementation: {impl}")
         expr = F.when(pt == cls, tail) if expr is None else expr.when(pt == cls, tail)
-    return F.concat(F.lit(STEPS_HEADER), T.head(T.s(instruction), 100), expr)
+        general = tail if cls == "general" else general
+    return F.concat(F.lit(STEPS_HEADER), T.head(T.s(instruction), 100), expr.otherwise(general))
 
 
 def reasoning_output(instruction, output) -> Column:

@@ -145,9 +145,10 @@ def solved_fraction(problems: DataFrame, keys=("benchmark", "model")) -> DataFra
 
 def unbiased_pass_at_k(problems: DataFrame, k: int, keys=("benchmark", "model")) -> DataFrame:
     """The published unbiased estimator, averaged per group:
-    ``1 - C(n-c, k) / C(n, k)`` = ``1 - prod_{i=n-c+1..n} (1 - k/i)``, and 1 when ``n - c < k``."""
+    ``1 - C(n-c, k) / C(n, k)`` = ``1 - prod_{j<k} (n-c-j) / (n-j)``, and 1 when ``n - c < k``."""
     n, c = F.col("total"), F.col("num_passed")
-    prod = F.aggregate(F.sequence(n - c + 1, n), F.lit(1.0), lambda acc, i: acc * (1.0 - F.lit(float(k)) / i))
+    terms = F.array(*[F.lit(j) for j in range(k)])  # k factors, however many generations pass
+    prod = F.aggregate(terms, F.lit(1.0), lambda acc, j: acc * ((n - c - j) / (n - j)))
     est = F.when(n - c < k, F.lit(1.0)).when(c == 0, F.lit(0.0)).otherwise(1.0 - prod)
     return problems.withColumn("pass_at_k", est).groupBy(*keys).agg(F.avg("pass_at_k").alias(f"pass_at_{k}"))
 

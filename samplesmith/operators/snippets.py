@@ -88,7 +88,7 @@ def parent_dirs(path: str | Column = "path") -> Column:
 
 def extension(path: str | Column = "path") -> Column:
     """``os.path.splitext(path)[1].lstrip('.')`` for names with a dot."""
-    return F.regexp_extract(file_name(path), r"[^.]\.([^.]*)\z", 1)  # \z: Java's $ also matches before a final newline
+    return F.regexp_extract(F.regexp_replace(file_name(path), r"\A\.+", ""), r"\.([^.]*)\z", 1)  # \z: Java's $ also matches before a final newline
 
 
 def has_extension(exts, path: str | Column = "path") -> Column:

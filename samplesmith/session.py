@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,6 +68,17 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return d
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Only a local master without that setting (tests) gets a folder of its own;
+    on a cluster a missing setting is an error.
+    """
+    sc = spark.sparkContext
+    own = sc.master.startswith("local") and "cluster" not in sc.master and sc.getCheckpointDir() is None
+    return checkpoint_dir(spark, tempfile.mkdtemp(prefix="checkpoint-") if own else None)
+
+
 def materialize(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder.
 

@@ -67,16 +67,32 @@ def read_jsonl_strict(spark: SparkSession, paths: list[str] | str, schema: T.Str
     return ok.where(TX.truthy("instruction") | TX.truthy("prompt"))
 
 
+def _parsed(line: F.Column, schema: T.StructType) -> F.Column:
+    """The object on a line, or null where the line is not one JSON object.
+
+    Put in brackets, a line that holds one object and nothing else parses to one
+    element: trailing text, a second object, comments and single quotes do not.
+    """
+    text = TX.py_strip(line)
+    found = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(schema), {"allowSingleQuotes": "false"})
+    return F.when(F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")) & (F.size(found) == 1), F.get(found, F.lit(0)))
+
+
+def _lines(spark: SparkSession, found: list[str]) -> DataFrame:
+    """Non-blank lines with their order columns."""
+    return _with_order(spark.read.text(found)).where(F.length(TX.py_strip("value")) > 0)
+
+
 def read_jsonl_all(spark: SparkSession, paths: list[str] | str, schema: T.StructType = RAW) -> DataFrame:
     """Every non-blank line with ``_corrupt`` holding the raw text of malformed ones."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     found = existing_paths(spark, paths)
     if not found:
         return _empty(spark, schema)
-    s = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-    df = (spark.read.schema(s).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-          .json(found))
-    return _with_order(df)
+    order = ["file_path", "file_block_start", "row_in_block"]
+    rows = _lines(spark, found).withColumn("__o", _parsed(F.col("value"), schema))
+    return rows.select(*[F.col("__o")[f.name].alias(f.name) for f in schema.fields],
+                       F.when(F.col("__o").isNull(), F.col("value")).alias(CORRUPT), *order)
 
 
 def rejected_lines(spark: SparkSession, paths: list[str] | str, schema: T.StructType = RAW) -> DataFrame:
@@ -97,7 +113,7 @@ def rejected_lines(spark: SparkSession, paths: list[str] | str, schema: T.Struct
         F.count(F.lit(1)).alias("n"), F.min("row_in_block").alias("first_id"))
     before = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("lines_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    bad = (F.length(TX.py_strip("value")) > 0) & F.try_parse_json("value").isNull()
+    bad = (F.length(TX.py_strip("value")) > 0) & _parsed(F.col("value"), schema).isNull()
     rejected = lines.where(bad).join(splits, ["file_path", "file_block_start"])
     return rejected.select("file_path",
                            (F.col("lines_before") + F.col("row_in_block") - F.col("first_id") + 1).alias("line_no"),
@@ -111,8 +127,7 @@ def read_jsonl_lenient(spark: SparkSession, paths: list[str] | str, schema: T.St
     found = existing_paths(spark, paths)
     if not found:
         return _empty(spark, schema)
-    df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(found)
-    return _with_order(df)
+    return read_jsonl_all(spark, paths, schema).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
 def python_json_line(fields: list[str]) -> F.Column:

@@ -207,13 +207,12 @@ def test_seeded_shuffle_is_a_repeatable_permutation(spark):
     assert a == b and sorted(a) == list(range(300)) and a != list(range(300)) and a != c
 
 
-def test_head_by_range_matches_top_k(spark):
-    df = spark.range(5000).select(F.col("id"), (F.col("id") * 7919 % 5000).alias("k"))
-    for n in (1, 17, 999, 4999, 5000, 7000):
-        got = [r.k for r in L.head_n(df, n, ["k"], range_parts=13).collect()]
-        assert sorted(got) == list(range(min(n, 5000)))
-    a = sorted(r.k for r in L.head_n(df, 20_000, ["k"]).collect())  # large n takes the range path by default
-    assert a == list(range(5000))
+def test_head_is_one_plan_for_any_count(spark):
+    df = spark.range(20_000).select(F.col("id"), (F.col("id") * 7919 % 20_000).alias("k"))
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    for n in (1, 999, 10_000, 10_001, 30_000):
+        assert sorted(r.k for r in L.head_n(df, n, ["k"]).collect()) == list(range(min(n, 20_000)))
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
 
 
 def test_exact_split_counts(spark):
@@ -223,3 +222,53 @@ def test_exact_split_counts(spark):
         got = {r.split: r["count"] for r in L.exact_train_eval_split(df, "seq", size, prefix_bits=4)
                .groupBy("split").count().collect()}
         assert got.get("eval", 0) == math.ceil(size * n) and sum(got.values()) == n
+
+
+def test_missing_solutions_give_no_solve_sample(spark):
+    rows = spark.createDataFrame([(1, "q", None, "x"), (2, "q", "", ""), (3, "q", '["a"]', ""), (4, "q", "[]", "")],
+                                 "item_id long, question string, solutions string, starter_code string")
+    got = sorted((r.item_id, r.sample_no, r.output) for r in C.apps_samples(rows).collect())
+    assert got == [(1, 0, ""), (3, 0, "a")]
+
+
+def test_extension_and_repository_and_unknown_class(spark):
+    from samplesmith.operators import reasoning as RS
+    from samplesmith.operators import snippets as SN
+    names = spark.createDataFrame([("x/a..py",), ("x/.bashrc",), ("x/a",), ("x/..a.py",), ("a.tar.gz",)], "path string")
+    assert [r[0] for r in names.select(SN.extension("path")).collect()] == ["py", "", "", "py", "gz"]
+    code = "def f(): pass" + "x" * 60
+    repos = spark.createDataFrame([("go", code, "", ""), ("go", code, "", None)],
+                                  "lang string, func_code_string string, func_documentation_string string, repository_name string")
+    assert [r.output for r in C.function_doc_multilang(repos).collect()] == ["Function from ", "Function from codebase"]
+    steps = spark.range(1).select(RS.reasoning_steps(F.lit("no such class"), F.lit("i")).alias("a"),
+                                  RS.reasoning_steps(F.lit("general"), F.lit("i")).alias("b")).first()
+    assert steps.a == steps.b is not None
+
+
+def test_json_lines_are_judged_as_json_loads_does(spark, tmp_path):
+    import json
+    from samplesmith.sources import jsonl as J
+    lines = ['{"instruction": "a"}', "{'instruction': 'b'}", '{"instruction": "c"} junk', '{"instruction": "d"} {"instruction": "e"}',
+             '{"instruction": "f"} // c', '{"instruction": "g", "instruction": "h"}', '{"instruction": "i"', "  ", "[1]", "nonsense",
+             ' {"instruction": "j"} ', '{}', '{"instruction": "k",}']
+    (tmp_path / "x.jsonl").write_text("\n".join(lines) + "\n")
+
+    def loads(s):
+        try:
+            return isinstance(json.loads(s), dict)
+        except ValueError:
+            return False
+    path = str(tmp_path / "x.jsonl")
+    schema = spark.createDataFrame([], "instruction string").schema
+    good = [s for s in lines if loads(s)]
+    assert J.read_jsonl_lenient(spark, path, schema).count() == len(good)
+    bad = sorted(r._corrupt for r in J.rejected_lines(spark, path, schema).collect())
+    assert bad == sorted(s for s in lines if s.strip() and not loads(s))
+
+
+def test_scratch_is_new_for_every_call(spark):
+    import __spark_entry__ as E
+    from tests.conftest import SF
+    a = E.queries()["s2_jsonl_lenient_scan"](spark, SF)
+    E.queries()["s3_rejected_lines"](spark, SF).count()
+    assert a.count() > 0
