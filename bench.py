@@ -23,11 +23,11 @@ HEADLINE = [
     "w2_process_and_merge",
     "w3_tree_samples",
     "w4_thread_samples",
-    "w5_reasoning_v1",
-    "w6_reasoning_v2",
+    "c15_transform_v1",
+    "c17_transform_with_tools",
     "w7_training_rows",
     "w8_benchmark_scoring",
-    "w9_problem_conversion",
+    "p12_problem_difficulty",
     "w10_repo_snippets",
     "a2_prefix_breakdown",
     "c22_extract_code",

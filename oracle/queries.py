@@ -18,6 +18,7 @@ from samplesmith.operators import prompts as PR
 from samplesmith.operators import reasoning as RS
 from samplesmith.operators import scoring as SC
 from samplesmith.operators import snippets as SN
+from samplesmith.sources.registry import DATASET_GROUPS
 
 ORACLE: dict[str, str] = {}
 NULLS = "CAST(NULL AS VARCHAR)"
@@ -748,8 +749,11 @@ ORACLE["w2_process_and_merge"] = with_(keep_first(ROUTE_SQL, narrow_key(), "data
 _w3_files = (f"SELECT path, content FROM v_files WHERE {has_ext(SN.TREE_EXTS)} AND {no_skip_word(SN.TREE_SKIP_WORDS)}")
 ORACLE["w3_tree_samples"] = with_(fanout(tree_chunks(_w3_files)), "v_files")
 ORACLE["w4_thread_samples"] = thread_samples(None)
-ORACLE["w5_reasoning_v1"] = ORACLE["c15_transform_v1"]
-ORACLE["w6_reasoning_v2"] = ORACLE["c17_transform_with_tools"]
+_SAMPLE = "SELECT instruction, input, output FROM"
+ORACLE["w5_reasoning_v1"] = with_(f"{_SAMPLE} ({transform_v1('v_samples')})", "v_samples")
+ORACLE["w6_reasoning_v2"] = with_(f"{_SAMPLE} ({transform_tools('v_samples')})", "v_samples")
+ORACLE["w6b_reasoning_v2_head"] = with_(
+    f"{_SAMPLE} ({transform_v2('(SELECT * FROM v_samples ORDER BY seq LIMIT 100)')})", "v_samples")
 _flw = fixed_length("t.tokens", 2048)
 ORACLE["w7_training_rows"] = with_(
     f"SELECT s.seq, {render('inst')} AS prompt, {_flw['input_ids']} AS input_ids, {_flw['attention_mask']} AS attention_mask, "
@@ -760,7 +764,7 @@ _w8_gens = f"SELECT g.* FROM ({GENS_CODE}) g JOIN v_tests t ON t.task_id = g.tas
 ORACLE["w8_benchmark_scoring"] = with_(
     f"SELECT p.*, substr(t.prompt, 1, 50) AS prompt FROM ({per_problem(_w8_gens)}) p JOIN v_tests t ON t.task_id = p.task_id",
     "v_generations", "v_tests")
-ORACLE["w9_problem_conversion"] = ORACLE["p12_problem_difficulty"]
+ORACLE["w9_problem_conversion"] = with_(f"{_SAMPLE} ({P12})", "v_problems")
 ORACLE["w10_repo_snippets"] = with_(
     " UNION ALL ".join(f"SELECT *, '{k}' AS variant FROM ({snippets('v_files', sc)})" for k, sc in SN.SNIPPET_SOURCES.items()),
     "v_files")
@@ -778,14 +782,27 @@ _RAW_COLS = "seq, instruction, input, output, prompt, completion, text, code, qu
 ORACLE["s1_s4_jsonl_strict_roundtrip"] = with_(
     f"SELECT {_RAW_COLS} FROM v_raw WHERE {truthy('instruction')} OR {truthy('prompt')}", "v_raw")
 ORACLE["s2_jsonl_lenient_scan"] = with_(
-    "SELECT seq, instruction, prompt FROM v_raw WHERE NOT (seq % 23 = 7) AND NOT (seq % 17 = 5)", "v_raw")
-ORACLE["s3_rejected_lines"] = with_("SELECT seq FROM v_raw WHERE NOT (seq % 23 = 7) AND seq % 17 = 5", "v_raw")
+    "SELECT seq, instruction, CASE WHEN seq % 19 = 16 THEN 'again' ELSE prompt END AS prompt FROM v_raw "
+    "WHERE seq % 23 <> 7 AND seq % 17 <> 5 AND seq % 19 NOT IN (3, 8, 11, 14, 17)", "v_raw")
+ORACLE["s3_rejected_lines"] = with_(
+    "SELECT seq FROM v_raw WHERE seq % 23 <> 7 AND (seq % 17 = 5 OR seq % 19 IN (3, 8, 11, 14, 17))", "v_raw")
 ORACLE["s9_s10_parquet_grid"] = with_(
     f"SELECT seq, split, lang, 'Explain this ' || lang || ' code:' AS instruction, {head(s('func_code_string'), 2000)} AS input, "
     f"CASE WHEN {truthy('func_documentation_string')} THEN {head('func_documentation_string', 500)} "
     f"ELSE 'Function from ' || coalesce(repository_name, 'codebase') END AS output FROM v_code_doc "
     f"WHERE lang IN ('python', 'go', 'ruby') AND split IN ('train', 'test') "
     f"AND {truthy(s('func_code_string'))} AND length({s('func_code_string')}) > 50", "v_code_doc")
+ORACLE["s5_append_sink"] = with_(f"{_SAMPLE} v_samples", "v_samples")
+ORACLE["s11_concat_files"] = with_(
+    f"{_SAMPLE} v_samples UNION ALL {_SAMPLE} ({keep_nonempty(ROUTED_RAW)})", "v_raw", "v_samples")
+_files = "VALUES " + ", ".join(
+    f"({lit(g)}, {lit(n)}, {k})" for k, (g, n) in enumerate((g, n) for g, ns in DATASET_GROUPS.items() for n in ns))
+ORACLE["s12_s15_file_inventory"] = with_(
+    f"SELECT r.\"group\", r.name, c.lines, CASE WHEN c.lines IS NULL THEN 'MISSING' ELSE 'present' END AS status, r.reg_ord "
+    f"FROM ({_files}) r(\"group\", name, reg_ord) LEFT JOIN (SELECT ['apps_train', 'github_code', 'mbpp_extra'][seq % 3 + 1] AS name, "
+    f"count(*) AS lines FROM v_samples GROUP BY 1) c USING (name)", "v_samples")
+ORACLE["s13_merge_files"] = with_(f"{_SAMPLE} ({W1})", "v_raw", "v_samples")
+ORACLE["s14_results_sink"] = ORACLE["w8_benchmark_scoring"]
 ORACLE["o2b_exact_split"] = with_(
     "SELECT seq, CASE WHEN row_number() OVER (ORDER BY h, seq) <= ceil(0.05 * count(*) OVER ()) THEN 'eval' "
     "ELSE 'train' END AS split FROM (SELECT seq, CAST(('0x' || substr(md5('split42:' || CAST(seq AS VARCHAR)), 1, 8)) "

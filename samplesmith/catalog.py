@@ -8,6 +8,7 @@ the operator itself (heads, caps, top-k).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,12 @@ from samplesmith.operators import reasoning as RS
 from samplesmith.operators import scoring as SC
 from samplesmith.operators import snippets as SN
 from samplesmith.operators import threads as TH
+from samplesmith.plans import jobs as JB
 from samplesmith.plans import merge as W
+from samplesmith.schema import SAMPLE_FIELDS
+from samplesmith.session import shared_dir
+from samplesmith.sources import jsonl as J
+from samplesmith.sources import registry as REG
 
 Q = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Q] = {}
@@ -554,12 +560,26 @@ def w4(spark, sf):
 
 @query("w5_reasoning_v1")
 def w5(spark, sf):
-    return RS.transform_v1(_samples(spark, sf))
+    """W5 as a job: lenient scan of a written dataset, transform, sink, read back."""
+    src, out = _sample_file(spark, sf), _scratch(spark, "reasoning_v1", sf)
+    JB.reasoning_files(spark, src, out, version="v1")
+    return J.read_jsonl_lenient(spark, out).select(*SAMPLE_FIELDS)
 
 
 @query("w6_reasoning_v2")
 def w6(spark, sf):
-    return RS.transform_v2_tools(_samples(spark, sf))
+    """W6 as a job, with tool prompts."""
+    src, out = _sample_file(spark, sf), _scratch(spark, "reasoning_v2", sf)
+    JB.reasoning_files(spark, src, out, version="v2", tools=True)
+    return J.read_jsonl_lenient(spark, out).select(*SAMPLE_FIELDS)
+
+
+@query("w6b_reasoning_v2_head")
+def w6b(spark, sf):
+    """W6 with its ``--limit``: the first 100 parseable lines in file order, then the transform."""
+    src, out = _sample_file(spark, sf), _scratch(spark, "reasoning_head", sf)
+    JB.reasoning_files(spark, src, out, version="v2", limit=100)
+    return J.read_jsonl_lenient(spark, out).select(*SAMPLE_FIELDS)
 
 
 @query("w7_training_rows")
@@ -574,7 +594,13 @@ def w8(spark, sf):
 
 @query("w9_problem_conversion")
 def w9(spark, sf):
-    return C.apps_with_difficulty(A.v_problems(spark, sf))
+    """W9 as a job: a train and a test dump, P12 on each, appended to two sinks, then concatenated."""
+    problems = A.v_problems(spark, sf).select("item_id", "question", "solutions", "difficulty")
+    train, test, out = (_scratch(spark, n, sf) for n in ("problems_train", "problems_test", "problems_out"))
+    problems.where("item_id % 2 = 0").write.json(train)
+    problems.where("item_id % 2 = 1").write.json(test)
+    JB.problems_to_samples(spark, train, test, out)
+    return J.read_jsonl_lenient(spark, f"{out}/combined").select(*SAMPLE_FIELDS)
 
 
 @query("w10_repo_snippets")
@@ -617,11 +643,16 @@ def o2b(spark, sf):
 # then read back through the sources.
 
 def _scratch(spark: SparkSession, name: str, sf: str) -> str:
-    import uuid
-    from samplesmith.session import shared_dir
     return f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}/{name}"
 
 
+def _sample_file(spark: SparkSession, sf: str, path: str | None = None) -> str:
+    """The samples as a JSONL dataset whose file order is the order of ``seq``."""
+    path = path or _scratch(spark, "samples", sf)
+    J.write_jsonl(_samples(spark, sf).orderBy("seq"), path)
+    return path
+
+
 _RAW_WITH_SEQ = "seq long, " + ", ".join(f"{f} string" for f in
                                          ["instruction", "input", "output", "prompt", "completion", "text", "code",
                                           "question", "solutions"])
@@ -631,7 +662,6 @@ _RAW_WITH_SEQ = "seq long, " + ", ".join(f"{f} string" for f in
 def s1(spark, sf):
     """S4 sink then S1 strict scan: null fields are written as missing keys; rows
     with neither instruction nor prompt are dropped on the way back (F2)."""
-    from samplesmith.sources import jsonl as J
     path = _scratch(spark, "s1_jsonl", sf)
     raw = A.v_raw(spark, sf).drop("dataset")
     J.write_jsonl(raw, path, fields=raw.columns, layout="spark")
@@ -640,12 +670,19 @@ def s1(spark, sf):
 
 
 def _lines_with_rejects(spark, sf) -> str:
-    """JSONL text with a malformed line every 17th row and a blank line every 23rd."""
+    """JSONL text with a blank line every 23rd row, a truncated one every 17th, and of 19 rows one each with
+    trailing text, a second object, a surrounding array, a comment, single quotes, and a repeated key (which is valid)."""
     path = _scratch(spark, "s2_jsonl_lines", sf)
     raw = A.v_raw(spark, sf).drop("dataset")
     js = F.to_json(F.struct(*raw.columns))
     line = (F.when(F.col("seq") % 23 == 7, F.lit(""))
             .when(F.col("seq") % 17 == 5, F.expr("substring(__j, 1, length(__j) - 1)"))
+            .when(F.col("seq") % 19 == 3, F.concat("__j", F.lit(" junk")))
+            .when(F.col("seq") % 19 == 8, F.concat("__j", F.lit(" "), "__j"))
+            .when(F.col("seq") % 19 == 11, F.concat(F.lit("["), "__j", F.lit("]")))
+            .when(F.col("seq") % 19 == 14, F.concat("__j", F.lit(" // note")))
+            .when(F.col("seq") % 19 == 16, F.expr("""substring(__j, 1, length(__j) - 1) || ',"prompt":"first","prompt":"again"}'"""))
+            .when(F.col("seq") % 19 == 17, F.replace("__j", F.lit('"'), F.lit("'")))
             .otherwise(F.col("__j")))
     raw.withColumn("__j", js).select(line.alias("value")).write.mode("overwrite").text(path)
     return path
@@ -654,7 +691,6 @@ def _lines_with_rejects(spark, sf) -> str:
 @query("s2_jsonl_lenient_scan")
 def s2(spark, sf):
     """Malformed and blank lines silently dropped, no field filter."""
-    from samplesmith.sources import jsonl as J
     path = _lines_with_rejects(spark, sf)
     back = J.read_jsonl_lenient(spark, path, spark.createDataFrame([], _RAW_WITH_SEQ).schema)
     return back.select("seq", "instruction", "prompt")
@@ -663,18 +699,67 @@ def s2(spark, sf):
 @query("s3_rejected_lines")
 def s3(spark, sf):
     """S3: the malformed lines, identified by the seq they carry."""
-    from samplesmith.sources import jsonl as J
     bad = J.rejected_lines(spark, _lines_with_rejects(spark, sf))
-    return bad.select(F.regexp_extract("_corrupt", r'"seq":([0-9]+)', 1).cast("bigint").alias("seq"))
+    return bad.select(F.regexp_extract("_corrupt", r"""["']seq["']:([0-9]+)""", 1).cast("bigint").alias("seq"))
 
 
 @query("s9_s10_parquet_grid")
 def s9(spark, sf):
     """S10 partitioned parquet sink, then S9 one read over the lang x split grid
     with partition pruning, feeding P21."""
-    from samplesmith.sources import registry as REG
     path = _scratch(spark, "s9_grid", sf)
-    A.v_code_doc(spark, sf).select("seq", "lang", "split", "func_code_string", "func_documentation_string",
-                                   "repository_name").write.mode("overwrite").partitionBy("lang", "split").parquet(path)
+    REG.write_partitioned_parquet(A.v_code_doc(spark, sf).select(
+        "seq", "lang", "split", "func_code_string", "func_documentation_string", "repository_name"), path, by=["lang", "split"])
     grid = REG.read_partitioned_parquet(spark, path, langs=["python", "go", "ruby"], splits=["train", "test"])
     return C.function_doc_multilang(grid)
+
+
+@query("s5_append_sink")
+def s5(spark, sf):
+    """Two writes to one sink, the second one appended."""
+    path = _scratch(spark, "s5_samples", sf)
+    for odd, mode in ((0, "overwrite"), (1, "append")):
+        J.write_jsonl(_samples(spark, sf).where(F.col("seq") % 2 == odd), path, mode=mode)
+    return J.read_jsonl_lenient(spark, path).select(*SAMPLE_FIELDS)
+
+
+@query("s11_concat_files")
+def s11(spark, sf):
+    """The lines of two datasets, one after the other, in a third."""
+    parts, out = [_sample_file(spark, sf), _scratch(spark, "s11_raw", sf)], _scratch(spark, "s11_out", sf)
+    J.write_jsonl(C.keep_nonempty(C.normalize_routed(A.v_raw(spark, sf))), parts[1])
+    J.concat_files(spark, parts, out)
+    return J.read_jsonl_lenient(spark, out).select(*SAMPLE_FIELDS)
+
+
+@query("s12_s15_file_inventory")
+def s12(spark, sf):
+    """The registry's datasets and their lines; three of them are written first."""
+    data = _scratch(spark, "data", sf)
+    for k, name in enumerate(["apps_train", "github_code", "mbpp_extra"]):
+        J.write_jsonl(_samples(spark, sf).where(F.col("seq") % 3 == k), f"{data}/{name}.jsonl")
+    return REG.inventory(spark, data).select("group", "name", "lines", "status", "reg_ord")
+
+
+@query("s13_merge_files")
+def s13(spark, sf):
+    """S13 and W1 as a job: a registered key, a path and an absent key are resolved; the files
+    found go through strict scan, routing, filter, keep-first dedup and sink."""
+    data, out = _scratch(spark, "data", sf), _scratch(spark, "merged", sf)
+    raw = A.v_raw(spark, sf).drop("dataset")
+    J.write_jsonl(raw.orderBy("seq"), f"{data}/codealpaca.jsonl", fields=raw.columns, layout="spark")
+    JB.merge_files(spark, ["codealpaca", "absent", _sample_file(spark, sf)], out, data_dir=data)
+    return J.read_jsonl_lenient(spark, out).select(*SAMPLE_FIELDS)
+
+
+@query("s14_results_sink")
+def s14(spark, sf):
+    """S14 and W8 as a job: generation and test dumps are scored; the results sink is read back."""
+    gens, tests, out = (_scratch(spark, n, sf) for n in ("generations", "tests", "scores"))
+    A.v_generations(spark, sf).write.json(gens)
+    A.v_tests(spark, sf).write.json(tests)
+    JB.score(spark, gens, tests, out, fallback_ckpt=shared_dir(spark))
+    found = spark.read.schema("benchmark string, model string, task_id long, prompt string, num_passed long, total long, "
+                              "passed boolean, problem_results array<struct<code:string,passed:boolean>>").json(f"{out}/results")
+    return found.select("benchmark", "model", "task_id", "prompt", "num_passed", "total", "passed",
+                        F.col("problem_results.code").alias("first_codes"), F.col("problem_results.passed").alias("first_passed"))

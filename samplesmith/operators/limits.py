@@ -10,12 +10,14 @@
 * The shuffle (O1) is a total order on ``md5(seed:id)`` — range-partitioned,
   never a single-partition window; written datasets use a hash partition on
   the key plus a local sort instead (no sampling pass).  The split (O2) is a
-  per-row hash bucket: no shuffle at all; its exact-count mode reads a bounded
-  hash histogram.
+  per-row hash bucket: no shuffle at all; its exact-count mode reads two bounded
+  hash histograms and then tests each row against one cutoff.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,34 +129,39 @@ def split_hash(id_col: str | Column, seed: int = 42) -> Column:
                   16, 10).cast("bigint")
 
 
-def exact_train_eval_split(df: DataFrame, id_col: str, test_size: float = 0.05, seed: int = 42,
-                           prefix_bits: int = 16) -> DataFrame:
+def exact_train_eval_split(df: DataFrame, id_col: str, test_size: float = 0.05, seed: int = 42) -> DataFrame:
     """O2, exact-count mode: exactly ``ceil(test_size * n)`` rows are 'eval' —
-    those with the smallest ``(hash, id)`` — without a global window.
+    those with the smallest ``(hash, id)``, ids being unique.
 
-    Pass 1 counts rows per hash prefix (``2**prefix_bits`` buckets at most, a
-    bounded table for the driver); the driver finds the boundary bucket; pass 2
-    ranks only that bucket's rows (about ``n / 2**prefix_bits``) as a top-k.
+    Two histograms (the upper 16 bits of the hash, then the lower 16 within the
+    boundary bucket; at most 65,536 rows each reach the driver) find the one
+    hash value at which the count is reached, and the ids on that value give the
+    last id.  Then each row is tested against that cutoff: no window, no join.
     """
-    import math
-    h = split_hash(id_col, seed)
-    shift = 32 - prefix_bits
-    tagged = df.withColumn("__h", h).withColumn("__p", F.shiftright(F.col("__h"), shift))
-    hist = {r["__p"]: r["count"] for r in tagged.groupBy("__p").count().collect()}  # <= 2**prefix_bits rows
-    k = math.ceil(test_size * sum(hist.values()))
-    below, boundary, need = 0, None, 0
-    for p in sorted(hist):
-        if below + hist[p] >= k:
-            boundary, need = p, k - below
-            break
-        below += hist[p]
-    if boundary is None:  # k == 0: no eval rows
-        return tagged.withColumn("split", F.lit("train")).drop("__h", "__p")
-    edge = (tagged.where(F.col("__p") == boundary).orderBy("__h", id_col).limit(need)
-            .select(F.col(id_col).alias("__eid"), F.lit(True).alias("__edge")))
-    out = tagged.join(edge, tagged[id_col] == edge["__eid"], "left")
-    is_eval = (F.col("__p") < boundary) | F.coalesce(F.col("__edge"), F.lit(False))
-    return out.withColumn("split", F.when(is_eval, "eval").otherwise("train")).drop("__h", "__p", "__eid", "__edge")
+    h = F.col("__h")
+    tagged = df.withColumn("__h", split_hash(id_col, seed))
+
+    def histogram(rows: DataFrame, bits: Column) -> dict[int, int]:
+        return {r["p"]: r["count"] for r in rows.groupBy(bits.alias("p")).count().collect()}
+
+    def boundary(hist: dict[int, int], k: int) -> tuple[int, int]:
+        """The bucket in which the ``k``-th row lies, and its place there."""
+        for p in sorted(hist):
+            if hist[p] >= k:
+                return p, k
+            k -= hist[p]
+        raise ValueError("fewer rows than asked for")
+
+    upper = histogram(tagged, F.shiftright(h, 16))
+    k = math.ceil(test_size * sum(upper.values()))
+    if not k:
+        return tagged.withColumn("split", F.lit("train")).drop("__h")
+    high, k = boundary(upper, k)
+    low, k = boundary(histogram(tagged.where(F.shiftright(h, 16) == high), h.bitwiseAND(F.lit(0xFFFF))), k)
+    cut = (high << 16) + low
+    last = tagged.where(h == cut).orderBy(id_col).limit(k).agg(F.max(id_col)).first()[0]  # rows that share one hash value
+    is_eval = (h < cut) | ((h == cut) & (T.col(id_col) <= F.lit(last)))
+    return tagged.withColumn("split", F.when(is_eval, "eval").otherwise("train")).drop("__h")
 
 
 def prefix_breakdown(df: DataFrame, order: list[str], first_rows: int = 1000, width: int = 30) -> DataFrame:

@@ -186,20 +186,18 @@ def problems_to_samples(spark: SparkSession, train_path: str, test_path: str, ou
 def training_set(spark: SparkSession, samples_path: str, tokens_path: str, out_dir: str, max_seq: int = 2048,
                  style: str = "inst", seed: int = 42, test_size: float = 0.05, batch: int = 4, accum: int = 4) -> dict:
     """W7 ``load_tokenize_dataset``: S2 -> C19 -> C26 (token rows from any tokenizer's
-    output, joined by ``id`` = the sample's position key) -> O1 -> O2, written as
-    two parquet folders; A11 steps per epoch from the written train count.
+    output, joined by ``id`` = the sample's position key) -> O1 -> O2, written once as
+    parquet with a folder per split; A11 steps per epoch from the written train count.
 
     Samples carry an ``id`` (the key of the tokenizer's ``(id, tokens)`` table)."""
     schema = spark.createDataFrame([], "id long, instruction string, input string, output string").schema
     s = J.read_jsonl_lenient(spark, samples_path, schema=schema).withColumnRenamed("id", "seq")
     tokens = spark.read.parquet(tokens_path)
     rows = M.training_rows(s, tokens, max_seq=max_seq, style=style, seed=seed, test_size=test_size)
-    out = {}
-    for split in ("train", "eval"):
-        obs = Observation(split)
-        part = rows.where(F.col("split") == split).drop("split").observe(obs, F.count(F.lit(1)).alias("rows"))
-        part.write.mode("overwrite").parquet(f"{out_dir}/{split}")
-        out[split] = int(obs.get.get("rows", 0))
+    obs = Observation("written")
+    counts = [F.count_if(F.col("split") == split).alias(split) for split in ("train", "eval")]
+    rows.observe(obs, *counts).write.mode("overwrite").partitionBy("split").parquet(out_dir)
+    out = {split: int(obs.get.get(split, 0)) for split in ("train", "eval")}
     out["steps_per_epoch"] = out["train"] // (batch * accum)
     out["dataset_kind"] = spark.range(1).select(C.dataset_kind(F.lit(samples_path))).first()[0]
     return out

@@ -3,13 +3,14 @@ accounting (A9), dataset inventory (J1/A1/S15), training rows (W7) and
 benchmark scoring (W8).
 
 Shuffle budget per job:
-* W1/W2 — the keep-first dedup (D1/D2): two exchanges, each after a partial
-  limit (salted by map task, then by key); the head (L1) is a bounded top-k.
+* W1/W2 — the keep-first dedup (D1/D2): one exchange after a partial limit;
+  the head (L1) is a bounded top-k.
   Scan, routing (P1-P4/P11) and filters (F2/F3) fuse into the map stage.
 * W7 — one join of rendered samples with token rows on ``seq``, then one hash
   exchange on the shuffle key with a local sort (no range-sampling pass).
 * W8 — aggregates keyed by problem (partial + final), the L7 head per
-  problem (partial WindowGroupLimit first), and small joins of aggregates.
+  problem (partial WindowGroupLimit first), and one join with the tests after
+  aggregation, so no generation carries its test through a shuffle.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from samplesmith.operators import dedup as D
 from samplesmith.operators import limits as L
 from samplesmith.operators import prompts as PR
 from samplesmith.operators import scoring as SC
+from samplesmith.sources import registry as REG
 
 ORDER = ["dataset_ord", "seq"]
 
@@ -78,13 +80,9 @@ def stage_counts(parts: list[DataFrame]) -> DataFrame:
 
 
 def inventory(spark: SparkSession, registry: DataFrame, rows: DataFrame, name_col: str = "dataset") -> DataFrame:
-    """S15/J1/A1 ``list_available_datasets``: per registry entry, its row count or
-    MISSING.  Counts are a partial+final aggregate; the registry join is a
-    left outer join of two small aggregates."""
-    counts = rows.groupBy(F.col(name_col).alias("name")).agg(F.count(F.lit(1)).alias("rows"))
-    j = registry.join(counts, "name", "left")
-    return j.select("group", "name", "rows",
-                    F.when(F.col("rows").isNull(), F.lit("MISSING")).otherwise(F.lit("present")).alias("status"))
+    """J1/A1 over a table: per registry entry, its row count or MISSING (S15 is the
+    same rule over files, ``registry.inventory``)."""
+    return REG.with_counts(registry, rows.select(F.col(name_col).alias("name")), "rows").select("group", "name", "rows", "status")
 
 
 def process_and_merge(named: DataFrame, limit: int | None = None) -> DataFrame:
@@ -108,8 +106,7 @@ def training_rows(samples: DataFrame, token_ids: DataFrame, max_seq: int = PR.DE
 
 
 def score_benchmarks(gens: DataFrame, tests: DataFrame) -> DataFrame:
-    """C22 on every generation, J4 test attachment, A3/L7 per problem, and
-    the problem's prompt[:50] for the report."""
-    g = SC.attach_tests(SC.with_code(gens), tests)
-    p = SC.per_problem(g)
-    return p.join(tests.select("task_id", T.head("prompt", 50).alias("prompt")), "task_id")
+    """C22 on every generation, A3/L7 per problem, then the problem's test and
+    prompt[:50] for the report; problems without a test (J4) drop out.  ``task_id``
+    is unique in ``tests``."""
+    return SC.per_problem(SC.with_code(gens)).join(tests.select("task_id", T.head("prompt", 50).alias("prompt")), "task_id")

@@ -62,19 +62,23 @@ def resolve_paths(spark: SparkSession, keys: list[str], data_dir: str = "data")
 
 def inventory(spark: SparkSession, data_dir: str = "data") -> DataFrame:
     """S15 ``list_available_datasets``: per registry entry its raw line count
-    (blank lines included) or MISSING."""
-    reg = registry(spark, data_dir)
+    (blank lines included) or MISSING.  A dataset is one file, or a folder of
+    parts as the sinks write it."""
     paths = existing_paths(spark, [f"{data_dir}/{n}.jsonl" for ns in DATASET_GROUPS.values() for n in ns])
     if paths:
-        lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file_path"))
-        counts = lines.groupBy("file_path").agg(F.count(F.lit(1)).alias("lines"))
-        counts = counts.withColumn("name", F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1))
+        name = F.regexp_extract("_metadata.file_path", r"([^/]+)\.jsonl(?:/[^/]*)?$", 1)
+        names = spark.read.text(paths).select(name.alias("name"))
     else:
-        counts = spark.createDataFrame([], "file_path string, lines bigint, name string")
-    j = reg.join(counts.select("name", "lines"), "name", "left")
-    return j.select("group", "name", "path", "lines",
-                    F.when(F.col("lines").isNull(), F.lit("MISSING")).otherwise(F.lit("present")).alias("status"),
-                    "reg_ord").orderBy("reg_ord")
+        names = spark.createDataFrame([], "name string")
+    return with_counts(registry(spark, data_dir), names, "lines").orderBy("reg_ord")
+
+
+def with_counts(registry: DataFrame, names: DataFrame, count: str) -> DataFrame:
+    """The registry with ``count`` (rows of ``names`` per ``name``; null where there is
+    none) and ``status``: a partial and final aggregate, then a left join of two small sides."""
+    counts = names.groupBy("name").agg(F.count(F.lit(1)).alias(count))
+    status = F.when(F.col(count).isNull(), F.lit("MISSING")).otherwise(F.lit("present"))
+    return registry.join(counts, "name", "left").withColumn("status", status)
 
 
 def read_partitioned_parquet(spark: SparkSession, root: str, langs: list[str] | None = None,

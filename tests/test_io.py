@@ -107,6 +107,8 @@ def test_registry_inventory(spark, tmp_path):
     write(f"{d}/mbpp.jsonl", ["{}", "", "{}"])
     inv = {r.name: (r.lines, r.status) for r in REG.inventory(spark, d).collect()}
     assert inv["mbpp"] == (3, "present") and inv["humaneval"] == (None, "MISSING") and len(inv) == 22
+    spark.range(5).selectExpr("cast(id as string) as value").repartition(3).write.text(f"{d}/codealpaca.jsonl")
+    assert {r.name: r.lines for r in REG.inventory(spark, d).collect()}["codealpaca"] == 5  # a folder of parts, as the sinks write it
     assert REG.select_keys()[:4] == ["apps_train", "codealpaca", "humaneval", "mbpp"]
     assert REG.select_keys(groups=["codesearchnet"]) == ["codesearchnet1", "codesearchnet2"]
 

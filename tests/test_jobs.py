@@ -49,7 +49,7 @@ def test_training_set(spark, tmp_path):
     res = jobs.training_set(spark, src, tok, str(tmp_path / "train_out"), max_seq=8)
     assert res["train"] + res["eval"] == 400 and res["dataset_kind"] == "cot"
     assert res["steps_per_epoch"] == res["train"] // 16
-    r = spark.read.parquet(str(tmp_path / "train_out/train")).first()
+    r = spark.read.parquet(str(tmp_path / "train_out/split=train")).first()
     assert len(r.input_ids) == 8 and r.prompt.startswith("[INST] i")
 
 

@@ -217,11 +217,18 @@ def test_head_is_one_plan_for_any_count(spark):
 
 def test_exact_split_counts(spark):
     import math
-    for n, size in [(1000, 0.05), (37, 0.05), (5000, 0.2), (3, 0.5)]:
+    for n, size in [(1000, 0.05), (37, 0.05), (5000, 0.2), (3, 0.5), (3, 1.0), (3, 0.0), (0, 0.5)]:
         df = spark.range(n).withColumnRenamed("id", "seq")
-        got = {r.split: r["count"] for r in L.exact_train_eval_split(df, "seq", size, prefix_bits=4)
-               .groupBy("split").count().collect()}
-        assert got.get("eval", 0) == math.ceil(size * n) and sum(got.values()) == n
+        rows = L.exact_train_eval_split(df, "seq", size).withColumn("h", L.split_hash("seq")).collect()
+        k = math.ceil(size * n)
+        assert len(rows) == n and sum(r.split == "eval" for r in rows) == k
+        assert {r.seq for r in rows if r.split == "eval"} == {r.seq for r in sorted(rows, key=lambda r: (r.h, r.seq))[:k]}
+
+
+def test_exact_split_of_equal_hashes(spark, monkeypatch):
+    monkeypatch.setattr(L, "split_hash", lambda c, seed=42: F.lit(70_000).cast("bigint"))
+    rows = L.exact_train_eval_split(spark.range(50).withColumnRenamed("id", "seq"), "seq", 0.3).collect()
+    assert {r.seq for r in rows if r.split == "eval"} == set(range(15))  # ties go by id
 
 
 def test_missing_solutions_give_no_solve_sample(spark):
