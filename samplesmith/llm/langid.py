@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, MapType, StringType, StructType
 
 from samplesmith.llm.common import held_out, id_and_bytes
 
@@ -133,5 +134,6 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, rounds
                  pa.array(found, pa.map_(pa.string(), pa.float64()))], [*names, "lang_pred", "score", "languages"])
 
     given = docs.select(*names, F.col("text").cast("string").cast("binary").alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "__text")
-    return given.mapInArrow(run, f"{kinds}, lang_pred string, score double, languages map<string,double>")
+    kinds = StructType([f for f in given.schema if f.name != "__text"])
+    kinds.add("lang_pred", "string").add("score", "double").add("languages", MapType(StringType(), DoubleType()))
+    return given.mapInArrow(run, kinds)

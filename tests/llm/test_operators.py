@@ -383,5 +383,39 @@ def test_pipeline(spark):
     assert P.run(spark, SF).count() == docs.count()
 
 
+def test_pipeline_stages_on_odd_rows_and_clashing_names(spark, odd):
+    import corpus_pipeline as P
+    from samplesmith.llm.common import cut
+    docs = odd.withColumns({c: F.lit("mine") for c in ("lang_pred", "languages", "removed_spans", "component_id", "item_id", "a b")})
+    for given in (docs, docs.limit(0)):
+        at = given
+        for name, stage in P.STAGES[:-1]:
+            at = cut(stage(spark, at, SF))
+            assert at.columns == docs.columns and at.dtypes == docs.dtypes, name
+            assert {(r.score, r.lang_pred, r.removed_spans, r["a b"]) for r in at.collect()} <= {("s", "mine", "mine", "mine")}
+        ids = [r.doc_id for r in at.collect()]
+        # no letter: 1, 2, 3, 9 and one null id go; 4 repeats; 7 and the other null id are near copies or hold the passage of 6
+        assert {4, 5, 8, 10, 11} <= set(ids) if given is docs else ids == []
+        assert not {1, 2, 3, 9} & set(ids) and ids.count(4) <= 1
+        P.STAGES[-1][1](spark, at, SF).collect()
+
+
+def test_decontamination_sql_on_short_items_units_and_slots(spark):
+    con = duckdb.connect()
+    items = [(1, "If Anna buys 3 apples and 5 pears for 12 km of road then Anna has 3 apples left today"), (2, "Two words"), (3, None),
+             (4, "..."), (5, "It weighs 4 kg 5 km 6 m and 7 miles or 8 milestones in all")]
+    asked = "If {0} buys {1} apples and {2} pears for {3} km of road then {4} has {5} apples left today"
+    rows = [(1, "xx. " + asked.format("Bob", 7, 9, 40, "Bob", 7) + " zz"), (2, asked.format("Bob", 7, 9, 40, "Carl", 8)),
+            (3, "two words"), (4, None), (5, ""), (6, "Two words"), (7, "It weighs 9 kg 5 km 6 m and 7 miles or 8 milestones in all"),
+            (8, asked.format("Anna", 3, 5, 12, "Anna", 3) + " It weighs 4 lb 5 oz 6 m and 7 mile or 8 milestones in all")]
+    for name, kind, table in (("benchmark", "item_id bigint, text string", items), ("documents", "doc_id bigint, text string", rows)):
+        con.execute(f"create table {name} ({kind.replace('string', 'varchar')})")
+        con.executemany(f"insert into {name} values (?, ?)", table)
+    want = con.execute(queries.ORACLE["op2_decontamination"]).fetchall()
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(d, b).drop("row").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {(r.doc_id, r.item_id) for r in got} >= {(1, 1), (6, 2), (8, 1)}
+
+
 def test_registered():
     assert {*queries.QUERIES, "pipeline"} <= set(E.queries())
