@@ -11,8 +11,9 @@ from samplesmith.llm.common import cut, table
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without a letter go."""
-    found = langid.predict(docs, langid.learn(docs), keep=docs.columns)
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    whole = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("whole"))
+    found = langid.predict(whole, langid.learn(docs), keep=["whole"])
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select("whole.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +23,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with repeated paragraphs cut out of their texts."""
-    kept = paragraph_dedup.dedup(docs).select(*docs.columns)
+    kept = (paragraph_dedup.dedup(docs.withColumnRenamed("removed_spans", "given_spans")).drop("removed_spans")
+            .withColumnRenamed("given_spans", "removed_spans").select(*docs.columns))
     return kept.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else kept
 
 
