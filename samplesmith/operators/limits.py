@@ -81,11 +81,15 @@ def head_per_group(df: DataFrame, group: list[str], order: list[str], n: int,
     from ``1/buckets`` of the map tasks, and the final task ranks at most
     ``n * buckets`` candidates.
     ``order`` must identify rows within a group (ties would be arbitrary).
+    ``buckets=1`` is one stage: for a very small ``n``, where ``n`` rows of each
+    map task are little for one task, and the result stays partitioned by group.
     """
+    w = Window.partitionBy(*group).orderBy(*order)
+    if buckets == 1:
+        return df.withColumn("rank_in_group", F.row_number().over(w)).where(F.col("rank_in_group") <= n)
     s1 = Window.partitionBy(*group, "__salt").orderBy(*order)
     first = (df.withColumn("__salt", salt(buckets or salt_buckets(df)))
                .withColumn("__r", F.row_number().over(s1)).where(F.col("__r") <= n).drop("__r", "__salt"))
-    w = Window.partitionBy(*group).orderBy(*order)
     return first.withColumn("rank_in_group", F.row_number().over(w)).where(F.col("rank_in_group") <= n)
 
 

@@ -117,7 +117,7 @@ def per_problem(gens: DataFrame, keys=("benchmark", "model", "task_id")) -> Data
     agg = problem_outcomes(gens, keys)
     # Only what the report keeps crosses the shuffle: ids, outcome, code[:200].
     slim = gens.select(*keys, "gen", "passed", T.head(T.s("code"), 200).alias("code"))
-    first = head_per_group(slim, keys, ["gen"], SUB_RESULTS)
+    first = head_per_group(slim, keys, ["gen"], SUB_RESULTS, buckets=1)  # the counts' partitioning, so the join moves nothing
     subs = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("gen", "code", "passed"))).alias("subs"))
     subs = subs.select(*keys, F.transform("subs", lambda x: x["code"]).alias("first_codes"),
                        F.transform("subs", lambda x: x["passed"]).alias("first_passed"))
