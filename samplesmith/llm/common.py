@@ -24,6 +24,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def split_hot(rows: DataFrame, key: str, member: str, limit: int) -> DataFrame:
+    """``rows`` with ``part``: groups in which every two members of a key meet, of about ``2 * limit`` members at most.
+
+    A key of up to ``limit`` rows is one part.  The members of a larger one are dealt to chunks of about ``limit`` by the
+    hash of ``member``, and each pair of chunks is a part: no pair of members is lost, and no task holds the whole key.
+    """
+    hot = cut(rows.groupBy(F.col(key).alias("__hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+              .select("__hot", F.ceil(F.col("n") / limit).alias("__k")))
+    own = F.pmod(F.xxhash64(member), F.col("__k"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("__k") - 1), lambda j: j != own)
+    parts = F.when(F.col("__k").isNull(), F.array(key)).otherwise(
+        F.transform(others, lambda j: F.xxhash64(key, F.least(own, j), F.greatest(own, j))))
+    return rows.join(hot, F.col(key) == F.col("__hot"), "left").select(*rows.columns, F.explode(parts).alias("part"))
+
+
 def id_and_bytes(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` as long and the whole text as UTF-8 bytes, other columns dropped."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),

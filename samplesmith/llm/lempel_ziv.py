@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE = 64  # smallest hashes kept
+BUCKETS = 1 << 16  # most buckets: their splitters go through the driver
 
 
 class Phrases:
@@ -91,14 +92,14 @@ def in_order(docs: DataFrame, rows: int = 1000) -> DataFrame:
 
     Each bucket is closed by guards: copies of the next bucket's first rows (the
     first bucket's close the last one).  Splitters are quantiles of the ids,
-    about one for ``rows`` rows; they balance the buckets and do not touch the
-    result.  Null ids come first; rows that share an id are ordered by text hash.
+    about one for ``rows`` rows and at most ``BUCKETS``; they balance the buckets and
+    do not touch the result; a bucket is sorted by Spark and read as a stream.  Null ids come first; rows that share an id are ordered by text hash.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     order = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("o")
     ids = docs.select(order)
     n = ids.count()
-    parts = max(1, -(-n // rows))
+    parts = min(max(1, -(-n // rows)), BUCKETS)
     quantiles = ids.where("o > -9223372036854775808").approxQuantile("o", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
     cuts = np.array(sorted({int(x) for x in quantiles}), np.int64)
 

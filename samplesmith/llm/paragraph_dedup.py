@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplesmith.llm.common import cut
+from samplesmith.llm.common import cut, split_hot
 from samplesmith.llm.components import connected_components
 from samplesmith.llm.winnow import BASE, gram_hashes, mix, window_min
 
 SHINGLE = 5
 REACH = 5  # a stretch begins where a word pair's hash is least among this many on either side
 BANDS, ROWS = 8, 3  # finds a pair of Jaccard 0.8 with probability 1 - (1 - 0.8 ** 3) ** 8 = 0.997
+BAND = 10_000  # different lines of a band's collision, or of a chunk of a larger one
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint64)
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -212,8 +213,11 @@ def jaccard_links(sets: list[set], similarity: float) -> list[tuple[int, int]]:
     return out
 
 
-def near_lines(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)`` links between different lines whose shingles have that Jaccard similarity."""
+def near_lines(rows: DataFrame, lines: DataFrame, similarity: float, limit: int = BAND) -> DataFrame:
+    """``(a, b)`` links between different lines whose shingles have that Jaccard similarity.
+
+    One task compares at most about ``2 * limit`` lines of a band at a time.
+    """
     member = [("band", pa.int64()), ("key", pa.int64())]
 
     def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +261,7 @@ def near_lines(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFram
             return _batch([[keys[i] for i, _ in found], [keys[j] for _, j in found]], link)
 
         for b in batches:
-            for x, k, s in zip(b.column("band").to_pylist(), b.column("key").to_pylist(), b.column("shingles")):
+            for x, k, s in zip(b.column("part").to_pylist(), b.column("key").to_pylist(), b.column("shingles")):
                 if x != band:
                     if len(keys) > 1:
                         yield links()
@@ -272,8 +276,8 @@ def near_lines(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     wanted = (members.select("key").distinct().join(lines, "key").groupBy("row")
               .agg(F.collect_set(F.struct("key", "w0", "w1")).alias("want")))
     texts = rows.join(wanted, "row").select("text", "want").mapInArrow(shingles, _sql(shingled)).dropDuplicates(["key"])
-    return (members.join(texts, "key").repartition("band").sortWithinPartitions("band", "key").select("band", "key", "shingles")
-            .mapInArrow(verify, _sql(link)).distinct())
+    return (split_hot(members, "band", "key", limit).join(texts, "key").repartition("part").sortWithinPartitions("part", "key")
+            .select("part", "key", "shingles").mapInArrow(verify, _sql(link)).distinct())
 
 
 def removals(rows: DataFrame, similarity: float, min_words: int) -> DataFrame:

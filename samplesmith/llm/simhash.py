@@ -6,7 +6,8 @@ pair of blocks makes a shard key; one shuffle brings the distinct fingerprints
 of a shard together, and each shard builds a BK-tree (children keyed by the
 Hamming distance to their parent) and asks it for every member, following only
 the edges within the radius.  The trees travel by that shuffle and not by a
-broadcast: together they grow with the corpus, so they have no size bound.
+broadcast: together they grow with the corpus, so they have no size bound.  A
+shard of more than ``SHARD`` fingerprints is built as trees of pairs of its chunks.
 A member that was reached is taken out of the tree at once: a dense group of m
 near copies costs about m visits, never its m * m pairs, and yields m - 1 links.
 """
@@ -22,10 +23,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from samplesmith.llm.common import cut, id_and_bytes
+from samplesmith.llm.common import cut, id_and_bytes, split_hot
 from samplesmith.llm.components import connected_components
 
 SEED = 42
+SHARD = 100_000  # fingerprints of a shard, or of a chunk of a larger shard
 STEP = 1 << 16  # shingles counted at a time, so a very long text needs no more memory
 
 
@@ -135,8 +137,11 @@ def shard_keys(fp: Column, max_bits: int) -> Column:
     return F.array(*keys)
 
 
-def links(distinct_fps: DataFrame, max_bits: int = 4) -> DataFrame:
-    """``(a, b)`` links that join all distinct fingerprints chaining within ``max_bits``."""
+def links(distinct_fps: DataFrame, max_bits: int = 4, limit: int = SHARD) -> DataFrame:
+    """``(a, b)`` links that join all distinct fingerprints chaining within ``max_bits``.
+
+    One task holds at most about ``2 * limit`` fingerprints of a shard at a time.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest_k, rest_f = np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -150,7 +155,7 @@ def links(distinct_fps: DataFrame, max_bits: int = 4) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
         for batch in batches:
-            k = np.r_[rest_k, batch.column("key").to_numpy()]
+            k = np.r_[rest_k, batch.column("part").to_numpy()]
             f = np.r_[rest_f, batch.column("fp").to_numpy()]
             if not len(k):
                 continue
@@ -162,7 +167,8 @@ def links(distinct_fps: DataFrame, max_bits: int = 4) -> DataFrame:
             yield shards(rest_k, rest_f)
 
     keyed = distinct_fps.select(F.explode(shard_keys(F.col("fp"), max_bits)).alias("key"), "fp")
-    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long").distinct()
+    parted = split_hot(keyed, "key", "fp", limit).select("part", "fp")
+    return parted.repartition("part").sortWithinPartitions("part", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:

@@ -10,7 +10,7 @@ from the first such string to the end of the last).
 2. One copy of each of those is fetched, range-partitioned by its anchor's leading
    bytes with sampled splitters, and sorted locally by multikey quicksort, eight
    bytes to a character.  Splitters fall between anchors, so no run of equal
-   suffixes crosses a boundary.
+   suffixes crosses a boundary.  Anchors of very many spans go by string hashes instead.
 3. Repeated strings are merged to removed runs of each document.
 """
 
@@ -32,6 +32,7 @@ SORT_WINDOWS = 1 << 18  # strings that one local sort takes at a time, unless on
 
 SPAN = [("anchor", pa.int64()), ("digest", pa.int64()), ("row", pa.int64()), ("start", pa.int64()),
         ("run", pa.int32()), ("at", pa.int32()), ("kind", pa.int32())]
+ANCHOR = 20_000  # different spans of one anchor that one local sort takes
 ONE, SEVERAL, SETTLED = 0, 1, 2
 FOUND = [("row", pa.int64()), ("start", pa.int64()), ("run", pa.int32()), ("at", pa.int32()), ("anchor", pa.int64()),
          ("open", pa.bool_())]
@@ -104,23 +105,50 @@ def spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def match_spans(found: DataFrame) -> DataFrame:
-    """Repeated spans (``open`` false), and one of each span that meets another on its anchor (``open``)."""
+    """Repeated spans (``open`` false), and one of each span that meets another on its anchor (``open``).
+
+    The sorted rows pass as a stream.  Between batches only two are held: the last row, whose next row tells
+    whether it is repeated, and the first row of its anchor, which is open once a second span comes.
+    """
+    names = [n for n, _ in FOUND[:-1]]
+
+    def chosen(c: dict[str, np.ndarray], pick: np.ndarray, is_open: bool) -> pa.RecordBatch:
+        some = [c[n][pick] for n in names]
+        return _batch([*some, np.full(len(some[0]), is_open)], FOUND)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_groups(batches, "anchor"):
-            c = {n: t[n].to_numpy() for n, _ in SPAN}
-            settled = c["kind"] == SETTLED
-            yield _batch([*(c[n][settled] for n in ("row", "start", "run", "at", "anchor")), np.zeros(settled.sum(), bool)], FOUND)
-            c = {n: x[~settled] for n, x in c.items()}
+        last: dict[str, np.ndarray] | None = None  # one row, and whether it repeats the row before it
+        lead: dict[str, np.ndarray] = {}
+        again = lead_open = False
+        for b in batches:
+            given = {n: b.column(n).to_numpy() for n, _ in SPAN}
+            settled = given["kind"] == SETTLED
+            yield chosen(given, settled, False)
+            c = {n: x[~settled] for n, x in given.items()}
             if not len(c["row"]):
                 continue
-            new_anchor = np.r_[True, np.diff(c["anchor"]) != 0]
-            new_span = new_anchor | np.r_[True, np.diff(c["digest"]) != 0]
-            group = np.cumsum(new_span) - 1
-            size = np.bincount(group, c["kind"] + 1)  # a row that speaks for several counts as two
-            twice = (size > 1)[group]
-            kinds_on_anchor = np.bincount(np.cumsum(new_anchor) - 1, new_span)[np.cumsum(new_anchor) - 1]
-            for pick, is_open in ((twice, False), (new_span & (kinds_on_anchor > 1), True)):
-                yield _batch([*(c[n][pick] for n in ("row", "start", "run", "at", "anchor")), np.full(pick.sum(), is_open)], FOUND)
+            held = 0 if last is None else 1
+            if held:
+                c = {n: np.r_[last[n], x] for n, x in c.items()}
+            new_anchor = np.r_[not held, np.diff(c["anchor"]) != 0]
+            new_span = new_anchor | np.r_[not again, np.diff(c["digest"]) != 0]
+            twice = (c["kind"] == SEVERAL) | ~new_span | np.r_[~new_span[1:], False]
+            yield chosen(c, np.flatnonzero(twice[:-1]), False)
+            further = np.flatnonzero(new_span & ~new_anchor)
+            further = further[further >= held]
+            first = np.maximum.accumulate(np.where(new_anchor, np.arange(len(new_anchor)), -1))
+            opened = np.unique(np.r_[further, first[further]])
+            if len(opened) and opened[0] < 0:
+                if not lead_open:
+                    yield chosen(lead, np.zeros(1, np.int64), True)
+                    lead_open = True
+                opened = opened[1:]
+            yield chosen(c, opened, True)
+            if first[-1] >= 0:
+                lead, lead_open = {n: x[first[-1]:first[-1] + 1].copy() for n, x in c.items()}, first[-1] in opened
+            last, again = {n: x[-1:].copy() for n, x in c.items()}, not new_span[-1]
+        if last is not None and (again or last["kind"][0] == SEVERAL):
+            yield chosen(last, np.zeros(1, np.int64), False)
     return (found.repartition("anchor").sortWithinPartitions("anchor", "digest", "row", "start").mapInArrow(run, _sql(FOUND)))
 
 
@@ -175,6 +203,19 @@ def sort_spans(texts: DataFrame, length: int) -> DataFrame:
     return parted.mapInArrow(run, _sql(RUN))
 
 
+def hash_spans(texts: DataFrame, length: int) -> DataFrame:
+    """What ``sort_spans`` returns, for anchors with too many spans for one task: each string goes by its own hash (128 bits)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, start, n, text in zip(*(b.column(x).to_pylist() for x in ("row", "start", "run", "text"))):
+                whole = memoryview(text)
+                yield _batch([[xxhash.xxh3_128_digest(whole[i:i + length]) for i in range(n)], np.full(n, row, np.int64),
+                              np.arange(start, start + n), np.ones(n, np.int32)], [("string", pa.binary()), *RUN])
+    strings = texts.mapInArrow(run, f"string binary, {_sql(RUN)}")
+    twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string")
+    return strings.join(twice, "string", "left_semi").select("row", "start", "run")
+
+
 def fetch(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The wanted spans' bytes, with the first eight bytes at their anchor."""
     kinds = [("lead", pa.int64()), ("anchor", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("run", pa.int32()),
@@ -206,19 +247,24 @@ def merged(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     return out
 
 
-def dedup(docs: DataFrame, length: int = 200, gram: int = 64) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 200, gram: int = 64, limit: int = ANCHOR) -> DataFrame:
     """``(doc_id, n_bytes, removed, kept)`` per row: removed byte runs, and the bytes left.
 
     Removes each byte covered by a ``length``-byte string that also starts
     anywhere else, in the same text or another; strings are judged on the input.
     Null texts are empty; texts shorter than ``length`` stay whole; copies of a
     longer text lose everything, the first copy too, and repeated rows are copies.
+    An anchor with over ``limit`` different spans is not sorted in one task: its
+    strings go by their own hashes.
     An empty table gives no rows; other columns are never read.
     """
     rows = id_and_bytes(docs).select("doc_id", F.coalesce("text", F.lit(b"")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     found = cut(match_spans(spans(rows.select("row", "text"), length, gram)))
     texts = cut(fetch(rows, found.where("open"), length))
-    runs = found.where("not open").select("row", "start", "run").unionByName(sort_spans(texts, length))
+    hot = cut(found.where("open").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("anchor"))
+    runs = (found.where("not open").select("row", "start", "run")
+            .unionByName(sort_spans(texts.join(hot, "anchor", "left_anti"), length))
+            .unionByName(hash_spans(texts.join(hot, "anchor", "left_semi"), length)))
     of_row = runs.groupBy("row").agg(F.collect_list(F.struct("start", "run")).alias("runs"))
     kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64())]
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 import __spark_entry__ as E
-from samplesmith.llm import (components, decontaminate, langid, lempel_ziv, license_scan, packing, paragraph_dedup, queries,
+from samplesmith.llm import (common, components, decontaminate, langid, lempel_ziv, license_scan, packing, paragraph_dedup, queries,
                              simhash, suffix_dedup, token_count, toxicity)
 from tests.conftest import SF
 
@@ -82,6 +82,39 @@ def test_bk_links_lose_no_component():
         assert all(want[a] == want[b] for a, b in links)
 
 
+def test_hot_shards_and_bands_are_split_without_loss(spark):
+    rng = random.Random(12)
+    points = sorted({rng.getrandbits(3) << 60 | sum(1 << rng.randrange(64) for _ in range(4)) for _ in range(160)})
+    near = {p: simhash._signed(p) for p in points}
+    want = components_of(points, lambda a, b: (a ^ b).bit_count() <= 4)
+    rows = spark.createDataFrame([(x,) for x in near.values()], "fp long")
+    groups = defaultdict(set)
+    for p, c in want.items():
+        groups[c].add(near[p])
+    for limit in (3, 40, 1000):
+        got = defaultdict(set)
+        for r in components.connected_components(simhash.links(rows, 4, limit)).collect():
+            got[r.component].add(r.node)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+
+    keyed = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 7), (2, 8), (None, 1)], "k long, m long")
+    parts = defaultdict(set)
+    for r in common.split_hot(keyed, "k", "m", 10).collect():
+        parts[r.k, r.part].add(r.m)
+    for k, members in ((1, range(50)), (2, (7, 8))):
+        met = {(a, b) for (key, _), p in parts.items() if key == k for a in p for b in p}
+        assert met == {(a, b) for a in members for b in members}
+    assert max(map(len, parts.values())) < 40
+
+    words = [f"w{i}" for i in range(60)]
+    lines = [" ".join([*words[:i % 50], f"x{i}", *words[i % 50 + 1:]]) for i in range(30)]
+    d = spark.createDataFrame([(i, t.encode(), i) for i, t in enumerate(lines)], "row long, text binary, doc_id long")
+    first = paragraph_dedup.classes(paragraph_dedup.occurrences(d)).where("kind = 1").select("key", "row", "w0", "w1")
+    found = [{(r.node, r.component) for r in components.connected_components(
+        paragraph_dedup.near_lines(d, first, 0.8, limit)).collect()} for limit in (4, 1000)]
+    assert found[0] == found[1] and len(found[0]) == 30
+
+
 def test_connected_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (5, 5), (8, 7), (3, 1), (2, 1), (None, 4)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -123,11 +156,36 @@ def test_suffix_dedup_on_repetitive_texts(spark):
         s = "".join(rng.choice("abc") for _ in range(rng.randint(0, 80)))
         cases += [s + cases[0][:rng.randint(0, 40)], "".join(rng.choice("abc") for _ in range(10)) + s[5:]]
     rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
-    for length, gram in ((24, 8), (19, 19)):
-        got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(rows, length, gram).collect()}
+    for length, gram, limit in ((24, 8, 1000), (24, 8, 2), (19, 19, 1000)):
+        got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(rows, length, gram, limit).collect()}
         assert [got[i] for i in range(len(cases))] == removed_by_hand([c.encode() for c in cases], length)
 
 
+def test_spans_match_across_batches(spark):
+    """Any cut of the sorted spans into batches gives the same repeated and open spans."""
+    rng = random.Random(5)
+    rows = [(a, d, i, i * 7, 1, 0, rng.choice([0, 0, 0, 1, 2])) for i, (a, d) in
+            enumerate((rng.randrange(12), rng.randrange(3)) for _ in range(300))]
+    found = spark.createDataFrame(rows, suffix_dedup._sql(suffix_dedup.SPAN)).repartition(5)
+    live = [r for r in rows if r[6] != 2]
+    size, spans = Counter(), defaultdict(set)
+    for r in live:
+        size[r[:2]] += r[6] + 1
+        spans[r[0]].add(r[1])
+    repeated = {r[2] for r in rows if r[6] == 2} | {r[2] for r in live if size[r[:2]] > 1}
+    open_spans = sorted({r[:2] for r in live if len(spans[r[0]]) > 1})
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for n in (1, 2, 3, 7, 10000):
+            spark.conf.set(name, str(n))
+            got = suffix_dedup.match_spans(found).collect()
+            assert sorted(r.row for r in got if not r.open) == sorted(repeated)
+            assert sorted(rows[r.row][:2] for r in got if r.open) == open_spans
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_lempel_ziv_contract(docs, texts):
     rows = sorted(texts.items())
     got = {r.doc_id: r for r in lempel_ziv.fingerprints(docs, rows=17).collect()}
