@@ -341,6 +341,22 @@ def test_decontamination(spark):
     assert decontaminate.contamination(d.limit(0), items).count() == 0 == decontaminate.contamination(d, items.limit(0)).count()
 
 
+def test_decontamination_of_repeated_windows(spark):
+    """Verbatim items whose templates repeat, also twice in a document, are held; a scrambled copy is not."""
+    choice = "Which city is the capital of France? A Paris B London C Berlin D Madrid"
+    clauses = "Tom has 3 apples and 4 pears. Ann has 5 apples and 6 pears. Bob has 7 apples and 8 pears. How many pears are there?"
+    train = "A train travels 60 km in 2 hours and 90 km in 3 hours and 150 km in 4 hours so how fast is it?"
+    items = spark.createDataFrame([(1, choice), (2, clauses), (3, train)], "item_id int, text string")
+    other = train.replace("60", "61").replace("90", "95").replace("150", "170")
+    rows = [(1, choice), (2, clauses), (3, train), (4, f"Intro. {train} Then again: {other} End."), (5, f"{other} or {train}"),
+            (6, clauses.replace("Ann", "Zoe")), (7, "so " + train.replace("in 3 hours", "in about 3 hours")),
+            (8, clauses.replace("Ann", "Tom").replace("Bob", "Tom").replace("5", "3").replace("7", "3").replace("6", "4"))]
+    got = {(r.doc_id, r.item_id): (r.slot_consistency, r.reparameterised)
+           for r in decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert {k: got.get(k) for k in [(1, 1), (2, 2), (3, 3), (4, 3), (5, 3)]} == dict.fromkeys([(1, 1), (2, 2), (3, 3), (4, 3), (5, 3)], (1.0, False))
+    assert got[6, 2] == (1.0, True) and (8, 2) not in got
+
+
 def test_decontamination_matches_brute_force(spark):
     con = duckdb.connect()
     sf = "/root/testdata/sf0.01"
