@@ -102,6 +102,7 @@ def occurrences(rows: DataFrame) -> DataFrame:
 
     The others are certain to go, so they are settled: their key is made from
     their own place, and copies of a frequent line do not meet in one task.
+    The same place of a repeated row is the same paragraph and says nothing.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -118,28 +119,33 @@ def occurrences(rows: DataFrame) -> DataFrame:
             key, doc, row, w0, w1, b0, b1, kind = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((w0, row, doc, key))
             same = np.r_[False, key[order][1:] == key[order][:-1]]
+            place = np.r_[False, same[1:] & (np.diff(row[order]) == 0) & (np.diff(w0[order]) == 0)]
             later = order[same]
             kind[later] = SETTLED
             key[later] = mix(row[later].view(np.uint64) + w0[later].astype(np.uint64) * np.uint64(BASE))
-            yield _batch([key.view(np.int64), doc, row, w0, w1, b0, b1, kind], UNIT)
+            once = order[~place]
+            yield _batch([c[once] for c in (key.view(np.int64), doc, row, w0, w1, b0, b1, kind)], UNIT)
     return rows.mapInArrow(run, _sql(UNIT))
 
 
 def classes(found: DataFrame) -> DataFrame:
     """The first occurrence of each line (kind 1), and every occurrence that repeats an earlier one (kind 2)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # key of the last speaking row
+        before = None  # key and place of the last speaking row
         for b in batches:
             c = {n: b.column(n).to_numpy().copy() for n, _ in UNIT}
             if not b.num_rows:
                 continue
             speaks = np.flatnonzero(c["kind"] != SETTLED)
+            same = np.zeros(b.num_rows, bool)
             if len(speaks):
-                key = c["key"][speaks]
-                repeat = np.r_[before is not None and key[0] == before, key[1:] == key[:-1]]
+                at = [np.r_[c[n][speaks][0] if before is None else before[i], c[n][speaks]] for i, n in enumerate(("key", "row", "w0"))]
+                repeat, row, word = (x[1:] == x[:-1] for x in at)
+                repeat[0] &= before is not None
+                same[speaks[repeat & row & word]] = True  # of a repeated row
                 c["kind"][speaks[repeat]] = SETTLED
-                before = key[-1]
-            keep = c["kind"] != STRETCH
+                before = tuple(x[-1] for x in at)
+            keep = (c["kind"] != STRETCH) & ~same
             yield _batch([c[n][keep] for n, _ in UNIT], UNIT)
     return found.repartition("key").sortWithinPartitions("key", "doc_id", "row", "w0").mapInArrow(run, _sql(UNIT))
 
@@ -321,7 +327,8 @@ def dedup(docs: DataFrame, similarity: float = 0.8, min_words: int = 12) -> Data
     Paragraphs of fewer than five words are never judged; runs of fewer than
     ``min_words`` words stay.  Among equal or near paragraphs the one with the
     smallest (doc_id, hash of the row, place) stays; null ids come first.  Rows that
-    repeat both id and text count as one document.  An empty table gives no rows.
+    repeat both id and text count as one document, as do equal texts with null ids: all of
+    them keep what the first occurrence keeps.  An empty table gives no rows.
     """
     row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = docs.where(F.length("text") > 0).select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"),

@@ -397,6 +397,17 @@ def test_paragraph_dedup_finds_passages_and_near_lines(spark):
     assert paragraph_dedup.dedup(d.limit(0)).count() == 0
 
 
+def test_repeated_rows_keep_their_text_in_paragraph_dedup(spark):
+    """Rows that repeat id and text, or a text with null ids, are one document: in one batch and in several."""
+    rng = random.Random(21)
+    once, null, twice = (" ".join(f"{w}{rng.randrange(10 ** 6)}" for _ in range(60)) for w in "abc")
+    rows = [(1, once), (1, once), (None, null), (None, null), (None, null), (2, f"{twice}\n{once}\n{twice}"), (2, f"{twice}\n{once}\n{twice}")]
+    for parts in (1, 7):
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sorted((r.doc_id or 0, r.text) for r in paragraph_dedup.dedup(d).collect())
+        assert got == [(0, null)] * 3 + [(1, once)] * 2 + [(2, twice + "\n")] * 2
+
+
 def test_jaccard_links_lose_no_component():
     rng = random.Random(9)
     for _ in range(60):
