@@ -5,8 +5,9 @@ where lines break, its *stretches*: words between places where the hash of a wor
 pair is the least among its neighbours, so that a passage inside different lines
 is cut alike.  Equal paragraphs are one class.  Different lines whose shingle
 MinHashes collide in a band are joined, verified by exact Jaccard, and clustered
-by connected components.  The first paragraph of a class or cluster stays, the
-others go where they make up at least ``min_words`` words in a row.
+by connected components.  The first paragraph of a class or cluster stays.  The
+others go: lines whatever their length, stretches where they are part of at least
+``min_words`` words in a row that go.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 
 UNIT = [("key", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("w0", pa.int32()), ("w1", pa.int32()),
         ("b0", pa.int32()), ("b1", pa.int32()), ("kind", pa.int32())]
-STRETCH, LINE, SETTLED = 0, 1, 2
+STRETCH, LINE, SETTLED = 0, 1, 2  # a settled line is LINE | SETTLED
 
 
 def _sql(kinds: list[tuple[str, pa.DataType]]) -> str:
@@ -87,11 +88,11 @@ class Text:
         return np.r_[0, np.flatnonzero((pair < before) & (pair <= behind)) + 1]
 
     def units(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, first word, word after the last, kind) of lines and stretches of ``SHINGLE`` words or more."""
+        """(hash, first word, word after the last, kind) of lines, and of stretches of ``SHINGLE`` words or more."""
         parts = []
-        for first, kind in ((self.lines, LINE), (self.stretches(), STRETCH)):
+        for first, kind, least in ((self.lines, LINE, 1), (self.stretches(), STRETCH, SHINGLE)):
             last = np.r_[first[1:], self.n] if len(first) else first
-            keep = last - first >= SHINGLE
+            keep = last - first >= least
             first, last = first[keep], last[keep]
             parts.append((self.powers.spans(self.words, first, last) ^ np.uint64(kind), first, last, np.full(len(first), kind)))
         return tuple(np.concatenate(x) for x in zip(*parts))
@@ -121,7 +122,7 @@ def occurrences(rows: DataFrame) -> DataFrame:
             same = np.r_[False, key[order][1:] == key[order][:-1]]
             place = np.r_[False, same[1:] & (np.diff(row[order]) == 0) & (np.diff(w0[order]) == 0)]
             later = order[same]
-            kind[later] = SETTLED
+            kind[later] |= SETTLED
             key[later] = mix(row[later].view(np.uint64) + w0[later].astype(np.uint64) * np.uint64(BASE))
             once = order[~place]
             yield _batch([c[once] for c in (key.view(np.int64), doc, row, w0, w1, b0, b1, kind)], UNIT)
@@ -129,23 +130,24 @@ def occurrences(rows: DataFrame) -> DataFrame:
 
 
 def classes(found: DataFrame) -> DataFrame:
-    """The first occurrence of each line (kind 1), and every occurrence that repeats an earlier one (kind 2)."""
+    """The first occurrence of each line that has shingles (kind 1), and each that repeats an earlier one (kind 2, lines 3)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # key and place of the last speaking row
         for b in batches:
             c = {n: b.column(n).to_numpy().copy() for n, _ in UNIT}
             if not b.num_rows:
                 continue
-            speaks = np.flatnonzero(c["kind"] != SETTLED)
+            speaks = np.flatnonzero(c["kind"] < SETTLED)
             same = np.zeros(b.num_rows, bool)
             if len(speaks):
                 at = [np.r_[c[n][speaks][0] if before is None else before[i], c[n][speaks]] for i, n in enumerate(("key", "row", "w0"))]
                 repeat, row, word = (x[1:] == x[:-1] for x in at)
                 repeat[0] &= before is not None
                 same[speaks[repeat & row & word]] = True  # of a repeated row
-                c["kind"][speaks[repeat]] = SETTLED
+                c["kind"][speaks[repeat]] |= SETTLED
                 before = tuple(x[-1] for x in at)
-            keep = (c["kind"] != STRETCH) & ~same
+            alone = (c["kind"] == STRETCH) | (c["kind"] == LINE) & (c["w1"] - c["w0"] < SHINGLE)
+            keep = ~alone & ~same
             yield _batch([c[n][keep] for n, _ in UNIT], UNIT)
     return found.repartition("key").sortWithinPartitions("key", "doc_id", "row", "w0").mapInArrow(run, _sql(UNIT))
 
@@ -286,6 +288,18 @@ def near_lines(rows: DataFrame, lines: DataFrame, similarity: float, limit: int
             .select("part", "key", "shingles").mapInArrow(verify, _sql(link)).distinct())
 
 
+def joined(spots: list[tuple]) -> list[tuple[int, int, int, int]]:
+    """Runs of sorted (first word, word after the last, first byte, byte after the last) that touch or overlap."""
+    out: list[tuple[int, int, int, int]] = []
+    for w0, w1, b0, b1 in spots:
+        if out and w0 <= out[-1][1]:
+            if w1 > out[-1][1]:
+                out[-1] = (out[-1][0], w1, out[-1][2], b1)
+        else:
+            out.append((w0, w1, b0, b1))
+    return out
+
+
 def removals(rows: DataFrame, similarity: float, min_words: int) -> DataFrame:
     """``(row, spans)``: byte spans to remove, for the rows that have any."""
     found = cut(classes(occurrences(rows)))
@@ -295,27 +309,23 @@ def removals(rows: DataFrame, similarity: float, min_words: int) -> DataFrame:
     place = F.struct("doc_id", "row", "w0")
     leader = members.groupBy("component").agg(F.min(place).alias("lead"))
     near = members.join(leader, "component").where(place != F.col("lead"))
-    spots = ["row", "w0", "w1", "b0", "b1"]
-    gone = found.where(F.col("kind") == SETTLED).select(*spots).unionByName(near.select(*spots))
+    spots = ["row", "w0", "w1", "b0", "b1", "line"]
+    gone = (found.where(F.col("kind") >= SETTLED).withColumn("line", F.col("kind") == LINE | SETTLED).select(*spots)
+            .unionByName(near.withColumn("line", F.lit(True)).select(*spots)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out_row, out = [], []
             for row, spots in zip(b.column("row").to_pylist(), b.column("spots").to_pylist()):
-                spans: list[list[int]] = []
-                for s in sorted((s["w0"], s["w1"], s["b0"], s["b1"]) for s in spots):
-                    if spans and s[0] <= spans[-1][1]:
-                        if s[1] > spans[-1][1]:
-                            spans[-1][1], spans[-1][3] = s[1], s[3]
-                    else:
-                        spans.append(list(s))
-                spans = [s for s in spans if s[1] - s[0] >= min_words]
+                spots = sorted((s["w0"], s["w1"], s["b0"], s["b1"], s["line"]) for s in spots)
+                whole = [s[:4] for s in joined([s[:4] for s in spots]) if s[1] - s[0] >= min_words]
+                spans = joined(sorted(whole + [s[:4] for s in spots if s[4]]))
                 if spans:
                     out_row.append(row)
                     out.append([{"start": s[2], "end": s[3], "words": s[1] - s[0]} for s in spans])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
             yield pa.RecordBatch.from_arrays([pa.array(out_row, pa.int64()), pa.array(out, kind)], ["row", "spans"])
-    return (gone.groupBy("row").agg(F.collect_set(F.struct("w0", "w1", "b0", "b1")).alias("spots"))
+    return (gone.groupBy("row").agg(F.collect_set(F.struct("w0", "w1", "b0", "b1", "line")).alias("spots"))
             .mapInArrow(run, "row long, spans array<struct<start:int,end:int,words:int>>"))
 
 
@@ -324,7 +334,8 @@ def dedup(docs: DataFrame, similarity: float = 0.8, min_words: int = 12) -> Data
 
     ``removed_spans`` lists (start, end, words) in bytes of the input text; it
     is empty where nothing goes, and then the text is unchanged (null stays null).
-    Paragraphs of fewer than five words are never judged; runs of fewer than
+    A line goes whatever its length; lines of fewer than five words are judged as a
+    whole, stretches of fewer are not judged, and runs of stretches of fewer than
     ``min_words`` words stay.  Among equal or near paragraphs the one with the
     smallest (doc_id, hash of the row, place) stays; null ids come first.  Rows that
     repeat both id and text count as one document, as do equal texts with null ids: all of

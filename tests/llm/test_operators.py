@@ -408,6 +408,17 @@ def test_repeated_rows_keep_their_text_in_paragraph_dedup(spark):
         assert got == [(0, null)] * 3 + [(1, once)] * 2 + [(2, twice + "\n")] * 2
 
 
+def test_repeated_lines_go_whatever_their_length(spark):
+    short, word, near = "nine little words that stand on this one line", "les.", [f"v{i}" for i in range(11)]
+    changed = " ".join(near) + " v11"
+    rows = [(1, f"alpha beta\n{short}\n{word}\nend one"), (2, f"{word}\ngamma delta\n  {short.upper()}\nend two\n{word}"),
+            (3, " ".join(near)), (4, f"epsilon\n{changed}\nend four"), (5, "only words of its own stay here\nles. petits")]
+    got = {r.doc_id: r for r in paragraph_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].text for i in (1, 3, 5)] == [rows[i - 1][1] for i in (1, 3, 5)]
+    assert got[2].text.split() == "gamma delta end two".split() and got[4].text == "epsilon\nend four"
+    assert [s.words for s in got[2].removed_spans] == [1, 9, 1]
+
+
 def test_jaccard_links_lose_no_component():
     rng = random.Random(9)
     for _ in range(60):
