@@ -19,6 +19,7 @@ from samplesmith.llm.common import id_and_bytes
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # an unknown character scores the lowest piece less this
 CACHE = 400_000  # parts of text whose result a task remembers; forgetting them costs time only
+SHORT = 40  # longer words that fall into parts are not remembered as a whole
 NONE = float("-inf")
 
 Part = tuple[float, int, int]  # score, tokens, unknown characters
@@ -107,18 +108,28 @@ class Counter:
         return score[-1], count[-1], 0
 
     def _part(self, text: str) -> Part:
+        """Best path of a word, whose parts between neighbours that no piece joins are solved one by one."""
         found = self.known.get(text)
         if found is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            if len(text) > 1 and text[-2:] not in self.pairs:  # no piece joins the last character to the rest
-                (s, n, _), (t, m, _) = self._part(text[:-1]), self._part(text[-1])
-                found = s + t, n + m, 0
-            else:
-                found = self._solve(text)
-            self.known[text] = found
+            edges = [0, *(i for i in range(1, len(text)) if text[i - 1:i + 1] not in self.pairs), len(text)]
+            if len(edges) == 2:
+                return self._remember(text, self._solve(text))
+            total, tokens = 0.0, 0
+            for start, end in zip(edges, edges[1:]):
+                part = text[start:end]
+                s, n, _ = self.known.get(part) or self._remember(part, self._solve(part))
+                total, tokens = total + s, tokens + n
+            found = total, tokens, 0
+            if len(text) <= SHORT:
+                self._remember(text, found)
         return found
 
+    def _remember(self, text: str, part: Part) -> Part:
+        if len(self.known) >= CACHE:
+            self.known.clear()
+        self.known[text] = part
+        return part
+
     def _solve(self, text: str) -> Part:
         if not self.bytes:
             return self._path(text)

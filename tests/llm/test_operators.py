@@ -290,6 +290,20 @@ def test_token_ties_and_unknowns():
         assert token_count.Counter(list(vocabulary.items()))(text)[0] == want
 
 
+def test_tokens_of_long_words_without_spaces():
+    """A word of 100,000 characters that no piece joins, alone and among others, against the whole path."""
+    vocabulary = token_count.sentencepiece_vocabulary(PT.path("piece_bpe_32k.model"))
+    count = token_count.Counter(vocabulary)
+    for c in "°€":
+        assert c * 2 not in count.pairs and count(c * 100_000)[0] == 100_000
+    assert sum(map(len, count.known)) < 1000  # no prefixes are kept
+    exact = unigram(vocabulary, True)
+    for text in ("°" * 3000 + "word", "a°°b" * 900, "日本°語" * 700 + " and°°°more" + "€" * 1200):
+        marked = token_count.SPACE + text.replace(" ", token_count.SPACE)
+        assert count(text) == token_count.Counter(vocabulary)._solve(marked)[1::-1]
+        assert count(text)[0] == len(exact.encode(text, add_special_tokens=False).ids)
+
+
 def test_language_on_the_held_out_fold(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.learn(d)
