@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samplesmith.llm import (decontaminate, langid, lempel_ziv, license_scan, packing, paragraph_dedup, simhash, suffix_dedup,
-                             token_count, toxicity)
+from samplesmith.llm import (decontaminate, langid, lempel_ziv, license_scan, minhash, packing, paragraph_dedup, simhash,
+                             suffix_dedup, token_count, toxicity)
 from samplesmith.llm.common import held_out, table
 
 CAPACITY = 1024
@@ -73,8 +73,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_packing, op4_license_scan, op5_simhash,
-                                   op6_paragraph_dedup, op7_language, op8_suffix_dedup, op9_lempel_ziv, op10_token_counts)}
+                                   op6_paragraph_dedup, op7_language, op8_suffix_dedup, op9_lempel_ziv, op10_token_counts,
+                                   op11_minhash)}
 
 #: Template windows as lists instead of hashes, and all joins spelled out.  RE2 has no look-around, so a unit's
 #: neighbours are captured; every word is a run of letters and numbers, so both forms find the same units.
