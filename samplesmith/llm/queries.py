@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samplesmith.llm import (decontaminate, langid, lempel_ziv, license_scan, minhash, packing, paragraph_dedup, simhash,
+from samplesmith.llm import (conversations, decontaminate, langid, lempel_ziv, license_scan, minhash, packing, paragraph_dedup, simhash,
                              spelling, suffix_dedup, token_count, toxicity)
 from samplesmith.llm.common import held_out, table
 
@@ -77,13 +77,17 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), min_length=6, min_count=5, ratio=5)
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_packing, op4_license_scan, op5_simhash,
                                    op6_paragraph_dedup, op7_language, op8_suffix_dedup, op9_lempel_ziv, op10_token_counts,
-                                   op11_minhash, op13_spelling)}
+                                   op11_minhash, op12_conversations, op13_spelling)}
 
 #: Template windows as lists instead of hashes, and all joins spelled out.  RE2 has no look-around, so a unit's
 #: neighbours are captured; every word is a run of letters and numbers, so both forms find the same units.
