@@ -7,11 +7,12 @@ class's pairs in one order, rarest first, they share a pair among the first ones
 (its *prefix*): only prefixes are joined, the long lists behind them are skipped,
 and a collision is counted by comparing the two signatures.
 
-Two exact bounds skip what cannot link, before any signature is compared: the set
-sizes, and the shingles that no other candidate class has.  Links are confirmed on
-the full sets.  They are looked for twice: first every posting list is joined
-with its most central class (linear), and after the components of these links
-only classes of different components are compared.
+Two exact bounds skip what cannot link before signatures are compared: the set
+sizes, and the parity of the shingles in each of ``BITS`` cells, in which two sets differ at
+most as often as their shingles do.  Links are confirmed on the full sets.  They are looked
+for twice: first every posting list is joined with its most central class
+(linear), and after the components of these links only classes of different components
+are compared.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from samplesmith.llm.winnow import gram_hashes, mix
 
 COORDINATES = 64
 MISS = 1e-9  # a pair at the similarity itself is missed with at most this chance
+BITS = 1024
 CHUNK = 20_000  # classes of a posting list that one task holds as targets
 STEP = 1 << 15  # shingles hashed at a time
 
@@ -63,27 +65,34 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return mix(low + np.arange(COORDINATES, dtype=np.uint64))
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether each cell holds an odd number of the shingles, as 64-bit words."""
+    odd = np.bincount((mix(shingles) >> np.uint64(32)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def signed_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(doc_id, n, same, whole, signature)`` per row; ``same`` digests the set and ``whole`` the text, in 128 bits."""
+    """``(doc_id, n, same, whole, signature, parity)`` per row; ``same`` digests the set and ``whole`` the text, in 128 bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for b in batches:
-            n, same, signs = [], [], []
+            n, same, signs, odd = [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingle_set(text, shingle, powers)
                 n.append(len(s))
                 same.append(xxhash.xxh3_128_digest(s.tobytes()))
                 signs.append(signature(s).view(np.int64) if len(s) else None)
+                odd.append(parities(s).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(same, pa.binary()),
-                                              b.column("whole"), pa.array(signs, pa.list_(pa.int64()))],
-                                             ["doc_id", "n", "same", "whole", "signature"])
+                                              b.column("whole"), pa.array(signs, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                                             ["doc_id", "n", "same", "whole", "signature", "parity"])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     return (rows.withColumn("whole", F.unhex(F.md5(F.coalesce("text", F.lit(b"")))))
-            .mapInArrow(run, "doc_id long, n long, same binary, whole binary, signature array<long>"))
+            .mapInArrow(run, "doc_id long, n long, same binary, whole binary, signature array<long>, parity array<long>"))
 
 
 def prefixes(classes: DataFrame, threshold: int) -> DataFrame:
-    """``(key, node)``: the postings of every class's prefix that another class shares.
+    """``(key, node, shared)``: the postings of every class's prefix that another class shares, and how many of its pairs are shared.
 
     Pairs that no other class has come first in the order, so they use up places
     of the prefix; a class with too few shared pairs has none left.
@@ -93,7 +102,8 @@ def prefixes(classes: DataFrame, threshold: int) -> DataFrame:
     order = F.sort_array(F.collect_list(F.struct("n", "key")))
     ranked = posted.join(shared, "key").groupBy("node").agg(order.alias("keys"))
     first = F.slice("keys", F.lit(1), F.size("keys") - threshold + 1)
-    posts = cut(ranked.where(F.size("keys") >= threshold).select("node", F.explode(first).alias("k")).select("k.key", "node"))
+    posts = cut(ranked.where(F.size("keys") >= threshold).select("node", F.size("keys").alias("shared"), F.explode(first).alias("k"))
+                .select("k.key", "node", "shared"))
     return posts.join(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key")
 
 
@@ -114,12 +124,6 @@ def _similar(both: Column | np.ndarray, union: Column | np.ndarray, percent: int
     return 100 * both >= percent * union
 
 
-def _bound(n1, u1, n2, u2, least, percent: int):
-    """Whether two sets may be similar: what both can share is at most their shingles that some other class has too."""
-    both = least(n1 - u1, n2 - u2)
-    return _similar(both, n1 + n2 - both, percent)
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -129,20 +133,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def central_pairs(posts: DataFrame, nodes: DataFrame, threshold: int, percent: int) -> DataFrame:
-    """``(a, b)``: every class with the most central one of each of its posting lists, if bounds and matches allow."""
-    info = nodes.select("node", "n", "unique", "signature")
-    rank = F.struct((F.col("unique") / F.col("n")).alias("alone"), F.xxhash64("node").alias("h"), "node")
-    centre = posts.join(nodes.select("node", "n", "unique"), "node").groupBy("key").agg(F.min(rank)["node"].alias("b"))
+    """``(a, b)``: every class with the most central one of each of its posting lists, if sizes and matches allow.
+
+    The class with the most shared pairs is central: few of its shingles are its own.
+    """
+    rank = F.struct("shared", F.xxhash64("node").alias("h"), "node")
+    centre = posts.groupBy("key").agg(F.max(rank)["node"].alias("b"))
     pairs = posts.join(centre, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    left = info.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("unique").alias("u1"), F.col("signature").alias("s1"))
-    right = info.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("unique").alias("u2"), F.col("signature").alias("s2"))
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("signature").alias("s1"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("signature").alias("s2"))
     matches = F.aggregate(F.zip_with("s1", "s2", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return (pairs.join(left, "a").join(right, "b").where(_bound(F.col("n1"), F.col("u1"), F.col("n2"), F.col("u2"), F.least, percent))
-            .where(matches >= threshold).select("a", "b"))
+    sizes = _similar(F.least("n1", "n2"), F.greatest("n1", "n2"), percent)
+    return pairs.join(left, "a").join(right, "b").where(sizes).where(matches >= threshold).select("a", "b")
 
 
 def crossing_pairs(posts: DataFrame, nodes: DataFrame, threshold: int, percent: int, chunk: int = CHUNK) -> DataFrame:
-    """``(a, b)``: classes of one posting list in different components, if bounds and matches allow.
+    """``(a, b)``: classes of one posting list in different components, if sizes, parities and matches allow.
 
     Classes outside the list's largest component ask, all are asked.  A list is
     dealt to chunks of about ``chunk`` classes, and those that ask go to each of them, so no task
@@ -158,21 +164,39 @@ def crossing_pairs(posts: DataFrame, nodes: DataFrame, threshold: int, percent:
     to = F.when(asks, F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).otherwise(F.array(own))
     dealt = (member.join(lists, "key").select("key", "node", asks.alias("asks"), own.alias("own"), F.explode(to).alias("part"))
              .withColumn("asked", F.col("own") == F.col("part")).drop("own"))
-    rows = dealt.join(nodes.select("node", "component", "n", "unique", "signature"), "node")
+    own_keys = posts.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    rows = dealt.join(nodes.select("node", "component", "n", "signature", "parity").join(own_keys, "node"), "node")
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts)
-        node, comp, n, unique = (t.column(c).to_numpy() for c in ("node", "component", "n", "unique"))
+        key = t.column("key")[0].as_py()
+        lists = t.column("keys").combine_chunks()
+        edge, posted = lists.offsets.to_numpy(), lists.values.to_numpy()
+        edge = edge - edge[0]
+        posted = posted[len(posted) - edge[-1]:]
+        before = [posted[x:y][posted[x:y] < key] for x, y in zip(edge, edge[1:])]  # lists that come before this one
+        width = max(map(len, before))
+        earlier = np.full((len(before), width), key, np.int64)
+        for i, x in enumerate(before):
+            earlier[i, :len(x)] = x
+        node, comp, n = (t.column(c).to_numpy() for c in ("node", "component", "n"))
+        odd = t.column("parity").combine_chunks().values.to_numpy().reshape(-1, BITS // 64).view(np.uint64)
         sign = t.column("signature").combine_chunks().values.to_numpy().reshape(-1, COORDINATES)
         order = np.flatnonzero(t.column("asked").to_numpy(zero_copy_only=False))
         order = order[np.argsort(n[order], kind="stable")]
         a, b = [], []
-        for i in np.flatnonzero(t.column("asks").to_numpy(zero_copy_only=False)).tolist():
+        asks = t.column("asks").to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(asks).tolist():
             lo, hi = np.searchsorted(n[order] * 100, n[i] * percent), np.searchsorted(n[order] * percent, n[i] * 100, "right")
             j = order[lo:hi]
-            j = j[(comp[j] != comp[i]) & _bound(n[i], unique[i], n[j], unique[j], np.minimum, percent)]
+            j = j[comp[j] != comp[i]]
+            apart = np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1, dtype=np.int64)  # at most the symmetric difference
+            j = j[(100 + percent) * apart <= (100 - percent) * (n[j] + n[i])]
             j = j[(sign[j] == sign[i]).sum(axis=1) >= threshold]
+            j = j[~np.isin(earlier[j], before[i]).any(axis=1)]  # a pair is told by the first list that both are in
+            if len(asking := j[asks[j]]):  # and once, if both ask
+                j = np.setdiff1d(j, asking[node[asking] < node[i]])
             a.append(np.minimum(node[j], node[i]))
             b.append(np.maximum(node[j], node[i]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or [np.empty(0, np.int64)])) for x in (a, b)], schema=kind)
@@ -192,7 +216,7 @@ def crossing_pairs(posts: DataFrame, nodes: DataFrame, threshold: int, percent:
                 held.append(batch.slice(lo, hi - lo))
         if held:
             yield compare(held)
-    return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long")
 
 
 def components(classes: DataFrame, docs: DataFrame, shingle: int, percent: int, chunk: int = CHUNK) -> DataFrame:
@@ -201,11 +225,7 @@ def components(classes: DataFrame, docs: DataFrame, shingle: int, percent: int,
     posts = cut(prefixes(classes, threshold))
     nodes = cut(classes.join(posts.select("node").distinct(), "node"))
     sets = cut(class_sets(docs, nodes, shingle))
-    alone = (sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"))
-             .where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("unique")))
-    able = _similar(F.col("n") - F.col("unique"), F.col("n"), percent)
-    nodes = cut(nodes.drop("whole").join(alone, "node", "left").withColumn("unique", F.coalesce("unique", F.lit(0).cast("long"))).where(able))
-    posts = cut(posts.join(nodes.select("node"), "node"))
+    nodes = nodes.drop("whole")
     first = cut(confirmed(central_pairs(posts, nodes, threshold, percent), sets, percent))
     linked = cut(connected_components(first))
     grouped = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -226,7 +246,8 @@ def near_dedup(docs: DataFrame, shingle: int = 3, percent: int = 85, chunk: int
     """
     rows = cut(signed_sets(docs, shingle))
     classes = cut(rows.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"),
-                                                          F.first("signature").alias("signature"), F.min("whole").alias("whole"))
+                                                          F.first("signature").alias("signature"),
+                                                          F.first("parity").alias("parity"), F.min("whole").alias("whole"))
                   .withColumn("node", F.monotonically_increasing_id()))
     linked = components(classes.drop("same", "first"), docs, shingle, percent, chunk)
     of = classes.select("same", "first", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
