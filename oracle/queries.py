@@ -617,12 +617,15 @@ ORACLE["a8_tool_sample_count"] = with_(
     f"FROM v_samples WHERE {keep_output()}", "v_samples")
 
 U1 = (f"SELECT 0 AS dataset_ord, * FROM ({ROUTED_RAW}) UNION ALL SELECT 1 AS dataset_ord, * FROM ({ROUTED_SAMPLES})")
-ORACLE["a9_stage_counts"] = with_(
+A9 = (
     "SELECT 'loaded:' || CAST(dataset_ord AS VARCHAR) AS stage, count(*) AS rows FROM u GROUP BY 1 "
     "UNION ALL SELECT 'loaded', count(*) FROM u "
     f"UNION ALL SELECT 'after_filter', count(*) FROM u WHERE {truthy('instruction')} OR {truthy('output')} "
-    f"UNION ALL SELECT 'after_dedup', count(*) FROM ({keep_first(keep_nonempty('SELECT * FROM u'), wide_key(), 'dataset_ord, seq')})",
-    "v_raw", "v_samples", extra={"u": U1})
+    f"UNION ALL SELECT 'after_dedup', count(*) FROM ({keep_first(keep_nonempty('SELECT * FROM u'), wide_key(), 'dataset_ord, seq')})")
+ORACLE["a9_stage_counts"] = with_(A9, "v_raw", "v_samples", extra={"u": U1})
+ORACLE["w1b_merge_counts"] = with_(
+    "SELECT stage, rows FROM c UNION ALL SELECT unnest(['written', 'retried']), rows FROM c WHERE stage = 'after_dedup'",
+    "v_raw", "v_samples", extra={"u": U1, "c": A9})
 ORACLE["a10_loss_perplexity"] = with_(
     "SELECT round(avg(nll), 6) AS eval_loss, count(*) AS tokens, round(exp(avg(nll)), 6) AS eval_perplexity "
     "FROM v_token_loss WHERE label <> -100", "v_token_loss")
@@ -643,7 +646,9 @@ ORACLE["l4_files_per_repo"] = with_(
     "QUALIFY rank_in_group <= 10", "v_files")
 ORACLE["l6_item_caps"] = thread_samples(50)
 ORACLE["l8_benchmark_head"] = with_("SELECT task_id, test FROM v_tests ORDER BY task_id LIMIT 164", "v_tests")
-ORACLE["o1_seeded_shuffle"] = with_("SELECT seq, md5('42:' || CAST(seq AS VARCHAR)) AS shuffle_key FROM v_samples", "v_samples")
+ORACLE["o1_seeded_shuffle"] = with_(
+    "SELECT seq, shuffle_key, row_number() OVER (ORDER BY shuffle_key, seq) AS place "
+    "FROM (SELECT seq, md5('42:' || CAST(seq AS VARCHAR)) AS shuffle_key FROM v_samples)", "v_samples")
 ORACLE["o2_train_eval_split"] = with_(
     f"SELECT seq, CASE WHEN {split_bucket('seq')} < 0.05 THEN 'eval' ELSE 'train' END AS split FROM v_samples", "v_samples")
 
@@ -750,10 +755,17 @@ _w3_files = (f"SELECT path, content FROM v_files WHERE {has_ext(SN.TREE_EXTS)} A
 ORACLE["w3_tree_samples"] = with_(fanout(tree_chunks(_w3_files)), "v_files")
 ORACLE["w4_thread_samples"] = thread_samples(None)
 _SAMPLE = "SELECT instruction, input, output FROM"
-ORACLE["w5_reasoning_v1"] = with_(f"{_SAMPLE} ({transform_v1('v_samples')})", "v_samples")
-ORACLE["w6_reasoning_v2"] = with_(f"{_SAMPLE} ({transform_tools('v_samples')})", "v_samples")
+
+
+def placed(sql: str, order: str) -> str:
+    """The samples of a query with their places in ``order``."""
+    return f"SELECT row_number() OVER (ORDER BY {order}) AS place, instruction, input, output FROM ({sql})"
+
+
+ORACLE["w5_reasoning_v1"] = with_(placed(transform_v1('v_samples'), "seq"), "v_samples")
+ORACLE["w6_reasoning_v2"] = with_(placed(transform_tools('v_samples'), "seq"), "v_samples")
 ORACLE["w6b_reasoning_v2_head"] = with_(
-    f"{_SAMPLE} ({transform_v2('(SELECT * FROM v_samples ORDER BY seq LIMIT 100)')})", "v_samples")
+    placed(transform_v2('(SELECT * FROM v_samples ORDER BY seq LIMIT 100)'), "seq"), "v_samples")
 _flw = fixed_length("t.tokens", 2048)
 ORACLE["w7_training_rows"] = with_(
     f"SELECT s.seq, {render('inst')} AS prompt, {_flw['input_ids']} AS input_ids, {_flw['attention_mask']} AS attention_mask, "
@@ -764,7 +776,7 @@ _w8_gens = f"SELECT g.* FROM ({GENS_CODE}) g JOIN v_tests t ON t.task_id = g.tas
 ORACLE["w8_benchmark_scoring"] = with_(
     f"SELECT p.*, substr(t.prompt, 1, 50) AS prompt FROM ({per_problem(_w8_gens)}) p JOIN v_tests t ON t.task_id = p.task_id",
     "v_generations", "v_tests")
-ORACLE["w9_problem_conversion"] = with_(f"{_SAMPLE} ({P12})", "v_problems")
+ORACLE["w9_problem_conversion"] = with_(placed(P12, "item_id % 2, item_id"), "v_problems")
 ORACLE["w10_repo_snippets"] = with_(
     " UNION ALL ".join(f"SELECT *, '{k}' AS variant FROM ({snippets('v_files', sc)})" for k, sc in SN.SNIPPET_SOURCES.items()),
     "v_files")
@@ -783,25 +795,29 @@ ORACLE["s1_s4_jsonl_strict_roundtrip"] = with_(
     f"SELECT {_RAW_COLS} FROM v_raw WHERE {truthy('instruction')} OR {truthy('prompt')}", "v_raw")
 ORACLE["s2_jsonl_lenient_scan"] = with_(
     "SELECT seq, instruction, CASE WHEN seq % 19 = 16 THEN 'again' ELSE prompt END AS prompt FROM v_raw "
-    "WHERE seq % 23 <> 7 AND seq % 17 <> 5 AND seq % 19 NOT IN (3, 8, 11, 14, 17)", "v_raw")
+    "WHERE seq % 23 <> 7 AND seq % 17 <> 5 AND seq % 19 NOT IN (3, 5, 6, 8, 11, 14, 17)", "v_raw")
 ORACLE["s3_rejected_lines"] = with_(
-    "SELECT seq FROM v_raw WHERE seq % 23 <> 7 AND (seq % 17 = 5 OR seq % 19 IN (3, 8, 11, 14, 17))", "v_raw")
+    "SELECT seq, true AS in_order FROM v_raw WHERE seq % 23 <> 7 AND (seq % 17 = 5 OR seq % 19 IN (3, 5, 6, 8, 11, 14, 17))", "v_raw")
 ORACLE["s9_s10_parquet_grid"] = with_(
     f"SELECT seq, split, lang, 'Explain this ' || lang || ' code:' AS instruction, {head(s('func_code_string'), 2000)} AS input, "
     f"CASE WHEN {truthy('func_documentation_string')} THEN {head('func_documentation_string', 500)} "
     f"ELSE 'Function from ' || coalesce(repository_name, 'codebase') END AS output FROM v_code_doc "
     f"WHERE lang IN ('python', 'go', 'ruby') AND split IN ('train', 'test') "
     f"AND {truthy(s('func_code_string'))} AND length({s('func_code_string')}) > 50", "v_code_doc")
-ORACLE["s5_append_sink"] = with_(f"{_SAMPLE} v_samples", "v_samples")
+ORACLE["s5_append_sink"] = with_(placed("SELECT * FROM v_samples", "seq % 2, seq"), "v_samples")
+ORACLE["s4_ordered_sink"] = with_(placed("SELECT * FROM v_samples", "seq"), "v_samples")
 ORACLE["s11_concat_files"] = with_(
-    f"{_SAMPLE} v_samples UNION ALL {_SAMPLE} ({keep_nonempty(ROUTED_RAW)})", "v_raw", "v_samples")
+    placed(f"SELECT 0 AS o, seq, instruction, input, output FROM v_samples UNION ALL "
+           f"SELECT 1, seq, instruction, input, output FROM ({keep_nonempty(ROUTED_RAW)})", "o, seq"), "v_raw", "v_samples")
 _files = "VALUES " + ", ".join(
     f"({lit(g)}, {lit(n)}, {k})" for k, (g, n) in enumerate((g, n) for g, ns in DATASET_GROUPS.items() for n in ns))
 ORACLE["s12_s15_file_inventory"] = with_(
     f"SELECT r.\"group\", r.name, c.lines, CASE WHEN c.lines IS NULL THEN 'MISSING' ELSE 'present' END AS status, r.reg_ord "
     f"FROM ({_files}) r(\"group\", name, reg_ord) LEFT JOIN (SELECT ['apps_train', 'github_code', 'mbpp_extra'][seq % 3 + 1] AS name, "
     f"count(*) AS lines FROM v_samples GROUP BY 1) c USING (name)", "v_samples")
-ORACLE["s13_merge_files"] = with_(f"{_SAMPLE} ({W1})", "v_raw", "v_samples")
+ORACLE["s13_merge_files"] = with_(placed(W1, "dataset_ord, seq"), "v_raw", "v_samples")
+ORACLE["w2b_process_file_order"] = with_(
+    placed(keep_first(ROUTE_SQL, narrow_key(), "dataset_ord, seq, sample_no"), "dataset_ord, seq, sample_no"), *NAMED)
 ORACLE["s14_results_sink"] = ORACLE["w8_benchmark_scoring"]
 ORACLE["o2b_exact_split"] = with_(
     "SELECT seq, CASE WHEN row_number() OVER (ORDER BY h, seq) <= ceil(0.05 * count(*) OVER ()) THEN 'eval' "

@@ -41,7 +41,7 @@ SELECT doc_id AS seq, source AS dataset,
     ELSE 'Summarize this text.' END AS instruction,
   CASE WHEN doc_id % 5 IN (3, 4) THEN text END AS input,
   CASE WHEN doc_id % 5 = 3 THEN text WHEN doc_id % 5 = 4 THEN split_part(text, {NL}, 1) END AS output,
-  CASE WHEN doc_id % 5 = 0 THEN split_part(text, {NL}, 1) END AS prompt,
+  CASE WHEN doc_id % 15 = 0 THEN text WHEN doc_id % 5 = 0 THEN split_part(text, {NL}, 1) END AS prompt,
   CASE WHEN doc_id % 5 = 0 THEN text END AS completion,
   CASE WHEN doc_id % 5 = 1 THEN text END AS text,
   CASE WHEN doc_id % 5 = 1 THEN 'def f' || {_c('doc_id')} || {lit('():' + chr(10) + '    return ')} || {_c('n_chars')} END AS code,

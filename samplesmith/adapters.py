@@ -106,7 +106,7 @@ def v_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         instruction.alias("instruction"),
         F.when(shape.isin(3, 4), t).alias("input"),
         F.when(shape == 3, t).when(shape == 4, T.first_line(t)).alias("output"),
-        F.when(shape == 0, T.first_line(t)).alias("prompt"),
+        F.when(shape == 0, F.when(i % 3 == 0, t).otherwise(T.first_line(t))).alias("prompt"),
         F.when(shape == 0, t).alias("completion"),
         F.when(shape == 1, t).alias("text"),
         F.when(shape == 1, F.concat(F.lit("def f"), i.cast("string"), F.lit("():\n    return "),

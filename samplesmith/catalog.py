@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from samplesmith import adapters as A
@@ -409,8 +409,8 @@ def l8(spark, sf):
 
 @query("o1_seeded_shuffle")
 def o1(spark, sf):
-    s = _samples(spark, sf)
-    return s.select("seq", L.shuffle_key("seq", 42).alias("shuffle_key"))
+    """O1: every sample's key and its place in the seeded order."""
+    return L.seeded_positions(_samples(spark, sf).select("seq"), "seq", 42)
 
 
 @query("o2_train_eval_split")
@@ -563,7 +563,7 @@ def w5(spark, sf):
     """W5 as a job: lenient scan of a written dataset, transform, sink, read back."""
     src, out = _sample_file(spark, sf), _scratch(spark, "reasoning_v1", sf)
     JB.reasoning_files(spark, src, out, version="v1")
-    return J.read_jsonl_lenient(spark, out).select(*SAMPLE_FIELDS)
+    return _placed(spark, out)
 
 
 @query("w6_reasoning_v2")
@@ -571,7 +571,7 @@ def w6(spark, sf):
     """W6 as a job, with tool prompts."""
     src, out = _sample_file(spark, sf), _scratch(spark, "reasoning_v2", sf)
     JB.reasoning_files(spark, src, out, version="v2", tools=True)
-    return J.read_jsonl_lenient(spark, out).select(*SAMPLE_FIELDS)
+    return _placed(spark, out)
 
 
 @query("w6b_reasoning_v2_head")
@@ -579,7 +579,7 @@ def w6b(spark, sf):
     """W6 with its ``--limit``: the first 100 parseable lines in file order, then the transform."""
     src, out = _sample_file(spark, sf), _scratch(spark, "reasoning_head", sf)
     JB.reasoning_files(spark, src, out, version="v2", limit=100)
-    return J.read_jsonl_lenient(spark, out).select(*SAMPLE_FIELDS)
+    return _placed(spark, out)
 
 
 @query("w7_training_rows")
@@ -597,10 +597,11 @@ def w9(spark, sf):
     """W9 as a job: a train and a test dump, P12 on each, appended to two sinks, then concatenated."""
     problems = A.v_problems(spark, sf).select("item_id", "question", "solutions", "difficulty")
     train, test, out = (_scratch(spark, n, sf) for n in ("problems_train", "problems_test", "problems_out"))
-    problems.where("item_id % 2 = 0").write.json(train)
-    problems.where("item_id % 2 = 1").write.json(test)
-    JB.problems_to_samples(spark, train, test, out)
-    return J.read_jsonl_lenient(spark, f"{out}/combined").select(*SAMPLE_FIELDS)
+    problems.where("item_id % 2 = 0").orderBy("item_id").write.json(train)
+    problems.where("item_id % 2 = 1").orderBy("item_id").write.json(test)
+    JB.problems_to_samples(spark, train, test, out, job_id="problems")
+    JB.problems_to_samples(spark, train, test, out, job_id="problems")  # a retry of a finished job adds nothing
+    return _placed(spark, f"{out}/combined")
 
 
 @query("w10_repo_snippets")
@@ -646,10 +647,15 @@ def _scratch(spark: SparkSession, name: str, sf: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}/{name}"
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """The samples of a written dataset with their places (from 1) in its file order."""
+    return L.with_positions(J.read_jsonl_lenient(spark, path), J.FILE_ORDER).select("place", *SAMPLE_FIELDS)
+
+
 def _sample_file(spark: SparkSession, sf: str, path: str | None = None) -> str:
     """The samples as a JSONL dataset whose file order is the order of ``seq``."""
     path = path or _scratch(spark, "samples", sf)
-    J.write_jsonl(_samples(spark, sf).orderBy("seq"), path)
+    J.write_jsonl(_samples(spark, sf), path, order=["seq"])
     return path
 
 
@@ -666,7 +672,7 @@ def s1(spark, sf):
     raw = A.v_raw(spark, sf).drop("dataset")
     J.write_jsonl(raw, path, fields=raw.columns, layout="spark")
     back = J.read_jsonl_strict(spark, path, spark.createDataFrame([], _RAW_WITH_SEQ).schema)
-    return back.drop("file_path", "file_block_start", "row_in_block")
+    return back.drop(*J.ORDER_COLUMNS)
 
 
 def _lines_with_rejects(spark, sf) -> str:
@@ -681,10 +687,12 @@ def _lines_with_rejects(spark, sf) -> str:
             .when(F.col("seq") % 19 == 8, F.concat("__j", F.lit(" "), "__j"))
             .when(F.col("seq") % 19 == 11, F.concat(F.lit("["), "__j", F.lit("]")))
             .when(F.col("seq") % 19 == 14, F.concat("__j", F.lit(" // note")))
+            .when(F.col("seq") % 19 == 5, F.concat("__j", F.lit("],["), "__j"))
+            .when(F.col("seq") % 19 == 6, F.concat("__j", F.lit("] x }")))
             .when(F.col("seq") % 19 == 16, F.expr("""substring(__j, 1, length(__j) - 1) || ',"prompt":"first","prompt":"again"}'"""))
             .when(F.col("seq") % 19 == 17, F.replace("__j", F.lit('"'), F.lit("'")))
             .otherwise(F.col("__j")))
-    raw.withColumn("__j", js).select(line.alias("value")).write.mode("overwrite").text(path)
+    raw.withColumn("__j", js).orderBy("seq").select(line.alias("value")).write.mode("overwrite").text(path)
     return path
 
 
@@ -700,7 +708,11 @@ def s2(spark, sf):
 def s3(spark, sf):
     """S3: the malformed lines, identified by the seq they carry."""
     bad = J.rejected_lines(spark, _lines_with_rejects(spark, sf))
-    return bad.select(F.regexp_extract("_corrupt", r"""["']seq["']:([0-9]+)""", 1).cast("bigint").alias("seq"))
+    seq = F.regexp_extract("_corrupt", r"""["']seq["']:([0-9]+)""", 1).cast("bigint")
+    # the lines lie in the order of seq over several files: a line's number in its file, and the file's least line
+    first = F.min(F.col("seq") - F.col("line_no")).over(Window.partitionBy("file_path"))
+    found = bad.select(seq.alias("seq"), "line_no", "file_path")
+    return found.withColumn("in_order", F.col("seq") - F.col("line_no") == first).select("seq", "in_order")
 
 
 @query("s9_s10_parquet_grid")
@@ -719,17 +731,17 @@ def s5(spark, sf):
     """Two writes to one sink, the second one appended."""
     path = _scratch(spark, "s5_samples", sf)
     for odd, mode in ((0, "overwrite"), (1, "append")):
-        J.write_jsonl(_samples(spark, sf).where(F.col("seq") % 2 == odd), path, mode=mode)
-    return J.read_jsonl_lenient(spark, path).select(*SAMPLE_FIELDS)
+        J.write_jsonl(_samples(spark, sf).where(F.col("seq") % 2 == odd), path, mode=mode, order=["seq"])
+    return _placed(spark, path)
 
 
 @query("s11_concat_files")
 def s11(spark, sf):
     """The lines of two datasets, one after the other, in a third."""
     parts, out = [_sample_file(spark, sf), _scratch(spark, "s11_raw", sf)], _scratch(spark, "s11_out", sf)
-    J.write_jsonl(C.keep_nonempty(C.normalize_routed(A.v_raw(spark, sf))), parts[1])
+    J.write_jsonl(C.keep_nonempty(C.normalize_routed(A.v_raw(spark, sf))), parts[1], order=["seq"])
     J.concat_files(spark, parts, out)
-    return J.read_jsonl_lenient(spark, out).select(*SAMPLE_FIELDS)
+    return _placed(spark, out)
 
 
 @query("s12_s15_file_inventory")
@@ -747,9 +759,45 @@ def s13(spark, sf):
     found go through strict scan, routing, filter, keep-first dedup and sink."""
     data, out = _scratch(spark, "data", sf), _scratch(spark, "merged", sf)
     raw = A.v_raw(spark, sf).drop("dataset")
-    J.write_jsonl(raw.orderBy("seq"), f"{data}/codealpaca.jsonl", fields=raw.columns, layout="spark")
+    J.write_jsonl(raw, f"{data}/codealpaca.jsonl", fields=raw.columns, layout="spark", order=["seq"])
     JB.merge_files(spark, ["codealpaca", "absent", _sample_file(spark, sf)], out, data_dir=data)
-    return J.read_jsonl_lenient(spark, out).select(*SAMPLE_FIELDS)
+    return _placed(spark, out)
+
+
+@query("s4_ordered_sink")
+def s4(spark, sf):
+    """Rows that lie in hash order are written in the order of ``seq``; each line's place in the files."""
+    path = _scratch(spark, "s4_ordered", sf)
+    J.write_jsonl(_samples(spark, sf).repartition("instruction"), path, order=["seq"])
+    return _placed(spark, path)
+
+
+@query("w1b_merge_counts")
+def w1b(spark, sf):
+    """W1 as a job with its A9 counts as the write itself collects them."""
+    data, out = _scratch(spark, "data", sf), _scratch(spark, "merged", sf)
+    raw = A.v_raw(spark, sf).drop("dataset")
+    J.write_jsonl(raw, f"{data}/mbpp.jsonl", fields=raw.columns, layout="spark", order=["seq"])
+    told = JB.merge_files(spark, ["mbpp", _sample_file(spark, sf)], out, data_dir=data, job_id="merge")
+    again = JB.merge_files(spark, ["mbpp", _sample_file(spark, sf)], out, data_dir=data, job_id="merge")
+    rows = [(k, v) for k, v in {"written": told["written"], "retried": again["written"], "loaded": told["loaded"]["rows"],
+                                "loaded:0": told["loaded"]["dataset_0"], "loaded:1": told["loaded"]["dataset_1"],
+                                "after_filter": told["after_filter"]["rows"], "after_dedup": told["after_dedup"]["rows"]}.items()]
+    return spark.createDataFrame(rows, "stage string, rows long")
+
+
+@query("w2b_process_file_order")
+def w2b(spark, sf):
+    """W2 as a job over five written files: each kept sample's place in the output's files."""
+    data, out = _scratch(spark, "named", sf), _scratch(spark, "processed", sf)
+    named, paths = A.v_named_sources(spark, sf), []
+    for k, name in enumerate(A.NAMED_SOURCES):
+        # the folder gives a file its name; equal names stand in folders of their own
+        paths.append(f"{data}/{k}/{name}" if name.endswith(".jsonl") else f"{data}/{k}/{name}.jsonl")
+        rows = named.where(F.col("dataset_ord") == k)
+        J.write_jsonl(rows, paths[-1], fields=[c for c in rows.columns if c not in ("dataset_ord", "dataset")], layout="spark", order=["seq"])
+    JB.process_files(spark, paths, out)
+    return _placed(spark, out)
 
 
 @query("s14_results_sink")

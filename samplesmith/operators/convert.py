@@ -88,9 +88,13 @@ def normalize_routed(df: DataFrame) -> DataFrame:
     return _emit(df, keep, instruction, inp, out, where=validate_raw(df))
 
 
-def keep_nonempty(df: DataFrame) -> DataFrame:
+def is_nonempty() -> Column:
     """instruction or output non-empty after normalising."""
-    return df.where(T.truthy("instruction") | T.truthy("output"))
+    return T.truthy("instruction") | T.truthy("output")
+
+
+def keep_nonempty(df: DataFrame) -> DataFrame:
+    return df.where(is_nonempty())
 
 
 # --- problem sets: P5, P12 ---------------------------------------------------

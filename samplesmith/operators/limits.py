@@ -1,14 +1,14 @@
 """Limits, per-group heads, seeded shuffle and split.
 
-* Global heads (L1, L2, L3, L6, L8) are ``orderBy(order).limit(n)``: Spark
-  plans ``TakeOrderedAndProject`` — each task keeps its own top ``n`` and only
-  ``n`` rows per task reach the final merge, so the cost is bounded by ``n``.
+* Global heads (L1, L2, L3, L6, L8) find the key of the ``n``-th row by range
+  histograms over the keys and test every row against it (``order.exact_head``):
+  no task reads more than its share, whatever ``n`` is.
 * Per-group heads (L4, L5, L7) are ``row_number() <= n`` in two stages —
   per ``(group, map-task salt)``, then per group — each with a partial
   ``WindowGroupLimit`` before its exchange, so a hot group ships at most ``n``
   rows per map task and its final task ranks at most ``n * buckets`` rows.
 * The shuffle (O1) is a total order on ``md5(seed:id)`` — range-partitioned,
-  never a single-partition window; written datasets use a hash partition on
+  never a single-partition window; prefix sums over the ranges give each row its place; written datasets use a hash partition on
   the key plus a local sort instead (no sampling pass).  The split (O2) is a
   per-row hash bucket: no shuffle at all; its exact-count mode reads two bounded
   hash histograms and then tests each row against one cutoff.
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from samplesmith.functions import text as T
+from samplesmith.operators.order import exact_head, with_positions
 
 
 def no_limit(n: int | None) -> bool:
@@ -32,10 +33,9 @@ def no_limit(n: int | None) -> bool:
 def head_n(df: DataFrame, n: int | None, order: list[str]) -> DataFrame:
     """The first ``n`` rows in ``order`` (all rows when ``n`` is falsy).
 
-    One plan for every ``n``: each task keeps its own first ``n`` rows.  Spark
-    sorts by ranges instead once ``n`` reaches ``spark.sql.execution.topKSortFallbackThreshold``.
+    One plan for every ``n``: a filter on the key of the ``n``-th row, which range histograms find first.
     """
-    return df if no_limit(n) else df.orderBy(*order).limit(n)
+    return df if no_limit(n) else exact_head(df, n, order)
 
 
 SALT_BUCKETS = 64            # the skew probe's reference value
@@ -106,6 +106,12 @@ def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     return df.orderBy(shuffle_key(id_col, seed), F.col(id_col))
 
 
+def seeded_positions(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
+    """O1 with each row's ``place`` (from 1) in the seeded total order."""
+    keyed = df.withColumn("shuffle_key", shuffle_key(id_col, seed))
+    return with_positions(keyed, ["shuffle_key", id_col])
+
+
 def seeded_shuffle_files(df: DataFrame, key_col: str, id_col: str, partitions: int | None = None) -> DataFrame:
     """O1 for written datasets: hash-partition on the (uniform) shuffle key and
     sort within partitions — one shuffle, no sampling pass.  Each output file

@@ -8,8 +8,9 @@ result feeds a sink and metrics, the metrics ride on the write job
 
 from __future__ import annotations
 
-from pyspark.sql import Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from samplesmith.operators import convert as C
 from samplesmith.operators import reasoning as RS
@@ -20,16 +21,27 @@ from samplesmith.operators import threads as TH
 from samplesmith.plans import merge as M
 from samplesmith.sources import jsonl as J
 from samplesmith.sources import registry as REG
-from samplesmith.schema import GENERATION
+from samplesmith.schema import GENERATION, SAMPLE_FIELDS
 from samplesmith.session import materialize
 from samplesmith.sources import trees as TR
 
 
+ITEMS = "item_id long, title string, body string, pull_request struct<url:string>"
+COMMENTS = "parent_key long, ord long, body string"
+
+
+def _dump(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """The objects of a JSONL dump, read as S2 reads samples: what is no single JSON object is dropped."""
+    schema = spark.createDataFrame([], schema).schema
+    return J.read_jsonl_lenient(spark, path, schema=schema).select(*schema.fieldNames())
+
+
 def merge_files(spark: SparkSession, keys: list[str], out: str, data_dir: str = "data",
-                limit: int | None = None, dedup: bool = True) -> dict:
+                limit: int | None = None, dedup: bool = True, job_id: str | None = None) -> dict:
     """W1 ``merge_datasets`` CLI: resolve keys (S13), strict scan (S1) in request
-    order, route (P1-P4), filter (F3), keep-first dedup (D1), head (L1), write (S4)
-    with stage counts (A9)."""
+    order, route (P1-P4), filter (F3), keep-first dedup (D1), head (L1), write (S4) in
+    that order, with stage counts (A9), which are exact: they ride on the write's last
+    stage, and with a head, which needs passes of its own, come from one scan."""
     parts = []
     for key, path in REG.resolve_paths(spark, keys, data_dir):
         df = J.read_jsonl_strict(spark, path)
@@ -38,9 +50,18 @@ def merge_files(spark: SparkSession, keys: list[str], out: str, data_dir: str =
         return {"written": 0}
     # The strict reader's file order is (file_path, block, row): fold it into seq.
     parts = [p.withColumn("seq", F.struct(*J.FILE_ORDER)) for p in parts]
-    out_df, obs = M.merge_observed(parts, limit=limit, dedup=dedup)
-    n = J.write_jsonl(out_df, out)
-    return {"written": n, **{k: o.get for k, o in obs.items()}}
+    if limit:
+        told = {r["stage"].replace("loaded:", "dataset_"): r["rows"] for r in M.stage_counts(parts).collect()}
+        if not dedup:
+            told["after_dedup"] = told["after_filter"]
+        told["rows"] = J.write_jsonl(M.merge(parts, limit, dedup), out, order=M.ORDER, job_id=job_id)
+    else:
+        rows = M.merge_counted(parts, dedup)
+        lines = rows.select(J.python_json_line(SAMPLE_FIELDS).alias("value"), *M.ORDER, *[c for c in rows.columns if c.startswith("__")])
+        told = J.write_parts(lines, out, order=M.ORDER, job_id=job_id, counts=M.count_columns(len(parts)), keep=F.col("__kept"))
+    loaded = {"rows": told["loaded"], **{k: v for k, v in told.items() if k.startswith("dataset_")}}
+    return {"written": told["rows"], "loaded": loaded, "after_filter": {"rows": told["after_filter"]},
+            "after_dedup": {"rows": told["after_dedup"]}}
 
 
 def process_files(spark: SparkSession, input_files: list[str], out: str, limit: int | None = None) -> int:
@@ -58,7 +79,7 @@ def process_files(spark: SparkSession, input_files: list[str], out: str, limit:
     named = parts[0]
     for p in parts[1:]:
         named = named.unionByName(p)
-    return J.write_jsonl(M.process_and_merge(named, limit), out)
+    return J.write_jsonl(M.process_and_merge(named, limit), out, order=M.PROCESS_ORDER)
 
 
 def reasoning_files(spark: SparkSession, src: str, out: str, version: str = "v2", tools: bool = False,
@@ -73,7 +94,7 @@ def reasoning_files(spark: SparkSession, src: str, out: str, version: str = "v2"
         t = RS.transform_v2_tools(df)
     else:
         t = RS.transform_v2(df)
-    return J.write_jsonl(t, out)
+    return J.write_jsonl(t, out, order=J.FILE_ORDER)
 
 
 def tree_to_samples(spark: SparkSession, root: str, out: str, repo: str | None = None,
@@ -86,9 +107,7 @@ def tree_to_samples(spark: SparkSession, root: str, out: str, repo: str | None =
     samples = SN.task_fanout(SN.tree_chunks(files).select("path", "chunk_no", "chunk")).select(
         "instruction", "input", "output")
     if discussion_items and discussion_comments:
-        items = spark.read.schema("item_id long, title string, body string, pull_request struct<url:string>") \
-            .json(discussion_items)
-        comments = spark.read.schema("parent_key long, ord long, body string").json(discussion_comments)
+        items, comments = _dump(spark, discussion_items, ITEMS), _dump(spark, discussion_comments, COMMENTS)
         samples = samples.unionByName(
             TH.thread_samples(items, comments, max_items).select("instruction", "input", "output"))
     return J.write_jsonl(samples, out)
@@ -137,7 +156,7 @@ def convert_dump(spark: SparkSession, kind: str, src: str, out: str, fmt: str =
         out_df = fn(df)
     else:
         out_df = head_n(fn(df), limit, order)
-    return J.write_jsonl(out_df, out)
+    return J.write_jsonl(out_df, out, order=order)
 
 
 def python_tree_chunks(spark: SparkSession, root: str, name: str, out: str) -> int:
@@ -159,16 +178,15 @@ def code_search_samples(spark: SparkSession, root: str, out: str, langs: list[st
 def threads_to_samples(spark: SparkSession, items_path: str, comments_path: str, out: str,
                        max_items: int | None = None) -> int:
     """W4 over issue/PR and comment dumps (JSONL)."""
-    items = spark.read.schema("item_id long, title string, body string, pull_request struct<url:string>").json(items_path)
-    comments = spark.read.schema("parent_key long, ord long, body string").json(comments_path)
+    items, comments = _dump(spark, items_path, ITEMS), _dump(spark, comments_path, COMMENTS)
     return J.write_jsonl(TH.thread_samples(items, comments, max_items), out)
 
 
 def problems_to_samples(spark: SparkSession, train_path: str, test_path: str, out_dir: str,
-                        limit: int | None = None) -> dict:
+                        limit: int | None = None, job_id: str | None = None) -> dict:
     """W9 ``convert_apps``: per split, a lenient scan (S2) capped on parseable
     lines (L2), P12, appended to the split's file (S5); then both splits
-    concatenated (S11)."""
+    concatenated (S11), train first.  A ``job_id`` makes a retry append nothing twice."""
     schema = "question string, solutions string, difficulty string"
     counts = {}
     outs = []
@@ -177,9 +195,10 @@ def problems_to_samples(spark: SparkSession, train_path: str, test_path: str, ou
         if limit:
             df = head_n(df, limit, J.FILE_ORDER)
         out = f"{out_dir}/{name}"
-        counts[name] = J.write_jsonl(C.apps_with_difficulty(df), out, mode="append")
+        counts[name] = J.write_jsonl(C.apps_with_difficulty(df), out, mode="append", order=J.FILE_ORDER,
+                                     job_id=job_id and f"{job_id}.{name}")
         outs.append(out)
-    counts["combined"] = J.concat_files(spark, outs, f"{out_dir}/combined")
+    counts["combined"] = J.concat_files(spark, outs, f"{out_dir}/combined", job_id=job_id and f"{job_id}.combined")
     return counts
 
 
@@ -207,8 +226,8 @@ def score(spark: SparkSession, generations_path: str, tests_path: str, out_dir:
     """W8 over generation outcomes: per-problem results (A3, L7, J4, C22) are
     checkpointed once into the shared checkpoint folder, then feed the results
     sink (S14), the summary table (A6) and the base-vs-tuned comparison (A7)."""
-    gens = spark.read.schema(GENERATION).json(generations_path)
-    tests = spark.read.schema("task_id long, prompt string, test string").json(tests_path)
+    gens = _dump(spark, generations_path, GENERATION)
+    tests = _dump(spark, tests_path, "task_id long, prompt string, test string")
     problems = materialize(M.score_benchmarks(gens, tests), fallback_ckpt)
     SC.result_records(problems).write.mode("overwrite").json(f"{out_dir}/results")
     summary = SC.summary_table(problems).orderBy("results_key")

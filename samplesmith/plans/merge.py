@@ -4,7 +4,7 @@ benchmark scoring (W8).
 
 Shuffle budget per job:
 * W1/W2 — the keep-first dedup (D1/D2): one exchange after a partial limit;
-  the head (L1) is a bounded top-k.
+  the head (L1) is a filter on the key of its last row.
   Scan, routing (P1-P4/P11) and filters (F2/F3) fuse into the map stage.
 * W7 — one join of rendered samples with token rows on ``seq``, then one hash
   exchange on the shuffle key with a local sort (no range-sampling pass).
@@ -15,7 +15,9 @@ Shuffle budget per job:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplesmith import adapters as A
@@ -28,6 +30,7 @@ from samplesmith.operators import scoring as SC
 from samplesmith.sources import registry as REG
 
 ORDER = ["dataset_ord", "seq"]
+PROCESS_ORDER = ["dataset_ord", "seq", "sample_no"]
 
 
 def merge_inputs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
@@ -47,36 +50,45 @@ def merge(parts: list[DataFrame], limit: int | None = None, dedup: bool = True)
     return L.head_n(d, limit, ORDER)
 
 
-def merge_observed(parts: list[DataFrame], limit: int | None = None, dedup: bool = True):
-    """W1 with A9 stage accounting as named metrics, collected by the sink's own
-    job (``df.observe``): no extra pass over the data.
+def merge_counted(parts: list[DataFrame], dedup: bool = True) -> DataFrame:
+    """W1 without a head, each row with the numbers of input rows that it stands for.
 
-    Returns ``(df, observations)``; read ``obs.get`` after the write.
+    ``__kept`` is false for the one row that stands for all those F3 drops, ``__n0`` … count a row's group by
+    dataset.  The numbers travel with the rows, so their sums in the last stage of the
+    write are exact however often an earlier stage runs again; nothing is read twice.
     """
-    loaded, filtered, deduped = Observation("loaded"), Observation("after_filter"), Observation("after_dedup")
     u = normalized_union(parts)
-    per_ds = [F.count_if(F.col("dataset_ord") == i).alias(f"dataset_{i}") for i in range(len(parts))]
-    u = u.observe(loaded, F.count(F.lit(1)).alias("rows"), *per_ds)
-    f = C.keep_nonempty(u).observe(filtered, F.count(F.lit(1)).alias("rows"))
-    d = D.dedup_wide(f, ORDER) if dedup else f
-    d = d.observe(deduped, F.count(F.lit(1)).alias("rows"))
-    return L.head_n(d, limit, ORDER), {"loaded": loaded, "after_filter": filtered, "after_dedup": deduped}
+    kept = C.is_nonempty()
+    own = {f"__n{i}": (F.col("dataset_ord") == i).cast("long") for i in range(len(parts))}
+    if not dedup:
+        return u.withColumns({"__kept": kept, **own})
+    digest = F.when(kept, F.unhex(F.sha2(D.wide_key().cast("binary"), 256)))
+    groups = u.groupBy(digest.alias("__k")).agg(F.min_by(F.struct(*u.columns), F.struct(*ORDER)).alias("r"),
+                                                *[F.sum(c).alias(k) for k, c in own.items()])
+    return groups.select("r.*", F.col("__k").isNotNull().alias("__kept"), *own)
+
+
+def count_columns(parts: int) -> dict[str, Column]:
+    """The stage counts as aggregates over ``merge_counted`` rows."""
+    each = [F.col(f"__n{i}") for i in range(parts)]
+    total = reduce(lambda x, y: x + y, each)
+    return {**{f"dataset_{i}": F.sum(c) for i, c in enumerate(each)}, "loaded": F.sum(total),
+            "after_filter": F.sum(F.when(F.col("__kept"), total)), "after_dedup": F.count_if("__kept")}
 
 
 def stage_counts(parts: list[DataFrame]) -> DataFrame:
-    """A9 as a table ``(stage, rows)``: per-dataset loads, total, after F3, after D1."""
+    """A9 as a table ``(stage, rows)``: per-dataset loads, total, after F3, after D1.
+
+    One scan: rows are counted per key digest (those F3 drops under none) and the groups are counted and summed.
+    """
     u = normalized_union(parts)
-    # One pass for the load and filter counts (one global aggregate, partial per task) ...
-    kept = T.truthy("instruction") | T.truthy("output")
-    aggs = [F.count_if(F.col("dataset_ord") == i).cast("bigint").alias(f"loaded:{i}") for i in range(len(parts))]
-    aggs += [F.count(F.lit(1)).alias("loaded"), F.count_if(kept).cast("bigint").alias("after_filter")]
-    names = [f"loaded:{i}" for i in range(len(parts))] + ["loaded", "after_filter"]
-    counts = u.agg(*aggs).select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("stage"), F.col(f"`{n}`").alias("rows")) for n in names])))
-    # ... and one for the dedup count.
-    dd = D.dedup_wide(C.keep_nonempty(u), ORDER).agg(F.count(F.lit(1)).alias("rows")) \
-        .select(F.lit("after_dedup").alias("stage"), "rows")
-    return counts.unionByName(dd)
+    digest = F.when(C.is_nonempty(), F.unhex(F.sha2(D.wide_key().cast("binary"), 256)))
+    keyed = u.select(digest.alias("__k"), *[(F.col("dataset_ord") == i).cast("long").alias(f"__n{i}") for i in range(len(parts))])
+    groups = keyed.groupBy("__k").agg(*[F.sum(f"__n{i}").alias(f"__n{i}") for i in range(len(parts))])
+    counts = count_columns(len(parts))
+    totals = groups.withColumn("__kept", F.col("__k").isNotNull()).agg(*[F.coalesce(c, F.lit(0)).cast("bigint").alias(k) for k, c in counts.items()])
+    stage = {k: k.replace("dataset_", "loaded:") for k in counts}
+    return totals.select(F.inline(F.array(*[F.struct(F.lit(n).alias("stage"), F.col(k).alias("rows")) for k, n in stage.items()])))
 
 
 def inventory(spark: SparkSession, registry: DataFrame, rows: DataFrame, name_col: str = "dataset") -> DataFrame:
@@ -88,8 +100,7 @@ def inventory(spark: SparkSession, registry: DataFrame, rows: DataFrame, name_co
 def process_and_merge(named: DataFrame, limit: int | None = None) -> DataFrame:
     """W2 ``merge_and_process``: P11 routing -> U1 order -> D2 -> L1."""
     routed = C.route_by_file_name(named)
-    order = ["dataset_ord", "seq", "sample_no"]
-    return L.head_n(D.dedup_narrow(routed, order), limit, order)
+    return L.head_n(D.dedup_narrow(routed, PROCESS_ORDER), limit, PROCESS_ORDER)
 
 
 def training_rows(samples: DataFrame, token_ids: DataFrame, max_seq: int = PR.DEFAULT_MAX_SEQ,
