@@ -798,6 +798,12 @@ ORACLE["s2_jsonl_lenient_scan"] = with_(
     "WHERE seq % 23 <> 7 AND seq % 17 <> 5 AND seq % 19 NOT IN (3, 5, 6, 8, 11, 14, 17)", "v_raw")
 ORACLE["s3_rejected_lines"] = with_(
     "SELECT seq, true AS in_order FROM v_raw WHERE seq % 23 <> 7 AND (seq % 17 = 5 OR seq % 19 IN (3, 5, 6, 8, 11, 14, 17))", "v_raw")
+_TREE = ("SELECT 'source=' || source AS repo, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes, "
+         "CAST(sum(length(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(65533), '')) + 1) AS BIGINT) AS chars "
+         "FROM documents GROUP BY 1")
+ORACLE["s6_s7_tree_scan"] = (
+    f"SELECT 'whole' AS scan, * FROM ({_TREE}) UNION ALL "
+    f"SELECT 'pruned', * FROM ({_TREE}) WHERE repo NOT IN ('source=src1', 'source=src4', 'source=src9')")
 ORACLE["s9_s10_parquet_grid"] = with_(
     f"SELECT seq, split, lang, 'Explain this ' || lang || ' code:' AS instruction, {head(s('func_code_string'), 2000)} AS input, "
     f"CASE WHEN {truthy('func_documentation_string')} THEN {head('func_documentation_string', 500)} "

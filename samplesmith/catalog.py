@@ -33,6 +33,7 @@ from samplesmith.schema import SAMPLE_FIELDS
 from samplesmith.session import shared_dir
 from samplesmith.sources import jsonl as J
 from samplesmith.sources import registry as REG
+from samplesmith.sources import trees as TR
 
 Q = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Q] = {}
@@ -715,6 +716,16 @@ def s3(spark, sf):
     return found.withColumn("in_order", F.col("seq") - F.col("line_no") == first).select("seq", "in_order")
 
 
+@query("s6_s7_tree_scan")
+def s6(spark, sf):
+    """A tree with a folder per source, scanned whole and with three folders never descended into."""
+    root, pruned = _scratch(spark, "tree", sf), ["source=src1", "source=src4", "source=src9"]
+    A.read(spark, sf, "documents").select("text", "source").write.partitionBy("source").text(root)
+    scans = [TR.scan_tree(spark, root, exts=[".txt"], pruned=p).withColumn("scan", F.lit(n)) for n, p in (("whole", None), ("pruned", pruned))]
+    both = scans[0].unionByName(scans[1])
+    return both.groupBy("scan", "repo").agg(F.sum("length").alias("bytes"), F.sum(F.length("content")).cast("bigint").alias("chars"))
+
+
 @query("s9_s10_parquet_grid")
 def s9(spark, sf):
     """S10 partitioned parquet sink, then S9 one read over the lang x split grid

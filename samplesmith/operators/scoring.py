@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samplesmith.functions import text as T
-from samplesmith.operators.limits import head_per_group
+from samplesmith.operators.limits import head_per_group, salt_buckets
+from samplesmith.operators.prompts import exact_mean
 
 # ---------------------------------------------------------------------------
 # Fence tags per language, prompt template and task instructions.
@@ -34,6 +35,7 @@ BENCHMARK_INSTRUCTIONS = {
     "mbpp": "Write a Python function to solve this problem. Write only the code, no explanation.",
 }
 SUB_RESULTS = 3
+HOT_SHARE = 0.01  # of the generations, on one task
 # ---------------------------------------------------------------------------
 
 # A whole line (only "\n" ends a line: (?d)) whose stripped text starts with a
@@ -96,8 +98,18 @@ def with_code(gens: DataFrame, language: str = "python") -> DataFrame:
 
 def attach_tests(gens: DataFrame, tests: DataFrame) -> DataFrame:
     """Each generation joined to its task's test; ``full_code = code + "\\n" + test``
-    (only when code was extracted, as in the source)."""
-    j = gens.join(tests.select("task_id", "test"), "task_id")
+    (only when code was extracted, as in the source).
+
+    Tasks with at least ``HOT_SHARE`` of the generations, which a sketch of bounded size finds in one pass
+    over the key, are dealt to salts, and only their tests are copied to each salt.
+    """
+    found = gens.stat.freqItems(["task_id"], HOT_SHARE).first()[0] or []
+    hot = F.col("task_id").isin([k for k in found if k is not None]) if found else F.lit(False)
+    buckets = salt_buckets(gens)
+    dealt = gens.withColumn("__salt", F.when(hot, F.pmod(F.xxhash64(*gens.columns), F.lit(buckets))).otherwise(F.lit(0).cast("long")))
+    salts = F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    copies = tests.select("task_id", "test", F.explode(salts).alias("__salt"))
+    j = dealt.join(copies, ["task_id", "__salt"]).drop("__salt")
     return j.withColumn("full_code", F.when(T.truthy("code"), F.concat(F.col("code"), F.lit("\n"), F.col("test"))))
 
 
@@ -150,7 +162,7 @@ def unbiased_pass_at_k(problems: DataFrame, k: int, keys=("benchmark", "model"))
     terms = F.array(*[F.lit(j) for j in range(k)])  # k factors, however many generations pass
     prod = F.aggregate(terms, F.lit(1.0), lambda acc, j: acc * ((n - c - j) / (n - j)))
     est = F.when(n - c < k, F.lit(1.0)).when(c == 0, F.lit(0.0)).otherwise(1.0 - prod)
-    return problems.withColumn("pass_at_k", est).groupBy(*keys).agg(F.avg("pass_at_k").alias(f"pass_at_{k}"))
+    return problems.withColumn("pass_at_k", est).groupBy(*keys).agg(exact_mean("pass_at_k").alias(f"pass_at_{k}"))
 
 
 def summary_table(problems: DataFrame) -> DataFrame:

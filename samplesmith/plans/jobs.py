@@ -116,7 +116,7 @@ def tree_to_samples(spark: SparkSession, root: str, out: str, repo: str | None =
 def repo_snippets(spark: SparkSession, root: str, out: str, variant: str = "a", mode: str = "overwrite") -> int:
     """W10 snippet ingestion: S7 scan with the byte bound pushed down, F6, L4, P26."""
     src = SN.SNIPPET_SOURCES[variant]
-    files = TR.scan_tree(spark, root, exts=list(src.exts), min_bytes=src.min_bytes, max_bytes=src.max_bytes)
+    files = TR.scan_tree(spark, root, exts=list(src.exts), min_bytes=src.min_bytes, max_bytes=src.max_bytes, pruned=src.pruned_dirs)
     return J.write_jsonl(SN.snippet_samples(files, src), out, mode=mode)
 
 
@@ -163,7 +163,7 @@ def python_tree_chunks(spark: SparkSession, root: str, name: str, out: str) -> i
     """S8 + P29 (``download_extra``): ``.py`` files outside dot and virtualenv
     directories, 20-line windows over the first 80 lines with path and line
     range in the instruction."""
-    files = TR.scan_tree(spark, root, exts=[".py"], repo=name)
+    files = TR.scan_tree(spark, root, exts=[".py"], repo=name, pruned=SN.PY_TREE_PRUNED, hidden=False)
     return J.write_jsonl(SN.line_provenance_chunks(files, name), out)
 
 

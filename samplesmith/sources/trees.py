@@ -4,11 +4,12 @@ The extension test becomes a ``pathGlobFilter`` (applied while listing), and
 the byte-size bound is a filter on the ``length`` column that Spark pushes
 into the scan (``PushedFilters: LessThan(length, ...)``), so oversize files
 are never opened.  Column pruning keeps ``content`` unread when only paths
-are needed.  Directory pruning is a predicate on the relative path.
+are needed.  Pruned directories are never descended into.
 """
 
 from __future__ import annotations
 
+import re
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,19 +18,54 @@ from pyspark.sql import functions as F
 from samplesmith.functions import text as T
 
 
+GLOB = re.compile(r"([\\{}\[\]*?,])")
+
+
+def folders(spark: SparkSession, root: str, exts: list[str] | None = None, pruned: tuple | list = (), hidden: bool = True) -> list[str]:
+    """The folders under ``root`` (itself included) that hold a wanted file and are not in a pruned one, in path order.
+
+    A folder of a pruned name, and with ``hidden=False`` one whose name begins with a dot, is never listed: what
+    lies in it, however much, costs nothing.  Only folder names are kept; Spark lists the files in them.
+    """
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out, todo = [], [top]
+    while todo:
+        at, wanted = todo.pop(), False
+        for f in fs.listStatus(at):
+            name = f.getPath().getName()
+            if f.isDirectory():
+                if name not in pruned and (hidden or not name.startswith(".")):
+                    todo.append(f.getPath())
+            elif not name.startswith((".", "_")):  # Spark's readers pass those over
+                wanted |= not exts or name.endswith(tuple(exts))
+        if wanted:
+            out.append(at.toString())
+    return sorted(out)
+
+
 def scan_tree(spark: SparkSession, root: str, exts: list[str] | None = None, min_bytes: int | None = None,
-              max_bytes: int | None = None, repo: str | None = None) -> DataFrame:
+              max_bytes: int | None = None, repo: str | None = None, pruned: tuple | list | None = None, hidden: bool = True) -> DataFrame:
     """Files under ``root`` as ``(repo, path, length, content)``.
 
     ``path`` is relative to ``root``; ``content`` is decoded like
     ``open(..., errors="ignore")`` in text mode (invalid bytes dropped,
     ``\\r\\n`` and ``\\r`` turned into ``\\n``).  ``repo`` defaults to the first
-    path segment (a root holding one directory per repository).
+    path segment (a root holding one directory per repository).  With ``pruned`` (S7, S8) the
+    folders of these names are not descended into while listing, so what cannot be read there does no harm.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if exts:
         reader = reader.option("pathGlobFilter", "*{" + ",".join(exts) + "}")
-    df = reader.load(root)
+    if pruned is None and hidden:
+        df = reader.load(root)
+    else:
+        end = "{" + ",".join(exts) + "}" if exts else ""
+        held = [GLOB.sub(r"\\\1", d) + "/*" + end for d in folders(spark, root, exts, pruned or (), hidden)]
+        # the patterns name files only, unless a folder's name ends like one: it is not descended into
+        reader = reader.option("recursiveFileLookup", "false")
+        df = reader.load(held) if held else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     if min_bytes is not None:
         df = df.where(F.col("length") > min_bytes)
     if max_bytes is not None:

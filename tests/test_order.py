@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from samplesmith.operators import limits as L
 from samplesmith.operators import order as O
+from samplesmith.operators import prompts as PR
+from samplesmith.operators import scoring as SC
 from samplesmith.plans import jobs
 from samplesmith.schema import RAW, SAMPLE
 from samplesmith.sources import jsonl as J
+from samplesmith.sources import trees as TR
 from samplesmith.streaming import reasoning as SR
 
 WORDS = "seq long, instruction string, input string, output string"
@@ -180,3 +183,49 @@ def test_dumps_drop_broken_lines(spark, tmp_path):
     open(comments, "w").close()
     n = jobs.threads_to_samples(spark, items, comments, out)
     assert n and all("T" in x for x in lines(out))
+
+
+def test_pruned_folders_are_never_listed(spark, tmp_path, monkeypatch):
+    """A pruned folder without read permission does no harm; names with glob characters and equal signs are plain names."""
+    root = tmp_path / "tree"
+    for rel in ("a/x.py", "a/[id]/y.py", "a/source=b/z.py", "a/{q}/w.py", "node_modules/n.py", "a/node_modules/deep/m.py", ".git/g.py", "venv/v.py",
+                "a/k.md", "p.py/inner.py", "r.py"):
+        (root / rel).parent.mkdir(parents=True, exist_ok=True)
+        (root / rel).write_text("print(1)\n" * 30)
+    listed = TR.folders(spark, str(root), [".py"], ["node_modules", "venv"], hidden=False)
+    assert not any("node_modules" in f or ".git" in f or "venv" in f for f in listed)
+    closed = root / "node_modules"
+    closed.chmod(0)
+    try:
+        found = {r.path for r in TR.scan_tree(spark, str(root), exts=[".py"], pruned=["node_modules", "venv"], hidden=False).collect()}
+    finally:
+        closed.chmod(0o755)
+    assert found == {"a/x.py", "a/[id]/y.py", "a/source=b/z.py", "a/{q}/w.py", "p.py/inner.py", "r.py"}
+    bounded = TR.scan_tree(spark, str(root), exts=[".py"], pruned=["node_modules"], hidden=False, max_bytes=10)
+    assert bounded.count() == 0
+    assert TR.scan_tree(spark, str(root / "a/node_modules"), exts=[".py"], pruned=["deep"]).count() == 0
+
+
+def test_hot_task_is_dealt_to_salts(spark):
+    """Every generation meets its test, with half of them on one task and broadcasts off."""
+    rows = [(1 if k % 2 else k % 50, k, f"c{k}") for k in range(2000)] + [(None, 9999, "x")]
+    gens = spark.createDataFrame(rows, "task_id long, gen long, code string")
+    tests = spark.createDataFrame([(k, f"t{k}") for k in range(0, 50, 3)] + [(1, "t1")], "task_id long, test string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {(r.task_id, r.gen, r.full_code) for r in SC.attach_tests(gens, tests).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    has = {k for k in range(0, 50, 3)} | {1}
+    assert found == {(t, g, f"{c}\nt{t}") for t, g, c in rows if t in has}
+
+
+def test_mean_is_the_same_for_any_partitioning(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([1e-12, 0.1, 3.7, 1e7]) * rnd.random(), 1) for _ in range(5000)]
+    df = spark.createDataFrame(rows, "nll double, label int")
+    means = {repr(PR.loss_and_perplexity(df.repartition(n)).first()["eval_loss"]) for n in (1, 7, 200)}
+    assert len(means) == 1 and abs(float(means.pop()) - sum(r[0] for r in rows) / 5000) < 1e-6
+    odd = spark.createDataFrame([(float("nan"), 1), (1.0, 1)], "nll double, label int")
+    assert PR.loss_and_perplexity(odd).first()["eval_loss"] != 0 and PR.loss_and_perplexity(df.limit(0)).first()["eval_loss"] is None
