@@ -265,7 +265,8 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 64, limit: int = ANCHO
     runs = (found.where("not open").select("row", "start", "run")
             .unionByName(sort_spans(texts.join(hot, "anchor", "left_anti"), length))
             .unionByName(hash_spans(texts.join(hot, "anchor", "left_semi"), length)))
-    of_row = runs.groupBy("row").agg(F.collect_list(F.struct("start", "run")).alias("runs"))
+    # rows that repeat id and text share a hash and say the same; a set is bounded by one text, however many they are
+    of_row = runs.groupBy("row").agg(F.collect_set(F.struct("start", "run")).alias("runs"))
     kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64())]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from samplesmith.llm import conversations as C
-from samplesmith.llm import minhash, queries, spelling
+from samplesmith.llm import minhash, queries, spelling, suffix_dedup
 from tests.conftest import SF
 from tests.llm.test_operators import components_of
 
@@ -108,6 +108,20 @@ def test_parities_bound_the_difference():
         assert np.bitwise_count(minhash.parities(x) ^ minhash.parities(y)).sum() <= len(np.setxor1d(x, y))
 
 
+# --- repeated rows of the suffix dedup ---------------------------------------------------
+
+def test_suffix_dedup_of_one_row_repeated(spark):
+    """The spans gathered for equal rows are those of one text, however many rows there are."""
+    text = " ".join(f"w{k * 7919 % 4001}" for k in range(700))
+    for n in (2, 60):
+        rows = spark.createDataFrame([(7, text)] * n + [(None, text + " z")] * n, "doc_id long, text string").repartition(8)
+        found = suffix_dedup.dedup(rows, length=200)
+        sizes = found.select(F.size("removed").alias("runs"), F.length("kept").alias("kept"), "n_bytes").distinct().collect()
+        assert all(r.runs == 1 and r.kept == 0 for r in sizes)
+    runs = suffix_dedup.dedup(spark.createDataFrame([(7, text)] * 300, "doc_id long, text string"), length=200)
+    assert runs.where(F.size("removed") == 1).count() == 300
+
+
 # --- conversations --------------------------------------------------------------------------
 
 KEYS = [(i, f) for i in C.INITIALS for f in ("", "truncated", "gone")]
