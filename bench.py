@@ -27,6 +27,9 @@ HEADLINE = [
     "c17_transform_with_tools",
     "w7_training_rows",
     "w8_benchmark_scoring",
+    "w5_reasoning_v1",
+    "w6_reasoning_v2",
+    "w9_problem_conversion",
     "p12_problem_difficulty",
     "w10_repo_snippets",
     "a2_prefix_breakdown",
