@@ -46,8 +46,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = paragraph_dedup.dedup(table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", F.size("removed_spans").alias("n_removed"), "removed_spans",
+    kept = paragraph_dedup.dedup(table(spark, sf_dir, "documents"), short="short_repeats")
+    return kept.select("doc_id", F.size("removed_spans").alias("n_removed"), "removed_spans", "short_repeats",
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
