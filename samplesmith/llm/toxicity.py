@@ -39,17 +39,19 @@ THREATS = ("kill hurt destroy beat burn attack hang shoot stab murder punish cru
 TARGETS = ("you your yours yourself he she him her they them their these those people "
            "du dich dir euch ihr sie er ihn tu toi te vous votre il elle ils elles lui "
            "tú ti usted ustedes vosotros él ella ellos ellas").split()
+CLITICS = "dich dir euch ihn te vous lui".split()  # targets that can be the object of a verb behind them
 NEGATIONS = ("not no never neither nor without cannot nicht kein keine nie niemals "
              "pas jamais aucun aucune nunca jamás ningún ninguna").split()
 REPORTS = ("said says say told claimed claims reported quoted quote wrote writes according "
            "sagte sagt behauptet schrieb dit disait déclaré écrit dijo dice afirmó escribió").split()
-CLASSES = {w: c for c, words in (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS))
+CLASSES = {w: c for c, words in (("threat", THREATS), ("target", TARGETS), ("clitic", CLITICS), ("negation", NEGATIONS),
+                               ("report", REPORTS))
            for w in words}
-SYMBOLS = ("word", "insult", "threat", "target", "negation", "report", "break")
+SYMBOLS = ("word", "insult", "threat", "target", "clitic", "negation", "report", "break")
 DENIED, TOLD, AIMED, OBJECT = 1, 2, 4, 8
 NEGATION_REACH = 4   # words after a negation that it denies
 FINAL_REACH = 2      # words that a negation at the end of a clause denies
-CLITIC_REACH = 2     # words within which a target before a threat is its object
+CLITIC_REACH = 2     # words within which an object pronoun before a threat is its object
 SPEAKER = 2          # words that a clause may hold beside its word of speech to report the one before
 FACTORS = {DENIED: 0.4, TOLD: 0.6, AIMED: 1.5}
 THREAT_WEIGHT = 3.0
@@ -119,7 +121,7 @@ def _report(state: str, symbol: str) -> tuple[str, int]:
         return "bare", 0
     if symbol == "break":
         return ("told" if state == "bare" else "none"), 0
-    if state == "bare" and symbol == "target":
+    if state == "bare" and symbol in ("target", "clitic"):
         return "bare", TOLD
     return ("none", 0) if state == "none" else ("told", TOLD)
 
@@ -130,7 +132,7 @@ def _final_report(state: Hashable, symbol: str) -> tuple[Hashable, int]:
     if symbol == "break":
         return ("carried" if isinstance(state, int) else "end"), 0
     if state == "end":
-        return (SPEAKER, 0) if symbol == "report" else ("end", 0) if symbol == "target" else ("in", 0)
+        return (SPEAKER, 0) if symbol == "report" else ("end", 0) if symbol in ("target", "clitic") else ("in", 0)
     if state == "in":
         return "in", 0
     if isinstance(state, int):
@@ -140,15 +142,15 @@ def _final_report(state: Hashable, symbol: str) -> tuple[Hashable, int]:
 
 def _target(state: bool, symbol: str) -> tuple[bool, int]:
     """From the left: words after a target are aimed at it; one that speaks is none."""
-    if symbol in ("target", "break", "report"):
-        return symbol == "target", AIMED if state and symbol == "target" else 0
+    if symbol in ("target", "clitic", "break", "report"):
+        return symbol in ("target", "clitic"), 0
     return state, AIMED if state else 0
 
 
 def _clitic(left: int, symbol: str) -> tuple[int, int]:
-    """From the left: a target just before a word is its object (``je te frappe``)."""
-    if symbol in ("target", "break", "report"):
-        return (CLITIC_REACH if symbol == "target" else 0), 0
+    """From the left: an object pronoun just before a word is its object (``je te frappe``)."""
+    if symbol in ("clitic", "break", "report"):
+        return (CLITIC_REACH if symbol == "clitic" else 0), 0
     return max(left - 1, 0), OBJECT if left else 0
 
 
@@ -158,7 +160,7 @@ def _following_target(state: str, symbol: str) -> tuple[str, int]:
         return "none", 0
     if symbol == "report":
         return "speech", 0
-    if symbol == "target":
+    if symbol in ("target", "clitic"):
         return ("none" if state == "speech" else "aim"), 0
     return ("aim", AIMED | OBJECT) if state == "aim" else ("none", 0)
 
