@@ -539,6 +539,45 @@ def test_jaccard_links_lose_no_component():
         assert len(set(ends.values())) == len(set(want.values())) and all(want[a] == want[b] for a, b in links)
 
 
+def test_license_alignment_matches_brute_force():
+    """With a band as wide as the texts, alignment is the longest common subsequence; edited templates are found whole."""
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(max(row[j] + 1 if x == y else 0, row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = ([rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randrange(1, 14))] for _ in range(2))
+        n, first, last = license_scan.align(a, b, 0, 20)
+        assert n == lcs(a, b) and (n == 0 or n <= last - first + 1)
+    index = license_scan.Index(license_scan.TEMPLATES)
+    for name in ("MIT-text", "BSD-2-Clause", "BSD-3-Clause", "ISC-text", "Zlib", "0BSD", "LGPL-3.0-header", "AGPL-3.0-header",
+                 "Apache-2.0-header", "GPL-2.0-header", "EPL-2.0"):
+        words = license_scan.TEMPLATES[name].split()
+        for i in rng.sample(range(2, len(words) - 2), len(words) // 30):
+            words[i] = rng.choice(["changed", "", words[i] + " more"])
+        noise = " ".join(f"foreign{i}" for i in range(30))
+        text = " ".join(words)
+        (found, coverage, n, start, end), = license_scan.scan_text(f"{noise} {text} {noise}".encode(), index, 0.75, 6)
+        fold = [w.encode() for w in re.findall("[a-z0-9]+", text.lower())]
+        t = index.names.index(name)
+        assert found == name and n == lcs(index.words[t], fold) and coverage == n / len(index.words[t])
+        assert start >= len(noise) and end <= len(noise) + 2 + len(text) and end - start > 0.9 * len(text)
+
+
+def test_license_scan_of_repeated_rows_and_many_notices(spark):
+    notice = "Released under the MIT License."
+    many = " ".join(f"é{i} {notice} filler text number {i}." for i in range(3000))
+    rows = [(1, many), (2, notice), (2, notice)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.doc_id == 2 for r in got) == 2 and sum(r.doc_id == 1 for r in got) == 3000
+    assert {many[r.start:r.end] for r in got if r.doc_id == 1} == {notice[:-1]}
+
+
 def test_license_scan(spark, odd):
     mit = license_scan.TEMPLATES["MIT"]
     rows = [(1, "Intro.\n" + mit.replace("to deal in", "to trade in") + "\nEnd."), (2, "x\nLicensed  under CC BY-NC 4.0.\nö"),
