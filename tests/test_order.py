@@ -192,7 +192,7 @@ def test_pruned_folders_are_never_listed(spark, tmp_path, monkeypatch):
                 "a/k.md", "p.py/inner.py", "r.py"):
         (root / rel).parent.mkdir(parents=True, exist_ok=True)
         (root / rel).write_text("print(1)\n" * 30)
-    listed = TR.folders(spark, str(root), [".py"], ["node_modules", "venv"], hidden=False)
+    listed = TR.listing(spark, str(root), [".py"], ["node_modules", "venv"], hidden=False)[0]
     assert not any("node_modules" in f or ".git" in f or "venv" in f for f in listed)
     closed = root / "node_modules"
     closed.chmod(0)
@@ -206,6 +206,22 @@ def test_pruned_folders_are_never_listed(spark, tmp_path, monkeypatch):
     assert TR.scan_tree(spark, str(root / "a/node_modules"), exts=[".py"], pruned=["deep"]).count() == 0
 
 
+def test_names_that_spark_hides_are_read(spark, tmp_path):
+    """``__init__.py`` and whatever lies in ``_private`` or ``.github`` is part of a tree, within the size bounds."""
+    root = tmp_path / "tree"
+    texts = {"a/__init__.py": "x = 1\n", "a/m.py": "y = 2\n", "_private/z.py": "z = 3\n", ".github/w.py": "w = 4\n", "a/.conf.py": "c = 5\n",
+             "b c/__main__.py": "é = 6\r\nf = 7\n", "b c/_100%.py": "", "b c/_big.py": "g = 8\n" * 100, "_skip.md": "no"}
+    for rel, text in texts.items():
+        (root / rel).parent.mkdir(parents=True, exist_ok=True)
+        (root / rel).write_bytes(text.encode())
+    whole = {r.path: (r.repo, r.length, r.content) for r in TR.scan_tree(spark, str(root), exts=[".py"]).collect()}
+    assert whole == {k: (k.split("/")[0], len(v.encode()), v.replace("\r\n", "\n")) for k, v in texts.items() if k.endswith(".py")}
+    cut = TR.scan_tree(spark, str(root), exts=[".py"], min_bytes=0, max_bytes=100, pruned=["a"], hidden=False)
+    assert {r.path for r in cut.collect()} == {"_private/z.py", "b c/__main__.py"}
+    only = TR.scan_tree(spark, str(root / "a"), exts=["__init__.py"], repo="r")
+    assert [(r.repo, r.path, r.content) for r in only.collect()] == [("r", "__init__.py", "x = 1\n")]
+
+
 def test_hot_task_is_dealt_to_salts(spark):
     """Every generation meets its test, with half of them on one task and broadcasts off."""
     rows = [(1 if k % 2 else k % 50, k, f"c{k}") for k in range(2000)] + [(None, 9999, "x")]
