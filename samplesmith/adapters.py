@@ -88,10 +88,8 @@ def v_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
                     inp.alias("input"), out.alias("output"))
 
 
-def v_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw hub rows in four shapes (prompt/completion, text/code,
-    question/solutions, standard) with null and ``''`` fields; null = key absent."""
-    d = read(spark, sf_dir, "documents")
+def raw_columns() -> list[Column]:
+    """Raw hub rows, as columns of ``documents``."""
     i, t = F.col("doc_id"), F.col("text")
     shape = i % 5
     nul = F.lit(None).cast("string")
@@ -100,7 +98,7 @@ def v_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                    .when(shape == 2, F.when(i % 10 == 2, nul).otherwise(F.lit("Solve the puzzle.")))
                    .when(shape == 3, T.first_line(t))
                    .otherwise(F.lit("Summarize this text.")))
-    return d.select(
+    return [
         i.alias("seq"),
         F.col("source").alias("dataset"),
         instruction.alias("instruction"),
@@ -113,7 +111,13 @@ def v_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     F.col("n_chars").cast("string"))).alias("code"),
         F.when(shape == 2, t).alias("question"),
         F.when(shape == 2, F.concat(F.lit('["'), json_text(t), F.lit('"]'))).alias("solutions"),
-    )
+    ]
+
+
+def v_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw hub rows in four shapes (prompt/completion, text/code,
+    question/solutions, standard) with null and ``''`` fields; null = key absent."""
+    return read(spark, sf_dir, "documents").select(*raw_columns())
 
 
 def v_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,14 +250,12 @@ CODE_LANGS = ["python", "java", "go", "javascript", "ruby", "php"]
 SPLITS = ["train", "test", "validation"]
 
 
-def v_code_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code + documentation rows (code-search shapes), with null and ``''`` docs,
-    and the ``lang`` x ``split`` grid of a partitioned parquet layout."""
-    d = read(spark, sf_dir, "documents")
+def code_doc_columns() -> list[Column]:
+    """Code + documentation rows, as columns of ``documents``."""
     i, t = F.col("doc_id"), F.col("text")
     i_s = i.cast("string")
     nul = F.lit(None).cast("string")
-    return d.select(
+    return [
         i.alias("seq"),
         F.concat(F.lit("def f"), i_s, F.lit("(x):\n    return x * "), F.col("n_chars").cast("string")).alias("code"),
         F.when(i % 6 == 0, nul).when(i % 6 == 1, F.lit("")).otherwise(T.first_line(t)).alias("docstring"),
@@ -263,7 +265,13 @@ def v_code_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 9 == 0, nul).when(i % 9 == 1, F.lit("")).otherwise(F.col("source")).alias("repository_name"),
         pick(CODE_LANGS, i % len(CODE_LANGS)).alias("lang"),
         pick(SPLITS, i % len(SPLITS)).alias("split"),
-    )
+    ]
+
+
+def v_code_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code + documentation rows (code-search shapes), with null and ``''`` docs,
+    and the ``lang`` x ``split`` grid of a partitioned parquet layout."""
+    return read(spark, sf_dir, "documents").select(*code_doc_columns())
 
 
 def v_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,6 +289,10 @@ def v_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAMED_SOURCES = ["apps_train.jsonl", "codesearchnet1.jsonl", "codealpaca.jsonl", "oss_instruct.jsonl", "notes.jsonl"]
+CODE_DOC_FIELDS = ["code", "english_documentation", "func_documentation_string"]
+INSTRUCT_FIELDS = ["instruction", "input", "output"]
+# The named sources that are projections of ``documents``, by their place in NAMED_SOURCES.
+DOCUMENT_SOURCES = {1: (code_doc_columns, CODE_DOC_FIELDS), 2: (raw_columns, INSTRUCT_FIELDS), 4: (raw_columns, INSTRUCT_FIELDS)}
 
 
 def v_named_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,9 +300,9 @@ def v_named_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     with ``dataset_ord`` in request order and ``seq`` within each file."""
     from samplesmith.schema import RAW_FIELDS, with_fields
     p = v_problems(spark, sf_dir).select(F.col("item_id").alias("seq"), "question", "solutions", "starter_code")
-    c = v_code_doc(spark, sf_dir).select("seq", "code", "english_documentation", "func_documentation_string")
-    r = v_raw(spark, sf_dir).select("seq", "instruction", "input", "output")
-    s = v_samples(spark, sf_dir).select("seq", "instruction", "input", "output")
+    c = v_code_doc(spark, sf_dir).select("seq", *CODE_DOC_FIELDS)
+    r = v_raw(spark, sf_dir).select("seq", *INSTRUCT_FIELDS)
+    s = v_samples(spark, sf_dir).select("seq", *INSTRUCT_FIELDS)
     parts = [p, c, r, s, r]
     out = None
     for k, (name, part) in enumerate(zip(NAMED_SOURCES, parts)):

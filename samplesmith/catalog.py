@@ -642,21 +642,21 @@ def o2b(spark, sf):
 # --- sources through real files ---------------------------------------------------
 # Files are derived by Spark from the given tables into a scratch folder under
 # spark.checkpoint.dir, a new one for every call,
-# then read back through the sources.
+# then read back through the sources.  A job's input files are gzip JSONL, its output plain.
 
 def _scratch(spark: SparkSession, name: str, sf: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}/{name}"
 
 
 def _placed(spark: SparkSession, path: str) -> DataFrame:
-    """The samples of a written dataset with their places (from 1) in its file order."""
-    return L.with_positions(J.read_jsonl_lenient(spark, path), J.FILE_ORDER).select("place", *SAMPLE_FIELDS)
+    """The samples of a written dataset with their places (from 1) in its file order; the parts are read as they lie, not sorted again."""
+    return J.read_placed(spark, path).select("place", *SAMPLE_FIELDS)
 
 
 def _sample_file(spark: SparkSession, sf: str, path: str | None = None) -> str:
     """The samples as a JSONL dataset whose file order is the order of ``seq``."""
     path = path or _scratch(spark, "samples", sf)
-    J.write_jsonl(_samples(spark, sf), path, order=["seq"])
+    J.write_jsonl(_samples(spark, sf), path, order=["seq"], compression="gzip")
     return path
 
 
@@ -797,17 +797,34 @@ def w1b(spark, sf):
     return spark.createDataFrame(rows, "stage string, rows long")
 
 
+def _line(columns: list, fields: list[str]):
+    """The JSON line of the ``fields`` among ``columns``, null where all of them are."""
+    row = F.struct(*columns)
+    values = [row[f] for f in fields]
+    return F.when(F.coalesce(*[v.cast("string") for v in values]).isNotNull(), F.to_json(F.struct(*[v.alias(f) for f, v in zip(fields, values)])))
+
+
+def _named_files(spark: SparkSession, sf: str) -> list[str]:
+    """The named sources as JSONL datasets in the order of ``seq``; those that ``documents`` gives come from one sort of it."""
+    data, named = _scratch(spark, "named", sf), A.v_named_sources(spark, sf)
+    lines = {f"{k}-{A.NAMED_SOURCES[k]}": _line(columns(), ["seq", *fields]) for k, (columns, fields) in A.DOCUMENT_SOURCES.items()}
+    found = list(J.write_jsonl_files(A.read(spark, sf, "documents"), f"{data}/documents", lines, ["doc_id"], compression="gzip").values())
+    paths = dict(zip(A.DOCUMENT_SOURCES, found))
+    for k, name in enumerate(A.NAMED_SOURCES):
+        if k not in paths:
+            # the folder gives a file its name; equal names stand in folders of their own
+            paths[k] = f"{data}/{k}/{name}"
+            rows = named.where(F.col("dataset_ord") == k)
+            fields = [c for c in rows.columns if c not in ("dataset_ord", "dataset")]
+            J.write_jsonl(rows, paths[k], fields=fields, layout="spark", order=["seq"], compression="gzip")
+    return [paths[k] for k in sorted(paths)]
+
+
 @query("w2b_process_file_order")
 def w2b(spark, sf):
     """W2 as a job over five written files: each kept sample's place in the output's files."""
-    data, out = _scratch(spark, "named", sf), _scratch(spark, "processed", sf)
-    named, paths = A.v_named_sources(spark, sf), []
-    for k, name in enumerate(A.NAMED_SOURCES):
-        # the folder gives a file its name; equal names stand in folders of their own
-        paths.append(f"{data}/{k}/{name}" if name.endswith(".jsonl") else f"{data}/{k}/{name}.jsonl")
-        rows = named.where(F.col("dataset_ord") == k)
-        J.write_jsonl(rows, paths[-1], fields=[c for c in rows.columns if c not in ("dataset_ord", "dataset")], layout="spark", order=["seq"])
-    JB.process_files(spark, paths, out)
+    out = _scratch(spark, "processed", sf)
+    JB.process_files(spark, _named_files(spark, sf), out)
     return _placed(spark, out)
 
 

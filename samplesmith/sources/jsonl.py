@@ -165,6 +165,24 @@ def read_jsonl_lenient(spark: SparkSession, paths: list[str] | str, schema: T.St
     return read_jsonl_all(spark, paths, schema).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
+def read_placed(spark: SparkSession, paths: list[str] | str, schema: T.StructType = SAMPLE, name: str = "place") -> DataFrame:
+    """S2 with each kept row's place (from 1) in the file order, its order columns dropped.
+
+    No row moves: a file split is read by one task, in order, so a row's place is the rows of earlier splits (a running
+    sum over one small row per split) plus its offset in its split.  Should the two scans ever cut the files
+    differently, the query fails; it never gives a wrong place.
+    """
+    rows = read_jsonl_lenient(spark, paths, schema).withColumn("__id", F.monotonically_increasing_id())  # consecutive in a split
+    split = ["file_order", "file_block_start"]
+    splits = rows.groupBy(*split).agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    offset = F.col("__id") - F.col("__first")
+    place = F.when((offset >= 0) & (offset < F.col("__n")), F.col("__before") + offset + 1) \
+        .otherwise(F.raise_error(F.lit("the files were cut into other splits between two scans")).cast("long"))
+    return rows.join(F.broadcast(splits), split, "left").select(*schema.fieldNames(), place.alias(name))
+
+
 def python_json_line(fields: list[str]) -> F.Column:
     """One line exactly as ``json.dumps(sample, ensure_ascii=False)`` writes it
     for string fields: ``{"k": "v", ...}`` in field order, raw UTF-8, nulls as ``null``."""
@@ -203,10 +221,11 @@ def committed_counts(spark: SparkSession, path: str, job_id: str) -> dict | None
 
 
 def write_parts(lines: DataFrame, path: str, mode: str = "overwrite", order: list[str] | None = None, job_id: str | None = None,
-                counts: dict[str, F.Column] | None = None, keep: F.Column | None = None) -> dict:
-    """Write the ``value`` column of ``lines`` as text parts, in ``order`` where it is given; returns the counts.
+                counts: dict[str, F.Column] | None = None, keep: F.Column | None = None, line: F.Column | None = None,
+                compression: str | None = None) -> dict:
+    """Write a ``line`` (else the ``value`` column) for each row of ``lines`` as text parts, in ``order`` where it is given; returns the counts.
 
-    ``counts`` are aggregates over all of ``lines``, ``rows`` counts those written (``keep``).  They are collected by the
+    The line is built behind the sort: the fields move, and the pass that samples the ranges builds none.  ``counts`` are aggregates over all of ``lines``, ``rows`` counts those written (``keep``).  They are collected by the
     last stage of the write, of which each task counts once however often stages before it run again.
     """
     spark = lines.sparkSession
@@ -231,7 +250,8 @@ def write_parts(lines: DataFrame, path: str, mode: str = "overwrite", order: lis
     obs = Observation("written")
     rows = rows.observe(obs, F.count_if(keep).alias("rows"), *[c.alias(k) for k, c in (counts or {}).items()])
     name = f"part-{number:08d}.{job_id or uuid.uuid4().hex[:8]}"
-    rows.where(keep).select("value").write.mode(mode).option("mapreduce.output.basename", name).text(path)
+    value = (F.col("value") if line is None else line).alias("value")
+    rows.where(keep).select(value).write.mode(mode).option("mapreduce.output.basename", name).text(path, compression=compression)
     told = {k: int(v or 0) for k, v in obs.get.items()} if obs.get else {"rows": 0}
     if job_id is not None:
         out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, _marker(job_id)), True)
@@ -241,22 +261,37 @@ def write_parts(lines: DataFrame, path: str, mode: str = "overwrite", order: lis
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", fields: list[str] | None = None,
-                layout: str = "python", order: list[str] | None = None, job_id: str | None = None) -> int:
+                layout: str = "python", order: list[str] | None = None, job_id: str | None = None, compression: str | None = None) -> int:
     """One UTF-8 JSON object per line (all-null rows skipped); returns
     the row count, collected by the write job itself.
 
     ``layout="python"`` writes each line byte-for-byte as the source does
     (``json.dumps(..., ensure_ascii=False)``); ``layout="spark"`` uses Spark's
     compact JSON writer (which omits null fields).  With ``order`` the lines of the parts, in file
-    order, are in that order; ``mode="append"`` adds them behind the lines there are.  A ``job_id`` makes the write safe to repeat."""
+    order, are in that order; ``mode="append"`` adds them behind the lines there are.  A ``job_id`` makes the write safe to repeat.
+    ``compression="gzip"`` packs the parts; every reader here opens them by their names."""
     fields = fields or SAMPLE_FIELDS
     any_set = F.lit(False)
     for f in fields:
         any_set = any_set | F.col(f).isNotNull()
     line = F.to_json(F.struct(*fields)) if layout == "spark" else python_json_line(fields)
     keys = {f"__o{k}": F.col(c) for k, c in enumerate(order or [])}
-    out = df.where(any_set).select(line.alias("value"), *[c.alias(k) for k, c in keys.items()])
-    return write_parts(out, path, mode, list(keys) or None, job_id)["rows"]
+    out = df.where(any_set).select(*fields, *[c.alias(k) for k, c in keys.items()])
+    return write_parts(out, path, mode, list(keys) or None, job_id, line=line, compression=compression)["rows"]
+
+
+def write_jsonl_files(df: DataFrame, root: str, lines: dict[str, F.Column], order: list[str], compression: str | None = None) -> dict[str, str]:
+    """Several datasets from one sort: each row gives one line to each of ``lines`` (null: none), all in ``order``.
+
+    ``df`` is dealt to ranges once, and its lines are built there.  Returns each dataset's folder, ``<root>/file=<name>``.
+    """
+    each = F.filter(F.array(*[F.struct(F.lit(n).alias("file"), line.alias("value")) for n, line in lines.items()]), lambda x: x["value"].isNotNull())
+    keys = [F.col(c).alias(f"__o{k}") for k, c in enumerate(order)]
+    rows = df.repartitionByRange(*order).select(*keys, F.inline(each))
+    rows = rows.sortWithinPartitions("file", *[f"__o{k}" for k in range(len(order))])
+    name = f"part-{0:08d}.{uuid.uuid4().hex[:8]}"
+    rows.select("file", "value").write.mode("overwrite").partitionBy("file").option("mapreduce.output.basename", name).text(root, compression=compression)
+    return {n: f"{root}/file={n}" for n in lines}
 
 
 def concat_files(spark: SparkSession, paths: list[str], out: str, job_id: str | None = None) -> int:

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from samplesmith import catalog as CAT
 from samplesmith.operators import limits as L
 from samplesmith.operators import order as O
 from samplesmith.operators import prompts as PR
@@ -112,6 +113,106 @@ def test_retried_job_adds_nothing(spark, tmp_path):
         J.write_jsonl(samples(spark, 1), path, mode="append", job_id="a-b")
 
 
+def stages_moved(plan):
+    """The (kind, expressions) of a plan's shuffles."""
+    return [x for x in plan.splitlines() if "Exchange " in x and "BroadcastExchange" not in x]
+
+
+def test_places_without_moving_rows(spark, tmp_path):
+    """Places in file order over many parts and cut files, blank and broken lines not counted; only the counts per split are exchanged."""
+    path = tmp_path / "in"
+    path.mkdir()
+    want, k = [], 0
+    for part, n in enumerate([300, 1, 0, 700, 40]):
+        with open(path / f"part-{part:08d}.x-{0:05d}-u-c000.txt", "w", encoding="utf-8") as f:
+            for _ in range(n):
+                f.write("\n" if k % 7 == 3 else "{broken\n" if k % 11 == 5 else json.dumps({"instruction": f"i{k}", "output": "z" * (k % 90)}) + "\n")
+                if k % 7 != 3 and k % 11 != 5:
+                    want.append(f"i{k}")
+                k += 1
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size, cost in (("4k", "1k"), ("4k", "1"), *[tuple(before.values())]):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            found = J.read_placed(spark, str(path))
+            assert [(r.place, r.instruction) for r in found.orderBy("place").collect()] == list(enumerate(want, 1))
+            moved = stages_moved(found._jdf.queryExecution().executedPlan().toString())
+            assert not any("instruction" in x or "rangepartitioning" in x for x in moved), moved
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert J.read_placed(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_placed_result_writes_no_copy(spark, tmp_path):
+    """The samples of a sink are read in place: no sorted copy of them goes to the shared folder."""
+    path = str(tmp_path / "out")
+    J.write_jsonl(samples(spark, 300), path, order=["seq"])
+    shared = CAT.shared_dir(spark).removeprefix("file:")
+    had = set(os.listdir(shared))
+    found = CAT._placed(spark, path).orderBy("place").collect()
+    assert [(r.place, r.instruction) for r in found] == [(k + 1, f"i{k}") for k in range(300)]
+    assert not [x for x in set(os.listdir(shared)) - had if x.startswith("ranges-")]
+
+
+def test_packed_sink_reads_back(spark, tmp_path):
+    """gzip parts keep order and places, and stand beside plain ones."""
+    path = str(tmp_path / "out")
+    assert J.write_jsonl(samples(spark, 500), path, order=["seq"], compression="gzip") == 500
+    assert J.write_jsonl(samples(spark, 200, 500), path, mode="append", order=["seq"]) == 200
+    assert {x.endswith(".gz") for x in glob.glob(f"{path}/part-*")} == {True, False}
+    assert [r.instruction for r in J.read_placed(spark, path).orderBy("place").collect()] == [f"i{k}" for k in range(700)]
+
+
+def test_files_from_one_sort(spark, tmp_path):
+    """Each dataset has its lines, in order, from one exchange of the table; null lines are left out."""
+    rows = [(k if k else None, f"t{k}") for k in range(400)]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5, "text")
+    lines = {"a.jsonl": F.to_json(F.struct("text")), "b.jsonl": F.when(F.col("id") % 3 == 0, F.to_json(F.struct(F.concat("text", F.lit("!")).alias("text"))))}
+    for compression in (None, "gzip"):
+        found = J.write_jsonl_files(df, str(tmp_path / f"files-{compression}"), lines, ["id"], compression)
+        assert list(found) == list(lines) and all(p.endswith(n) for n, p in found.items())
+        back = [[r.text for r in J.read_placed(spark, p, J.T.StructType([J.T.StructField("text", J.T.StringType())])).orderBy("place").collect()]
+                for p in found.values()]
+        assert back == [[f"t{k}" for k in range(400)], [f"t{k}!" for k in range(3, 400, 3)]]
+
+
+def test_named_files_hold_the_named_rows(spark, tmp_path):
+    """The five files of W2 have the lines of the named sources, byte for byte, in the order of ``seq``."""
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    text = lambda k: None if k % 13 == 4 else "" if k % 13 == 7 else f"Line \"{k}\" é\nsecond\\{k}"
+    write("documents", [(None if k == 90 else k, text(k), f"src{k % 4}", k) for k in range(180)], "doc_id long, text string, source string, n_chars long")
+    write("benchmark", [(k, f"Q{k}") for k in range(30)], "item_id long, text string")
+    write("labels", [(k, k % 3) for k in range(30)], "doc_id long, quality int")
+    write("conversations", [(c, t, "assistant" if t % 2 else "user", f"c{c} t{t}") for c in range(12) for t in range(4)],
+          "conv_id long, turn int, role string, text string")
+    found = CAT._named_files(spark, str(tmp_path))
+    named = CAT.A.v_named_sources(spark, str(tmp_path))
+    fields = [c for c in named.columns if c not in ("dataset_ord", "dataset")]
+    for k, path in enumerate(found):
+        want = named.where(F.col("dataset_ord") == k).where(F.coalesce(*[F.col(c).cast("string") for c in fields]).isNotNull())
+        rows = want.orderBy("seq").select(F.to_json(F.struct(*fields)).alias("value")).collect()
+        assert path.endswith(CAT.A.NAMED_SOURCES[k]) and all(x.endswith(".gz") for x in glob.glob(f"{path.removeprefix('file:')}/part-*"))
+        back = spark.read.text(path).withColumn("o", J.file_order(F.col("_metadata.file_path"))).withColumn("n", F.monotonically_increasing_id())
+        assert [r.value for r in back.orderBy("o", "n").collect()] == [r.value for r in rows], k
+
+
+def test_lines_are_built_behind_the_sort(spark, tmp_path, monkeypatch):
+    """What is dealt to ranges has the fields, not the built line."""
+    sorted_columns, cls = [], type(spark.range(1))
+    order_by = cls.orderBy
+
+    def seen(self, *cols, **more):
+        sorted_columns.append(self.columns)
+        return order_by(self, *cols, **more)
+
+    monkeypatch.setattr(cls, "orderBy", seen)
+    J.write_jsonl(samples(spark, 20), str(tmp_path / "out"), order=["seq"])
+    assert sorted_columns == [["instruction", "input", "output", "__o0"]]
+
+
 def test_concat_is_line_by_line(spark, tmp_path):
     paths = []
     for name, n in (("short", 3), ("long", 2000), ("gone", 0), ("mid", 40)):
