@@ -750,7 +750,7 @@ def s5(spark, sf):
 def s11(spark, sf):
     """The lines of two datasets, one after the other, in a third."""
     parts, out = [_sample_file(spark, sf), _scratch(spark, "s11_raw", sf)], _scratch(spark, "s11_out", sf)
-    J.write_jsonl(C.keep_nonempty(C.normalize_routed(A.v_raw(spark, sf))), parts[1], order=["seq"])
+    J.write_jsonl(C.keep_nonempty(C.normalize_routed(A.v_raw(spark, sf))), parts[1], order=["seq"], compression="gzip")
     J.concat_files(spark, parts, out)
     return _placed(spark, out)
 
@@ -770,7 +770,7 @@ def s13(spark, sf):
     found go through strict scan, routing, filter, keep-first dedup and sink."""
     data, out = _scratch(spark, "data", sf), _scratch(spark, "merged", sf)
     raw = A.v_raw(spark, sf).drop("dataset")
-    J.write_jsonl(raw, f"{data}/codealpaca.jsonl", fields=raw.columns, layout="spark", order=["seq"])
+    J.write_jsonl(raw, f"{data}/codealpaca.jsonl", fields=raw.columns, layout="spark", order=["seq"], compression="gzip")
     JB.merge_files(spark, ["codealpaca", "absent", _sample_file(spark, sf)], out, data_dir=data)
     return _placed(spark, out)
 
@@ -788,7 +788,7 @@ def w1b(spark, sf):
     """W1 as a job with its A9 counts as the write itself collects them."""
     data, out = _scratch(spark, "data", sf), _scratch(spark, "merged", sf)
     raw = A.v_raw(spark, sf).drop("dataset")
-    J.write_jsonl(raw, f"{data}/mbpp.jsonl", fields=raw.columns, layout="spark", order=["seq"])
+    J.write_jsonl(raw, f"{data}/mbpp.jsonl", fields=raw.columns, layout="spark", order=["seq"], compression="gzip")
     told = JB.merge_files(spark, ["mbpp", _sample_file(spark, sf)], out, data_dir=data, job_id="merge")
     again = JB.merge_files(spark, ["mbpp", _sample_file(spark, sf)], out, data_dir=data, job_id="merge")
     rows = [(k, v) for k, v in {"written": told["written"], "retried": again["written"], "loaded": told["loaded"]["rows"],

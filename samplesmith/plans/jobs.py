@@ -57,8 +57,9 @@ def merge_files(spark: SparkSession, keys: list[str], out: str, data_dir: str =
         told["rows"] = J.write_jsonl(M.merge(parts, limit, dedup), out, order=M.ORDER, job_id=job_id)
     else:
         rows = M.merge_counted(parts, dedup)
-        lines = rows.select(J.python_json_line(SAMPLE_FIELDS).alias("value"), *M.ORDER, *[c for c in rows.columns if c.startswith("__")])
-        told = J.write_parts(lines, out, order=M.ORDER, job_id=job_id, counts=M.count_columns(len(parts)), keep=F.col("__kept"))
+        lines = rows.select(*SAMPLE_FIELDS, *M.ORDER, *[c for c in rows.columns if c.startswith("__")])
+        told = J.write_parts(lines, out, order=M.ORDER, job_id=job_id, counts=M.count_columns(len(parts)), keep=F.col("__kept"),
+                             line=J.python_json_line(SAMPLE_FIELDS))
     loaded = {"rows": told["loaded"], **{k: v for k, v in told.items() if k.startswith("dataset_")}}
     return {"written": told["rows"], "loaded": loaded, "after_filter": {"rows": told["after_filter"]},
             "after_dedup": {"rows": told["after_dedup"]}}
